@@ -102,7 +102,8 @@ def find_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def found(texts: pd.Series) -> pd.Series:
         return pd.Series([[dict(zip(("kind", "start", "end"), x, strict=True)) for x in base_spans(t)] if isinstance(t, str) else [] for t in texts], dtype=object)
 
-    return docs.withColumn("base_spans", found(F.col(text_col)))
+    # marked so that a filter on the result does not run it a second time
+    return docs.withColumn("base_spans", found.asNondeterministic()(F.col(text_col)))
 
 
 def _contexts(docs: DataFrame, reach: int) -> DataFrame:

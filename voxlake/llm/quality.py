@@ -13,7 +13,7 @@ from voxlake.llm import textops
 
 #: Largest share, in percent, of a text's word characters inside n-grams that occur twice
 #: or more, by n, and inside lines equal to an earlier line.
-NGRAM_LIMITS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
+NGRAM_LIMITS = {5: 25, 6: 24, 7: 23, 8: 22, 9: 21, 10: 20}
 LINE_LIMIT = 30
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True

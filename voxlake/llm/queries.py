@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from voxlake.llm import chat, licenses, mixing, pii, quality, records, sharding, simhash
+from voxlake.llm import chat, decontaminate, katz, licenses, mixing, pii, quality, records, sharding, simhash
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_katz": katz.op3_katz,
     "op4_snapshot_collapse": chat.op4_snapshot_collapse,
     "op5_token_records": records.op5_token_records,
     "op6_hypergeometric_shards": sharding.op6_hypergeometric_shards,
