@@ -129,7 +129,7 @@ def _document_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, raw in textops.chunks(pdf["text"].tolist(), limit=4 * textops.CHUNK_BYTES):
+            for _, raw in textops.chunks(pdf["text"].tolist()):
                 w = textops.words(raw)
                 h, doc = w.hashes(), w.doc()
                 order = np.lexsort((doc, h))
