@@ -187,26 +187,26 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     hits = contexts.join(told, ["entity", "term"]).groupBy("key", "start", "end", "shape").agg(F.min("general").alias("general"))
     term = F.struct(F.when(F.col("general"), "generalise").otherwise("remove").alias("action"), "start", "end", "shape")
     per_doc = hits.groupBy("key").agg(F.sort_array(F.collect_set(term)).alias("term_spans")).withColumnRenamed("key", key)
-    plain = found.where(F.size("base_spans") == 0).withColumn("term_spans", F.lit(None).cast("array<struct<action: string, start: int, end: int, shape: string>>"))
-    out = holding.join(per_doc, key, "left").select(plain.columns).union(plain)
-    out = out.withColumn("term_spans", F.coalesce("term_spans", F.expr("cast(array() as array<struct<action: string, start: int, end: int, shape: string>>)")))
+    plain = found.where(F.size("base_spans") == 0).withColumn("term_spans", F.expr("cast(array() as array<struct<action: string, start: int, end: int, shape: string>>)"))
+    held = holding.join(per_doc, key, "left")
+    held = held.withColumn("term_spans", F.coalesce("term_spans", F.expr("cast(array() as array<struct<action: string, start: int, end: int, shape: string>>)")))
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series, base: pd.Series, terms: pd.Series) -> pd.Series:
         done = []
         for text, b, t in zip(texts, base, terms, strict=True):
-            if text is not None and len(b) + len(t):
-                cuts = sorted([(x["start"], x["end"], f"<{x['kind'].upper()}>") for x in b] + [(x["start"], x["end"], x["shape"] if x["action"] == "generalise" else "") for x in t])
-                parts, at = [], 0
-                for s, e, new in cuts:
-                    if s >= at:
-                        parts += [text[at:s], new]
-                    at = max(at, e)
-                text = "".join(parts) + text[at:]
-            done.append(text)
+            cuts = sorted([(x["start"], x["end"], f"<{x['kind'].upper()}>") for x in b] + [(x["start"], x["end"], x["shape"] if x["action"] == "generalise" else "") for x in t])
+            parts, at = [], 0
+            for s, e, new in cuts:
+                if s >= at:
+                    parts += [text[at:s], new]
+                at = max(at, e)
+            done.append("".join(parts) + text[at:])
         return pd.Series(done, dtype=object)
 
-    return out.withColumn("clean_text", cleaned(F.col(text_col), "base_spans", "term_spans"))
+    names = [*docs.columns, "base_spans", "term_spans", "clean_text"]
+    held = held.withColumn("clean_text", cleaned(F.col(text_col), "base_spans", "term_spans"))
+    return held.select(names).union(plain.withColumn("clean_text", F.col(text_col)).select(names))
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:
