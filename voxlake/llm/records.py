@@ -23,7 +23,9 @@ from voxlake.storage import new_path
 #: Fixed value of the record format: the constant that masks a checksum, after a rotation by 15 bits.
 MASK_DELTA = 0xA282EAD8
 HEAD, FOOT = 12, 4
-CACHE_WORDS = 400_000
+#: A word that a tokenizer encodes as one id of its own, and in which nothing else ends.
+BETWEEN = b"\x7f"
+CACHE_WORDS = 800_000
 FILE_BYTES = 64 << 20
 
 
@@ -50,23 +52,59 @@ def unframe(buf: bytes, at: int) -> tuple[bytes, int]:
 
 
 class WordEncoder(dict):
-    """Ids of words, as bytes, kept for the words seen of late. The tokenizer cuts at white space, so a text's ids are its words' ids."""
+    """Ids of words, as bytes, kept for the words seen of late.
+
+    The tokenizer cuts at white space, so a text's ids are its words' ids; it also cuts between a letter and punctuation. New words are
+    encoded together, with a word between them that stands in none of them.
+    """
 
     def __init__(self, path: str, dtype: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        between = self._ids(BETWEEN.decode())
+        self.between = between[0] if len(between) == 1 else None
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, new: list[bytes]) -> None:
+        plain = [w for w in new if BETWEEN not in w and b"<|" not in w] if self.between is not None else []
+        for i in range(0, len(plain), 500):
+            part = plain[i : i + 500]
+            ids = np.array(self._ids((b" " + BETWEEN + b" ").join(part).decode()), self.dtype)
+            cut = [-1, *np.flatnonzero(ids == self.between).tolist(), len(ids)]
+            if len(cut) != len(part) + 1:
+                raise ValueError("the separating word occurs in a word's ids")
+            width, raw = ids.itemsize, ids.tobytes()
+            for w, a, b in zip(part, cut[:-1], cut[1:], strict=True):
+                self[w] = raw[width * (a + 1) : width * b]
+        for w in {*new}.difference(plain):
+            self[w] = np.array(self._ids(w.decode()), self.dtype).tobytes()
+
+    @staticmethod
+    def _stem(word: bytes) -> bytes:
+        """The word without punctuation at its end, where a letter stands before that."""
+        stem = word.rstrip(b".,!?;:")
+        return stem if len(stem) < len(word) and stem.decode()[-1:].isalpha() and b"<|" not in word else word
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text. A-Z are lower-cased first, as the tokenizer does, except in texts that may hold a special token."""
+        lists = []
+        for t in texts:
+            raw = t.encode() if isinstance(t, str) else b""
+            lists.append((raw if b"<|" in raw else raw.lower()).split())
+        if len(self) > CACHE_WORDS:
             self.clear()
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        self[word] = out = np.array(ids, self.dtype).tobytes()
-        return out
-
-    def encode(self, text: str) -> bytes:
-        return b"".join([self[w] for w in text.encode().split()])
+        new = {w for ws in lists for w in ws if w not in self}
+        stems = {w: self._stem(w) for w in new}
+        parts = {*stems.values(), *(w[len(s) :] for w, s in stems.items() if len(s) < len(w))}
+        self._learn([p for p in parts if p not in self])
+        for w, s in stems.items():
+            if len(s) < len(w):
+                self[w] = self[s] + self[w[len(s) :]]
+        return [b"".join(map(self.__getitem__, ws)) for ws in lists]
 
 
 _encoders: dict[tuple[str, str], WordEncoder] = {}
@@ -78,6 +116,18 @@ def encoder(path: str, dtype: str) -> WordEncoder:
     return _encoders[path, dtype]
 
 
+def _runs(texts: list, limit: int = 1 << 22) -> Iterator[list]:
+    """Texts in runs of about ``limit`` characters."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        size += len(t) if isinstance(t, str) else 0
+        if size >= limit:
+            yield texts[first : i + 1]
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield texts[first:]
+
+
 def _open(path: str):
     from pyarrow import fs
 
@@ -108,8 +158,7 @@ def write_records(docs: DataFrame, out: str, tokenizer_path: str, id_col: str =
         with system.open_output_stream(f"{name}.{attempt}") as f:
             for pdf in batches:
                 rows = []
-                for doc, text in zip(pdf["doc"], pdf["text"], strict=True):
-                    payload = (encode(text) if isinstance(text, str) else b"") + end
+                for doc, payload in zip(pdf["doc"], (x + end for part in _runs(pdf["text"].tolist()) for x in encode(part)), strict=True):
                     record = frame(payload)
                     f.write(record)
                     rows.append((n, number, doc, at, len(payload) // width))
@@ -183,5 +232,5 @@ def op5_token_records(spark, sf_dir: str) -> DataFrame:
     bases = per_file.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # one row for each file
     within = Window.partitionBy("file").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     placed = index.select("file", "number", "doc", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("at"))
-    placed = placed.join(bases, "file").join(read, ["file", "number"])
+    placed = placed.join(bases, "file").join(read.hint("merge"), ["file", "number"])
     return placed.select(F.col("doc").alias("doc_id"), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
