@@ -27,7 +27,7 @@ from voxlake.storage import new_path
 K, LARGE = 5, 0.999
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 #: Frequent words dealt by history as well; tokens of a packed batch, and of a bucket.
-FREQUENT, BATCH_TOKENS, BUCKET_TOKENS = 1024, 2_000_000, 3_000_000
+FREQUENT, BATCH_TOKENS, BUCKET_TOKENS = 1024, 3_000_000, 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -190,20 +190,31 @@ def _split(kind: str, by: np.ndarray, buckets: int, columns: list[np.ndarray], w
 
 def _count(pdf: pd.DataFrame, hot: np.ndarray, hot_counts: np.ndarray, buckets: int) -> Iterator[tuple[str, int, bytes]]:
     """All that one bucket of pairs yields; see the module."""
-    parts = []
-    for blob in pdf["blob"]:
-        uw, iw, uh, ih, uid, held, id_, times = unpack(blob)
-        parts.append((np.cumsum(uw)[np.cumsum(iw, dtype=np.int64)], np.cumsum(uh)[ih], uid[id_], held[id_].astype(bool), times.astype(np.int64)))
-    w, h, uid, held, times = (np.concatenate(c) for c in zip(*parts, strict=True))
-    del parts
-    order = np.lexsort((h, w))
-    w, h, uid, held, times = w[order], h[order], uid[order], held[order], times[order]
-    new_w = np.concatenate([[True], w[1:] != w[:-1]])
-    new = new_w | np.concatenate([[True], h[1:] != h[:-1]])
+    blobs = [unpack(b) for b in pdf["blob"]]
+    words_, histories, docs = (np.unique(np.concatenate(c)) for c in zip(*((np.cumsum(x[0]), np.cumsum(x[2]), x[4]) for x in blobs), strict=True))
+    held_doc = np.zeros(len(docs), bool)
+    size = sum(len(x[6]) for x in blobs)
+    key, d, times = np.empty(size, np.int64), np.empty(size, np.int32), np.empty(size, np.int32)
+    at = 0
+    while blobs:  # each is let go once its rows are copied
+        uw, iw, uh, ih, uid, held, id_, n = blobs.pop()
+        to = slice(at, at + len(n))
+        at += len(n)
+        key[to] = np.searchsorted(words_, np.cumsum(uw))[np.cumsum(iw, dtype=np.int64)] * len(histories) + np.searchsorted(histories, np.cumsum(uh))[ih]
+        of_doc = np.searchsorted(docs, uid)
+        held_doc[of_doc] = held.astype(bool)
+        d[to], times[to] = of_doc[id_], n
+    order = np.argsort(key, kind="stable")
+    key, d, times = key[order], d[order], times[order]
+    del order
+    new = np.concatenate([[True], key[1:] != key[:-1]])
     first = np.flatnonzero(new)
-    c2 = np.add.reduceat(np.where(held, 0, times), first)
-    pw, ph = w[first], h[first]
-    first_w = np.flatnonzero(new_w[first])
+    c2 = np.add.reduceat(np.where(held_doc[d], 0, times).astype(np.int64), first)
+    pw, ph = np.divmod(key[first], len(histories))
+    del key
+    new_w = np.concatenate([[True], pw[1:] != pw[:-1]])
+    pw, ph = words_[pw], histories[ph]
+    first_w = np.flatnonzero(new_w)
     c1 = np.add.reduceat(c2, first_w)
     words = pw[first_w]
     at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
@@ -223,19 +234,18 @@ def _count(pdf: pd.DataFrame, hot: np.ndarray, hot_counts: np.ndarray, buckets:
     yield from _split("history", columns[0], buckets, columns)
 
     of = np.cumsum(new) - 1  # each row's pair
-    r2, r1 = c2[of], c1[of]
-    docs, d = np.unique(uid, return_inverse=True)
-    n = len(docs)
-    t = times.astype(float)
-    base = np.bincount(d, t * np.log10(r1 + 1), minlength=n)
-    known = _ones(d, n, np.where(r1 > 0, times, 0).astype(float)).astype(np.int64)
-    log = np.bincount(d, t * (np.log10(np.maximum(r2, 1)) - np.where(w == END, 0.0, np.log10(np.maximum(r1, 1)))), minlength=n)
-    per = [np.rint(np.bincount(d, np.where(r2 == r, t, 0.0), minlength=n)).astype(np.int64) for r in range(1, K + 1)]
-    per.append(np.rint(np.bincount(d, np.where(r2 > K, t, 0.0), minlength=n)).astype(np.int64))
-    yield from _split("text", docs, buckets, [docs, known, base, log, *per])
-
-    e = np.flatnonzero(r2 == 0)
-    yield from _split("unseen", h[e].view(np.int64), buckets, [h[e].view(np.int64), uid[e], r1[e], times[e]], wide=2)
+    n, t = len(docs), times.astype(float)
+    # what a token adds to its text's sum: log10 of its pair's count, less that of its own as the next one's history
+    log_pair = np.log10(np.maximum(c2, 1)) - np.where(pw == END, 0.0, np.log10(np.maximum(c1, 1)))
+    base = np.bincount(d, t * np.log10(c1 + 1)[of], minlength=n)
+    log = np.bincount(d, t * log_pair[of], minlength=n)
+    whole = lambda keep: np.rint(np.bincount(d, np.where(keep[of], t, 0.0), minlength=n)).astype(np.int64)
+    per = [whole(c2 == r) for r in range(1, K + 1)] + [whole(c2 > K)]
+    yield from _split("text", docs, buckets, [docs, whole(c1 > 0), base, log, *per])
+
+    e = np.flatnonzero((c2 == 0)[of])
+    h = ph[of[e]].view(np.int64)
+    yield from _split("unseen", h, buckets, [h, docs[d[e]], c1[of[e]], times[e].astype(np.int64)], wide=2)
 
 
 def _mass(counts: list[np.ndarray], d: list[float]) -> np.ndarray:
