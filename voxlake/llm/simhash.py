@@ -237,7 +237,7 @@ def near_links(prints: DataFrame, radius: int, sets: list[np.ndarray], words: in
     return split.repartition("tree", "shard", "ring").sortWithinPartitions("tree", "shard", "ring").mapInPandas(link, "a long, b long")
 
 
-def components(printed: DataFrame, id_col: str, radius: int, words: int = 1, recall: float | None = None) -> DataFrame:
+def components(printed: DataFrame, id_col: str, radius: int, words: int = 1, recall: float | None = None, near: int | None = None) -> DataFrame:
     """From rows with an id and fingerprints: (f0, f1..., component): the smallest id that a chain of links within ``radius`` reaches."""
     cols = [f"f{i}" for i in range(words)]
     distinct = printed.groupBy(*cols).agg(F.min(id_col).alias("smallest"))
@@ -245,19 +245,19 @@ def components(printed: DataFrame, id_col: str, radius: int, words: int = 1, rec
     number = F.col("f0") if words == 1 else F.xxhash64(*cols)
     distinct = cut(distinct.withColumn("id", number))
     n = distinct.count()
-    sets = fields(64 * words, radius, n) if recall is None else samples(64 * words, radius, n, recall)
+    sets = fields(64 * words, radius, n) if recall is None else samples(64 * words, near or radius, n, recall)
     linked = connected_components(near_links(distinct, radius, sets, words))
     named = distinct.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     low = named.groupBy("component").agg(F.min("smallest").alias("low"))
     return named.join(low, "component").select(*cols, F.col("low").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, radius: int = 4, words: int = 1, recall: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, radius: int = 4, words: int = 1, recall: float | None = None, near: int | None = None) -> DataFrame:
     """(id, f0..., component) for every row of ``docs``.
 
     Fingerprints at most ``radius`` bits apart are linked; the component is the smallest id that links reach, the row's own
-    included. ``recall`` None finds every link; else a link at the full radius is found with that probability, and
-    a closer one more likely.
+    included. ``recall`` None finds every link; else a link of ``near`` bits (the radius where
+    not given) is found with that probability, a closer one more likely.
 
     Null and empty texts have the fingerprint zero and are linked like any others. Repeated rows get equal results each. Null ids are
     passed over when the smallest is taken; a component of null ids only has a null component. Texts are read
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     cols = [f"f{i}" for i in range(words)]
     printed = cut(with_fingerprint(own, "text", k, words).drop("text"))
-    found = components(printed, "id", radius, words, recall)
+    found = components(printed, "id", radius, words, recall, near)
     same = [printed[c] == found[c] for c in cols]
     on = same[0]
     for s in same[1:]:
@@ -279,8 +279,8 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
     return r.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: The stage's links: of 256 bits over 5-word shingles, 50 differ where about 0.8 of the shingles are shared, with three standard errors.
-STAGE = {"k": 5, "radius": 50, "words": 4, "recall": 0.98}
+#: The stage's links: of 256 bits over 5-word shingles, 39 differ on average where 0.8 of all shingles are shared; 50 are two standard errors more.
+STAGE = {"k": 5, "radius": 50, "words": 4, "recall": 0.995, "near": 39}
 
 
 def stage_near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
