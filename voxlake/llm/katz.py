@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 #: Frequent words dealt by history as well; tokens of a packed batch, and of a bucket.
 FREQUENT, BATCH_TOKENS, BUCKET_TOKENS = 1024, 3_000_000, 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a text's number within its batch, and of a batch's within its task.
+TEXT_BITS, BATCH_BITS = 22, 17
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -128,35 +131,45 @@ def _bucket(word: np.ndarray, history: np.ndarray, hot: np.ndarray, buckets: int
 
 
 def _pairs(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, blob): packed (word, history, text, times) of batches of texts, by bucket."""
+    """(bucket, blob): packed (word, history, text, times) of batches of texts, by bucket; from ``buckets`` on, packed (text, uid).
+
+    Texts are numbered by task, batch and place, so that the numbers of a blob lie close together and pack to a byte each.
+    """
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         size = 0
+        number = TaskContext.get().partitionId() << BATCH_BITS
 
         def done() -> pd.DataFrame:
             lengths = np.concatenate([np.diff(o) for _, o, _, _ in held])
             x = np.concatenate([t for t, _, _, _ in held])
             uid, out_of = np.concatenate([u for _, _, u, _ in held]), np.concatenate([h for _, _, _, h in held])
             doc = np.repeat(np.arange(len(lengths)), lengths)
-            before = np.concatenate([[START], x[:-1]])
-            before[np.cumsum(lengths) - lengths] = START
-            u, code = np.unique(np.concatenate([x, before]), return_inverse=True)
-            key = (code[: len(x)] * len(u) + code[len(x) :]) * len(lengths) + doc  # below 2**63 for 2**21 words and texts
+            u, code = np.unique(np.append(x, START), return_inverse=True)
+            del x
+            key = code[:-1] * len(u)
+            key[1:] += code[:-2]
+            first = np.cumsum(lengths) - lengths
+            key[first] += code[-1] - np.where(first > 0, code[first - 1], 0)
+            key = key * len(lengths) + doc  # below 2**63 for 2**21 words and texts
+            del code, doc
             key, times = np.unique(key, return_counts=True)
             pair, doc = np.divmod(key, len(lengths))
             w, h = np.divmod(pair, len(u))
+            del key, pair
             b = _bucket(u[w], u[h], hot, buckets)
+            ids = (np.int64(number) << TEXT_BITS) + np.arange(len(lengths))
             order = np.argsort(b, kind="stable")
             edge = np.searchsorted(b[order], np.arange(buckets + 1))
-            blobs = []
+            blobs = [(buckets + k, blob) for _, k, blob in _split("", ids, buckets, [ids, uid], wide=2)]
             for k in range(buckets):
                 at = order[edge[k] : edge[k + 1]]
                 if len(at):
                     uw, iw = np.unique(w[at], return_inverse=True)
                     uh, ih = np.unique(h[at], return_inverse=True)
                     ud, id_ = np.unique(doc[at], return_inverse=True)
-                    blobs.append((k, pack(pack_sorted(u[uw]), narrow(pack_sorted(iw)), pack_sorted(u[uh]), narrow(ih), uid[ud], out_of[ud].astype(np.uint8), narrow(id_), narrow(times[at]))))
+                    blobs.append((k, pack(pack_sorted(u[uw]), narrow(pack_sorted(iw)), pack_sorted(u[uh]), narrow(ih), pack_sorted(ids[ud]), out_of[ud].astype(np.uint8), narrow(id_), narrow(times[at]))))
             return pd.DataFrame(blobs, columns=["bucket", "blob"])
 
         for pdf in batches:
@@ -164,7 +177,7 @@ def _pairs(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 rows = slice(first, first + len(offset) - 1)
                 if held and size + len(x) > BATCH_TOKENS:
                     yield done()
-                    held, size = [], 0
+                    held, size, number = [], 0, number + 1
                 held.append((x, offset, pdf["uid"].to_numpy()[rows], pdf["held"].to_numpy()[rows]))
                 size += len(x)
         if held:
@@ -191,7 +204,7 @@ def _split(kind: str, by: np.ndarray, buckets: int, columns: list[np.ndarray], w
 def _count(pdf: pd.DataFrame, hot: np.ndarray, hot_counts: np.ndarray, buckets: int) -> Iterator[tuple[str, int, bytes]]:
     """All that one bucket of pairs yields; see the module."""
     blobs = [unpack(b) for b in pdf["blob"]]
-    words_, histories, docs = (np.unique(np.concatenate(c)) for c in zip(*((np.cumsum(x[0]), np.cumsum(x[2]), x[4]) for x in blobs), strict=True))
+    words_, histories, docs = (np.unique(np.concatenate(c)) for c in zip(*((np.cumsum(x[0]), np.cumsum(x[2]), np.cumsum(x[4])) for x in blobs), strict=True))
     held_doc = np.zeros(len(docs), bool)
     size = sum(len(x[6]) for x in blobs)
     key, d, times = np.empty(size, np.int64), np.empty(size, np.int32), np.empty(size, np.int32)
@@ -201,7 +214,7 @@ def _count(pdf: pd.DataFrame, hot: np.ndarray, hot_counts: np.ndarray, buckets:
         to = slice(at, at + len(n))
         at += len(n)
         key[to] = np.searchsorted(words_, np.cumsum(uw))[np.cumsum(iw, dtype=np.int64)] * len(histories) + np.searchsorted(histories, np.cumsum(uh))[ih]
-        of_doc = np.searchsorted(docs, uid)
+        of_doc = np.searchsorted(docs, np.cumsum(uid))
         held_doc[of_doc] = held.astype(bool)
         d[to], times[to] = of_doc[id_], n
     order = np.argsort(key, kind="stable")
@@ -262,6 +275,8 @@ def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts consist of their end. A null ``held_col`` counts as not held out. Rows that are equal in id and text count
     as often as they are there, and get equal results each. Texts are read whole. Without training rows all words are new, and
     scores are null. An empty table gives none. Other columns do not matter.
+
+    ``docs`` has to yield its rows in the same order whenever a task runs again, as tables and checkpoints do: texts are numbered by it.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -271,7 +286,12 @@ def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = max(1, -(-n_all // BUCKET_TOKENS))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([*_count(pdf, hot, hot_counts, buckets)], columns=["kind", "bucket", "blob"])
+        b = int(pdf["bucket"].iloc[0])
+        if b >= buckets:
+            rows = [("ids", b - buckets, pack(*(np.concatenate(c) for c in zip(*map(unpack, pdf["blob"]), strict=True))))]
+        else:
+            rows = [*_count(pdf, hot, hot_counts, buckets)]
+        return pd.DataFrame(rows, columns=["kind", "bucket", "blob"])
 
     path = new_path(spark, "katz")
     pairs = _pairs(own, hot, buckets).repartition(buckets, "bucket")
@@ -325,16 +345,20 @@ def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     log_d = np.log10([*d2, LARGE])
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        blobs = [unpack(b) for b in pdf["blob"]]
+        blobs = [unpack(b) for b in pdf.loc[pdf["kind"] == "text", "blob"]]
+        ids, uid = (np.concatenate(c) for c in zip(*map(unpack, pdf.loc[pdf["kind"] == "ids", "blob"]), strict=True))
+        order = np.argsort(ids)
         columns = [np.concatenate([b[i] for b in blobs]) for i in range(4 + K + 1)]
         new_start = np.concatenate([b[-1] if len(b) > 4 + K + 1 else np.zeros(len(b[0])) for b in blobs])
         docs_, d = np.unique(columns[0], return_inverse=True)
         add_up = lambda c: np.bincount(d, c.astype(float), minlength=len(docs_))
         score = add_up(columns[3]) + sum(add_up(columns[4 + r]) * log_d[r] for r in range(K + 1))
-        return pd.DataFrame({"uid": docs_, "n_known": np.rint(add_up(columns[1])).astype(np.int64), "base": add_up(columns[2]), "score": score, "new_start": add_up(new_start)})
+        return pd.DataFrame({"uid": uid[order[np.searchsorted(ids[order], docs_)]], "n_known": np.rint(add_up(columns[1])).astype(np.int64), "base": add_up(columns[2]), "score": score, "new_start": add_up(new_start)})
 
-    sums = tables.where("kind = 'text'").select("bucket", "blob").union(backed.select("bucket", "blob")).repartition(buckets, "bucket")
+    columns = ["kind", "bucket", "blob"]
+    sums = tables.where("kind in ('text', 'ids')").select(columns).union(backed.select(columns)).repartition(buckets, "bucket")
     sums = sums.groupBy("bucket").applyInPandas(total, "uid long, n_known long, base double, score double, new_start double")
+    sums = sums.groupBy("uid").agg(*(F.sum(c).alias(c) for c in ("n_known", "base", "score", "new_start")))
     n_tokens = (F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1).cast("long")
     rows = own.select("id", "held", "uid", n_tokens.alias("n_tokens"))
     copies = rows.groupBy("uid", "id", "held", "n_tokens").agg(F.count("*").alias("copies"))
