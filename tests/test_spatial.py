@@ -1,12 +1,15 @@
 import random
+from numbers import Number
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from voxlake import queries
-from voxlake.operators import fold, grounding, temporal
+from voxlake import queries, scene_queries  # noqa: F401
+from voxlake.operators import fold, grounding, points, temporal
 from voxlake.operators.components import connected_components
+from voxlake.streaming import live_map, sync
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,13 +17,13 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("embeddings", "lineitem", "events", "part", "customer"):
+    for t in ("embeddings", "lineitem", "events", "part", "customer", "supplier", "orders", "nation", "region"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     ours, theirs = queries.QUERIES[name](spark, SF).toPandas(), con.execute(queries.ORACLE_SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
 
     def rows(d):
-        text = lambda v: "null" if v is None or v != v else f"{v:.5f}" if isinstance(v, float) else str(v)
+        text = lambda v: "null" if pd.isna(v) else f"{float(v):.5f}" if isinstance(v, Number) and not isinstance(v, bool) else str(v)
         return sorted(tuple(map(text, r)) for r in d[sorted(d.columns)].astype(object).itertuples(index=False))
 
     assert rows(ours) == rows(theirs)
@@ -61,3 +64,25 @@ def test_nearest_takes_the_earlier_of_ties_and_crosses_buckets(spark):
 def test_ground_needs_a_cut(spark):
     with pytest.raises(ValueError):
         grounding.seeds(spark.range(1), None, None, 1.0, False, False)
+
+
+def test_live_map_goes_on_over_batches(spark, tmp_path):
+    rng, cap = random.Random(4), 5
+    xs = [(g, k, rng.random()) for k in range(40) for g in (1, 2) if g == 1 or k < 4]
+    for part in range(3):
+        spark.createDataFrame([x for x in xs if x[1] % 40 // 14 == part], "g int, k int, x double").coalesce(1).write.parquet(f"{tmp_path}/t/{part}")
+        spark.read.parquet(f"{tmp_path}/t/{part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/all")
+    last = live_map.run(sync.source(spark, f"{tmp_path}/all", 1), ["g"], ["k"], F.col("x"), cap)
+    for r in last.collect():
+        t = w = n = 0
+        for g, _, x in xs:
+            if g == r.g:
+                t, w, n = (t * w + x) / (w + 1), min(w + 1, cap), n + 1
+        assert r["mean"] == pytest.approx(t, abs=1e-12) and r.n == n
+
+
+def test_trilinear_clamps_and_takes_defaults(spark):
+    voxels = spark.createDataFrame([(0, 0, 0, 2.0), (1, 0, 0, 4.0)], "i long, j long, k long, v double")
+    at = spark.createDataFrame([(1, -5.0, 0.0, 0.0), (2, 1.0, 0.5, 0.5), (3, 9.0, 0.5, 0.5), (4, None, 0.0, 0.0)], "id int, x double, y double, z double")
+    got = {r.id: r.v for r in points.trilinear(at, voxels, (3, 1, 1), {"v": 1.0}, 0.0, 1.0).collect()}
+    assert got == {1: 2.0, 2: 3.0, 3: 1.0}

@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def running_mean(obs: DataFrame, by: list[str], order: list[str], sample: Column, cap: int) -> DataFrame:
-    """One row per group: mean, weight = min(n, cap), n."""
+def running_means(obs: DataFrame, by: list[str], order: list[str], samples: dict[str, Column], cap: int) -> DataFrame:
+    """One row per group: the mean of each of ``samples``, weight = min(n, cap), n. All come from one sort of the group."""
     w = Window.partitionBy(*by).orderBy(*order)
     everything = Window.partitionBy(*by)
     k, n, top = F.row_number().over(w), F.count("*").over(everything), cap + 1
-    rows = obs.select(*by, sample.alias("s"), k.alias("k"), n.alias("n"))
+    rows = obs.select(*by, *(s.alias(f"s_{name}") for name, s in samples.items()), k.alias("k"), n.alias("n"))
     late = F.pow(F.lit(cap / top), F.col("n") - F.greatest("k", F.lit(top))) / top
     weight = F.when(F.col("n") <= top, 1.0 / F.col("n")).otherwise(late)
-    return rows.groupBy(*by).agg(F.sum(weight * F.col("s")).alias("mean"), F.least(F.count("*"), F.lit(cap)).alias("weight"), F.count("*").alias("n"))
+    return rows.groupBy(*by).agg(*(F.sum(weight * F.col(f"s_{name}")).alias(name) for name in samples), F.least(F.count("*"), F.lit(cap)).alias("weight"), F.count("*").alias("n"))
+
+
+def running_mean(obs: DataFrame, by: list[str], order: list[str], sample: Column, cap: int) -> DataFrame:
+    """One row per group: mean, weight = min(n, cap), n."""
+    return running_means(obs, by, order, {"mean": sample}, cap)
 
 
 def gated_mean(obs: DataFrame, by: list[str], order: list[str], sample: Column, gate: Column, cap: int) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def nearest(left: DataFrame, right: DataFrame, bucket: int) -> DataFrame:
-    """For each left (id, t), the right (id, t) nearest in time; the earlier, then the smaller id, wins ties. Times are whole numbers.
+def bracket(left: DataFrame, right: DataFrame, bucket: int) -> DataFrame:
+    """(id, t, lo, hi) for each left (id, t): the right (t, id) at or before t, and that at or after it; of equal times the smallest id. Times are whole numbers.
 
     Both sides are merged in buckets of time; what a bucket's first and last rows need from other buckets is carried over from
     the buckets' own first and last right rows, so no task sorts all times.
@@ -25,11 +25,25 @@ def nearest(left: DataFrame, right: DataFrame, bucket: int) -> DataFrame:
     y = Window.partitionBy("b").orderBy("t", F.col("r").isNotNull())
     found = rows.withColumn("lo", F.last("r", True).over(x.rowsBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.first("r", True).over(y.rowsBetween(0, Window.unboundedFollowing)))
     found = found.where("id is not null").join(carried, "b").withColumn("lo", F.coalesce("lo", "before")).withColumn("hi", F.coalesce("hi", "after"))
+    return found.select("id", "t", "lo", "hi")
+
+
+def nearest(left: DataFrame, right: DataFrame, bucket: int) -> DataFrame:
+    """For each left (id, t), the right (id, t) nearest in time; the earlier, then the smaller id, wins ties."""
+    found = bracket(left, right, bucket)
     low = F.col("hi.t").isNull() | (F.col("t") - F.col("lo.t") <= F.col("hi.t") - F.col("t"))
     best = F.when(low, F.col("lo")).otherwise(F.col("hi"))
     return found.select("id", "t", best["id"].alias("match_id"), F.abs(F.col("t") - best["t"]).alias("gap"))
 
 
+def pose_at(left: DataFrame, poses: DataFrame, bucket: int) -> DataFrame:
+    """(id, t, x): ``x`` of the poses (id, t, x) interpolated at each left (id, t); rows that no two poses enclose are dropped."""
+    own = bracket(left, poses.select("id", "t"), bucket).where("lo is not null and hi is not null")
+    own = own.join(poses.select(F.col("id").alias("p0"), F.col("x").alias("x0")), F.col("lo.id") == F.col("p0")).join(poses.select(F.col("id").alias("p1"), F.col("x").alias("x1")), F.col("hi.id") == F.col("p1"))
+    part = F.when(F.col("hi.t") > F.col("lo.t"), (F.col("t") - F.col("lo.t")) / (F.col("hi.t") - F.col("lo.t"))).otherwise(0.0)
+    return own.select("id", "t", (F.col("x0") + (F.col("x1") - F.col("x0")) * part).alias("x"))
+
+
 def within(left: DataFrame, right: DataFrame, slop: int) -> DataFrame:
     """Pairs of left and right (id, t) at most ``slop`` apart; joined on buckets of that width."""
     b = F.floor(F.col("t") / slop)
