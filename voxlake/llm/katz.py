@@ -30,6 +30,8 @@ START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 #: Frequent words dealt by history as well; tokens of a packed batch, and of a bucket.
 FREQUENT, BATCH_TOKENS, BUCKET_TOKENS = 1024, 3_000_000, 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Rows for which temporary columns are made at a time.
+SLICE = 1 << 19
 #: Bits of a text's number within its batch, and of a batch's within its task.
 TEXT_BITS, BATCH_BITS = 22, 17
 
@@ -142,23 +144,28 @@ def _pairs(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         number = TaskContext.get().partitionId() << BATCH_BITS
 
         def done() -> pd.DataFrame:
-            lengths = np.concatenate([np.diff(o) for _, o, _, _ in held])
-            x = np.concatenate([t for t, _, _, _ in held])
-            uid, out_of = np.concatenate([u for _, _, u, _ in held]), np.concatenate([h for _, _, _, h in held])
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            u, code = np.unique(np.append(x, START), return_inverse=True)
-            del x
-            key = code[:-1] * len(u)
-            key[1:] += code[:-2]
+            lengths = np.concatenate([np.diff(o) for _, _, o, _, _ in held])
+            uid, out_of = np.concatenate([u for _, _, _, u, _ in held]), np.concatenate([h for _, _, _, _, h in held])
+            u = np.unique(np.concatenate([*(own for own, _, _, _, _ in held), [START]]))
+            code = np.concatenate([np.searchsorted(u, own).astype(np.int32)[c] for own, c, _, _, _ in held])
+            held.clear()
+            key = code.astype(np.int64) * len(u)
+            key[1:] += code[:-1]
             first = np.cumsum(lengths) - lengths
-            key[first] += code[-1] - np.where(first > 0, code[first - 1], 0)
-            key = key * len(lengths) + doc  # below 2**63 for 2**21 words and texts
-            del code, doc
-            key, times = np.unique(key, return_counts=True)
-            pair, doc = np.divmod(key, len(lengths))
-            w, h = np.divmod(pair, len(u))
-            del key, pair
-            b = _bucket(u[w], u[h], hot, buckets)
+            key[first] += np.searchsorted(u, START) - np.where(first > 0, code[first - 1], 0)
+            del code
+            key *= len(lengths)  # below 2**63 for 2**21 words and texts
+            key += np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+            key.sort()
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            times = np.diff(at, append=len(key)).astype(np.int32)
+            key = key[at]
+            del at
+            doc = (key % len(lengths)).astype(np.int32)
+            key //= len(lengths)
+            w, h = (key // len(u)).astype(np.int32), (key % len(u)).astype(np.int32)
+            del key
+            b = np.concatenate([_bucket(u[w[i : i + SLICE]], u[h[i : i + SLICE]], hot, buckets).astype(np.int32) for i in range(0, len(w), SLICE)])
             ids = (np.int64(number) << TEXT_BITS) + np.arange(len(lengths))
             order = np.argsort(b, kind="stable")
             edge = np.searchsorted(b[order], np.arange(buckets + 1))
@@ -178,7 +185,8 @@ def _pairs(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 if held and size + len(x) > BATCH_TOKENS:
                     yield done()
                     held, size, number = [], 0, number + 1
-                held.append((x, offset, pdf["uid"].to_numpy()[rows], pdf["held"].to_numpy()[rows]))
+                own, code = np.unique(x, return_inverse=True)
+                held.append((own, code.astype(np.int32), offset, pdf["uid"].to_numpy()[rows], pdf["held"].to_numpy()[rows]))
                 size += len(x)
         if held:
             yield done()
@@ -222,7 +230,7 @@ def _count(pdf: pd.DataFrame, hot: np.ndarray, hot_counts: np.ndarray, buckets:
     del order
     new = np.concatenate([[True], key[1:] != key[:-1]])
     first = np.flatnonzero(new)
-    c2 = np.add.reduceat(np.where(held_doc[d], 0, times).astype(np.int64), first)
+    c2 = np.add.reduceat(np.where(held_doc[d], 0, times), first, dtype=np.int64)
     pw, ph = np.divmod(key[first], len(histories))
     del key
     new_w = np.concatenate([[True], pw[1:] != pw[:-1]])
@@ -246,13 +254,21 @@ def _count(pdf: pd.DataFrame, hot: np.ndarray, hot_counts: np.ndarray, buckets:
         columns += [_ones(ih[c == r], n) for r in range(1, K + 1)] + [np.rint(np.bincount(ih, np.where(c > K, c, 0), minlength=n)).astype(np.int64)]
     yield from _split("history", columns[0], buckets, columns)
 
-    of = np.cumsum(new) - 1  # each row's pair
-    n, t = len(docs), times.astype(float)
+    of = np.cumsum(new, dtype=np.int32) - 1  # each row's pair
+    n = len(docs)
+
+    def total(values: np.ndarray) -> np.ndarray:
+        """Each text's sum of its pairs' values."""
+        out = np.zeros(n)
+        for i in range(0, len(d), SLICE):
+            part = slice(i, i + SLICE)
+            out += np.bincount(d[part], times[part] * values[of[part]], minlength=n)
+        return out
+
     # what a token adds to its text's sum: log10 of its pair's count, less that of its own as the next one's history
     log_pair = np.log10(np.maximum(c2, 1)) - np.where(pw == END, 0.0, np.log10(np.maximum(c1, 1)))
-    base = np.bincount(d, t * np.log10(c1 + 1)[of], minlength=n)
-    log = np.bincount(d, t * log_pair[of], minlength=n)
-    whole = lambda keep: np.rint(np.bincount(d, np.where(keep[of], t, 0.0), minlength=n)).astype(np.int64)
+    base, log = total(np.log10(c1 + 1)), total(log_pair)
+    whole = lambda keep: np.rint(total(keep)).astype(np.int64)
     per = [whole(c2 == r) for r in range(1, K + 1)] + [whole(c2 > K)]
     yield from _split("text", docs, buckets, [docs, whole(c1 > 0), base, log, *per])
 
