@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.llm import textops
@@ -26,6 +26,8 @@ from voxlake.storage import cut
 SEED = 42
 #: Fingerprints of a shard that is not split again; and of a leaf, where all pairs are compared.
 SHARD_ROWS, LEAF = 20_000, 256
+#: More than the rings of any shard: 64 * words + radius bits over rings of 2 * radius + 1.
+N_RINGS = 1 << 10
 
 
 def fingerprint(raw: bytes, k: int, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
@@ -77,7 +79,8 @@ def fields(bits: int, radius: int, n: int) -> list[np.ndarray]:
 
 def samples(bits: int, radius: int, n: int, recall: float, seed: int = 5) -> list[np.ndarray]:
     """Random sets of bits of which two fingerprints ``radius`` apart agree on at least one with probability ``recall``."""
-    size = max(8, math.ceil(math.log2(max(n, 2))) - 4)
+    # about 2**8 fingerprints agree on a set by chance: comparing those costs less than the trees that larger sets would need
+    size = max(8, math.ceil(math.log2(max(n, 2))) - 8)
     same = math.comb(bits - radius, size) / math.comb(bits, size)
     count = math.ceil(math.log(1 - recall) / math.log(1 - same))
     rng = np.random.default_rng(seed)
@@ -86,7 +89,10 @@ def samples(bits: int, radius: int, n: int, recall: float, seed: int = 5) -> lis
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hamming distance of fingerprints; the last axis holds their 64-bit words."""
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    out = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16)
+    for w in range(1, a.shape[-1]):
+        out += np.bitwise_count(a[..., w] ^ b[..., w])
+    return out
 
 
 def _masks(sets: list[np.ndarray], words: int) -> np.ndarray:
@@ -174,14 +180,20 @@ def _links(f: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.
     return child, forest.label[child]
 
 
+def number(cols: list[str]) -> Column:
+    """A number for each distinct fingerprint: itself, or a hash where it is longer."""
+    return F.col(cols[0]) if len(cols) == 1 else F.xxhash64(*cols)
+
+
 def near_links(prints: DataFrame, radius: int, sets: list[np.ndarray], words: int = 1, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(a, b): links of distinct fingerprints (id, f0, f1...) within ``radius`` bits that agree on one of ``sets``; a spanning forest
+    """(a, b): links of distinct fingerprints (f0, f1...), by their numbers, within ``radius`` bits that agree on one of ``sets``; a spanning forest
     of each shard's, so every two fingerprints linked by a chain of such pairs are linked by a chain of these."""
     cols = [f"f{i}" for i in range(words)]
     masks = _masks(sets, words)
     rng = np.random.default_rng(11)
     vantage = rng.integers(0, 1 << 64, (4, words), dtype=np.uint64)  # random points: their rings depend on no data
-    schema = f"tree int, shard long, ring int, id long, {', '.join(c + ' long' for c in cols)}"
+    paths = 65 ** len(vantage)
+    schema = f"shard long, {', '.join(c + ' long' for c in cols)}"
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -190,17 +202,18 @@ def near_links(prints: DataFrame, radius: int, sets: list[np.ndarray], words: in
                 path = np.zeros(len(pdf), np.int64)
                 for v in vantage:
                     path = path * 65 + distance(f & m, v & m)
-                yield pd.DataFrame({"tree": t, "shard": path, "ring": 0, "id": pdf["id"], **{c: pdf[c] for c in cols}})
+                yield pd.DataFrame({"shard": t * paths + path, **{c: pdf[c] for c in cols}})
 
-    dealt = prints.select("id", *cols).mapInPandas(deal, schema)
-    big = dealt.groupBy("tree", "shard").agg(F.count("*").alias("n"), F.min_by(F.struct(*cols), "id").alias("v")).where(F.col("n") > shard_rows)
-    big = big.select(F.col("tree").alias("t"), F.col("shard").alias("s"), "v")
+    dealt = prints.select(*cols).mapInPandas(deal, schema)
+    big = dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows).select(F.col("shard").alias("s"))
+    big = dealt.join(big, F.col("shard") == F.col("s")).groupBy("s").agg(F.min(F.struct(*cols)).alias("v"))
     near = [F.bit_count(F.col(c).bitwiseXOR(F.col("v")[c])) for c in cols]
     width = 2 * radius + 1
     d = sum(near[1:], near[0])
     rings = F.when(F.col("v").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(F.array(F.floor(d / width).cast("int"), F.floor((d + radius) / width).cast("int"))))
-    split = dealt.join(big, (F.col("tree") == F.col("t")) & (F.col("shard") == F.col("s")), "left").withColumn("ring", F.explode(rings))
-    split = split.select("tree", "shard", "ring", "id", *cols)
+    split = dealt.join(big, F.col("shard") == F.col("s"), "left").withColumn("ring", F.explode(rings))
+    # one number names a tree's shard's ring: the rows that are exchanged hold nothing but it and the fingerprint
+    split = split.select((F.col("shard") * N_RINGS + F.col("ring")).alias("shard"), *cols)
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -208,8 +221,9 @@ def near_links(prints: DataFrame, radius: int, sets: list[np.ndarray], words: in
         def done() -> pd.DataFrame:
             pdf = pd.concat(held, ignore_index=True)
             f = pdf[cols].to_numpy().view(np.uint64).reshape(len(pdf), words)
-            m = f & masks[pdf["tree"].to_numpy()]
-            key = pdf["tree"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pdf["ring"].to_numpy().astype(np.uint64)
+            tree, ring = np.divmod(pdf["shard"].to_numpy(), paths * N_RINGS)
+            m = f & masks[tree]
+            key = tree.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (ring % N_RINGS).astype(np.uint64)
             for w in range(words):  # the tree's last levels: only equal fields can be near
                 key = textops.mix(key + m[:, w])
             ids = pdf["id"].to_numpy()
@@ -219,7 +233,7 @@ def near_links(prints: DataFrame, radius: int, sets: list[np.ndarray], words: in
         # a partition comes sorted by shard; whole shards are taken together up to a number of rows
         last, rows = None, 0
         for pdf in batches:
-            name = pdf["tree"].astype("int64") * 65**5 + pdf["shard"] * 65 + pdf["ring"]
+            name = pdf["shard"]
             starts = np.flatnonzero(np.concatenate([[name.iloc[0] != last if len(name) else False], name.to_numpy()[1:] != name.to_numpy()[:-1]])) if len(name) else []
             at = 0
             for s in starts:
@@ -234,16 +248,15 @@ def near_links(prints: DataFrame, radius: int, sets: list[np.ndarray], words: in
         if held:
             yield done()
 
-    return split.repartition("tree", "shard", "ring").sortWithinPartitions("tree", "shard", "ring").mapInPandas(link, "a long, b long")
+    exchanged = split.repartition("shard").sortWithinPartitions("shard").withColumn("id", number(cols))
+    return exchanged.mapInPandas(link, "a long, b long")
 
 
 def components(printed: DataFrame, id_col: str, radius: int, words: int = 1, recall: float | None = None, near: int | None = None) -> DataFrame:
     """From rows with an id and fingerprints: (f0, f1..., component): the smallest id that a chain of links within ``radius`` reaches."""
     cols = [f"f{i}" for i in range(words)]
     distinct = printed.groupBy(*cols).agg(F.min(id_col).alias("smallest"))
-    # a number for each distinct fingerprint: itself, or a hash where it is longer
-    number = F.col("f0") if words == 1 else F.xxhash64(*cols)
-    distinct = cut(distinct.withColumn("id", number))
+    distinct = cut(distinct.withColumn("id", number(cols)))
     n = distinct.count()
     sets = fields(64 * words, radius, n) if recall is None else samples(64 * words, near or radius, n, recall)
     linked = connected_components(near_links(distinct, radius, sets, words))
