@@ -6,8 +6,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from voxlake import queries, scene_queries  # noqa: F401
-from voxlake.operators import fold, grounding, points, temporal
+from voxlake import camera_queries, queries, scene_queries  # noqa: F401
+from voxlake.operators import camera, fold, grounding, points, surface, temporal
 from voxlake.operators.components import connected_components
 from voxlake.streaming import live_map, sync
 
@@ -86,3 +86,18 @@ def test_trilinear_clamps_and_takes_defaults(spark):
     at = spark.createDataFrame([(1, -5.0, 0.0, 0.0), (2, 1.0, 0.5, 0.5), (3, 9.0, 0.5, 0.5), (4, None, 0.0, 0.0)], "id int, x double, y double, z double")
     got = {r.id: r.v for r in points.trilinear(at, voxels, (3, 1, 1), {"v": 1.0}, 0.0, 1.0).collect()}
     assert got == {1: 2.0, 2: 3.0, 3: 1.0}
+
+
+def test_crossings_count_missing_voxels_as_outside(spark):
+    voxels = spark.createDataFrame([(0, 0, 0, -1.0, 1.0), (1, 0, 0, 0.0, 1.0), (0, 1, 0, -1.0, 0.0), (None, 0, 0, -1.0, 1.0)], "i long, j long, k long, tsdf double, weight double")
+    got = {(r.i, r.j, r.k, r.axis): (r.x, r.y, r.z) for r in surface.crossings(voxels, (3, 2, 1), 0.0, 1.0).collect()}
+    assert got == {(0, 0, 0, 0): (1.5, 0.5, 0.5), (0, 0, 0, 1): (0.5, 1.0, 0.5)}
+    assert surface.crossings(voxels.limit(0), (3, 2, 1)).count() == 0
+
+
+def test_visible_blocks_of_plain_cases(spark):
+    pose = "frame_id int, qx double, qy double, qz double, qw double, tx double, ty double, tz double"
+    frames = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0, 0.5, 0.5, 0.0), (2, 0.0, 2.0, 0.0, 0.0, 0.5, 0.5, 0.0), (3, 0.0, 0.0, 0.0, 0.0, 0.5, 0.5, 0.0), (4, None, 0.0, 0.0, 1.0, 0.5, 0.5, 0.0)], pose)
+    blocks = spark.createDataFrame([(0, 0, 2), (0, 0, 2), (0, 0, -3), (0, 0, 9), (9, 0, 2)], "bx long, by long, bz long")
+    got = {(r.frame_id, r.bx, r.by, r.bz) for r in camera.visible_blocks(frames, blocks, 1.0, 1.0, 2, 2, 4.0).collect()}
+    assert got == {(1, 0, 0, 2), (2, 0, 0, -3)}
