@@ -3,6 +3,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,26 @@ def test_mix_nears_its_targets(spark):
     assert (d.taken <= 2 * d["size"]).all()
     per = d.merge(docs[["doc_id", "source"]]).groupby("source").agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"))
     assert per.target.sum() == pytest.approx(1.5 * per["size"].sum()) and (abs(per.taken - per.target) <= per["size"] / 100 + 1).all()
+
+
+@pytest.mark.parametrize("words,radius", [(1, 4), (4, 50)])
+def test_links_of_split_shards_join_what_all_pairs_join(spark, words, radius):
+    """Shards above 40 rows are split into rings; a third of the fingerprints are near copies of one."""
+    rng = np.random.default_rng(words)
+    f = rng.integers(0, 1 << 64, (300, words), dtype=np.uint64)
+    for i in range(200, 300):
+        f[i] = f[0]
+        for b in rng.choice(64 * words, radius // 2, replace=False).tolist():
+            f[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    f = np.unique(f, axis=0)
+    cols = [f"f{i}" for i in range(words)]
+    df = spark.createDataFrame(pd.DataFrame(f.view(np.int64), columns=cols)).withColumn("id", simhash.number(cols))
+    sets = simhash.fields(64, radius, len(f)) if words == 1 else simhash.samples(64 * words, radius, len(f), 0.9999)
+    numbers = {tuple(r[c] for c in cols): r["id"] for r in df.collect()}
+    ids = [numbers[tuple(row)] for row in f.view(np.int64).tolist()]
+    forest, theirs = simhash.Forest(len(f)), simhash.Forest(len(f))
+    forest.join(*np.nonzero(np.triu(simhash.distance(f[:, None], f[None]) <= radius, 1)))
+    links = simhash.near_links(df, radius, sets, words, shard_rows=40).toPandas()
+    at = {v: i for i, v in enumerate(ids)}
+    theirs.join(links["a"].map(at).to_numpy(), links["b"].map(at).to_numpy())
+    assert (forest.label == theirs.label).all() and (forest.label != np.arange(len(f))).any()
