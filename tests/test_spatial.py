@@ -6,9 +6,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from voxlake import camera_queries, queries, scene_queries  # noqa: F401
+from voxlake import camera_queries, map_queries, queries, scene_queries  # noqa: F401
 from voxlake.operators import camera, fold, grounding, points, surface, temporal
 from voxlake.operators.components import connected_components
+from voxlake.sources import maps
 from voxlake.streaming import live_map, sync
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +102,12 @@ def test_visible_blocks_of_plain_cases(spark):
     blocks = spark.createDataFrame([(0, 0, 2), (0, 0, 2), (0, 0, -3), (0, 0, 9), (9, 0, 2)], "bx long, by long, bz long")
     got = {(r.frame_id, r.bx, r.by, r.bz) for r in camera.visible_blocks(frames, blocks, 1.0, 1.0, 2, 2, 4.0).collect()}
     assert got == {(1, 0, 0, 2), (2, 0, 0, -3)}
+
+
+def test_saved_map_refuses_another_model(spark, tmp_path):
+    voxels = spark.createDataFrame([(0, 0, 0, 1.0), (9, 0, 0, 2.0), (None, 0, 0, 3.0)], "i long, j long, k long, tsdf double")
+    maps.save(voxels, f"{tmp_path}/m", "a", 0.1, slab=4)
+    assert maps.load(spark, f"{tmp_path}/m", "a").count() == 3 and maps.load(spark, f"{tmp_path}/m").where("i is null").count() == 1
+    assert [r.i for r in maps.load(spark, f"{tmp_path}/m", "", 4, 9).collect()] == [9]
+    with pytest.raises(ValueError):
+        maps.load(spark, f"{tmp_path}/m", "b")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,17 @@ def colormap(x: Column, stops: list[tuple[int, int, int]]) -> list[Column]:
 
 def slug(text: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(F.lit("_"), F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_")), F.lit("")), F.lit("query"))
+
+
+def patch(u: Column, v: Column, width: int, height: int, side: int, step: int) -> list[Column]:
+    """Column and row of the patch of ``step`` pixels that holds a pixel, after the shorter side is scaled to ``side`` and the middle cut out; null outside."""
+    scale, last = side / min(width, height), side // step - 1
+    at = [c * scale - (n * scale - side) / 2 for c, n in ((u, width), (v, height))]
+    inside = (at[0] >= 0) & (at[0] < side) & (at[1] >= 0) & (at[1] < side)
+    return [F.when(inside, F.least(F.greatest(a / step, F.lit(0.0)), F.lit(float(last))).cast("int")) for a in at]
+
+
+def weighted_mean(df: DataFrame, keys: list[str], weight: str, values: list[str]) -> DataFrame:
+    """(keys, values): means by weight within each key; null where the weights add up to zero. Sums combine before the exchange."""
+    total = F.sum(weight)
+    return df.groupBy(*keys).agg(*(F.when(total != 0, F.sum(F.col(weight) * F.col(v)) / total).alias(v) for v in values))
