@@ -151,3 +151,36 @@ def test_links_of_split_shards_join_what_all_pairs_join(spark, words, radius):
     at = {v: i for i, v in enumerate(ids)}
     theirs.join(links["a"].map(at).to_numpy(), links["b"].map(at).to_numpy())
     assert (forest.label == theirs.label).all() and (forest.label != np.arange(len(f))).any()
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_near_dedup_equals_exact_similarity(spark, monkeypatch, block):
+    """Planted pairs at 0.5 to 0.95, a group that shares half of its words, a chain, copies and odd rows, against all pairs' shingles."""
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    texts = [None, "", "", "One two", "one  TWO", "one two three"]
+    for j in np.repeat([0.5, 0.6, 0.7, 0.74, 0.78, 0.83, 0.87, 0.95], 12):
+        own = word(300)
+        n = round(296 * (1 - j) / (1 + j))  # changed at the end: j of the shingles are shared
+        texts += [" ".join(own), " ".join(own[: 300 - n] + word(n))]
+    shared = word(100)
+    texts += [" ".join(shared + word(50)) for _ in range(40)]
+    chain = word(300)
+    texts += [" ".join(chain[i * 15 : i * 15 + 200]) for i in range(6)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id at all"), (7, texts[7]), (7, "another text of that id"), (900, texts[8])]
+
+    def sets(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    every = [sets(t) for _, t in rows]
+    forest = simhash.Forest(len(rows))
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(every[i] & every[j]) >= 4 * len(every[i] | every[j])]
+    forest.join(*(np.array(x) for x in zip(*near, strict=True)))
+    per = {}
+    for (i, t), label in zip(rows, forest.label.tolist(), strict=True):
+        per.setdefault(label, []).append((i is not None, -1 if i is None else i, t))
+    got = simhash.stage_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert len(got) == len(per)
+    assert sorted((r.doc_id is not None, r.doc_id or -1) for r in got) == sorted((a, i or -1) for a, i, _ in (min(v, key=lambda x: x[:2]) for v in per.values()))

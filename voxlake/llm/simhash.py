@@ -11,7 +11,7 @@ Within a shard, a tree of vantage points prunes by the triangle inequality.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -292,14 +292,142 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
     return r.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: The stage's links: of 256 bits over 5-word shingles, 39 differ on average where 0.8 of all shingles are shared; 50 are two standard errors more.
+def shingles(texts: list, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of each text's distinct k-word shingles, in lower case; a shorter text is one shingle."""
+    docs, hashes = [], []
+    for first, raw in textops.chunks(texts, lower=True):
+        w = textops.words(raw)
+        h = np.append(w.hashes(), np.uint64(0))
+        n = np.diff(w.offset)
+        count = np.maximum(n - k + 1, 1)
+        doc = np.repeat(np.arange(len(raw)), count)
+        at = w.offset[doc] + np.arange(len(doc)) - (np.cumsum(count) - count)[doc]
+        size = np.minimum(n, k)[doc]
+        s = size.astype(np.uint64)
+        for j in range(k):
+            s = textops.mix(s * np.uint64(0x9E3779B97F4A7C15) + np.where(j < size, h[np.minimum(at + j, len(h) - 1)], np.uint64(0)))
+        order = np.lexsort((s, doc))
+        doc, s = doc[order], s[order]
+        once = np.concatenate([[True], (doc[1:] != doc[:-1]) | (s[1:] != s[:-1])])
+        docs.append(doc[once] + first)
+        hashes.append(s[once])
+    return np.concatenate(docs), np.concatenate(hashes)
+
+
+def _similar(texts: list, group: np.ndarray, left: np.ndarray, right: np.ndarray, k: int, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of a left and a right text of equal group whose shingle sets' Jaccard similarity is at least p / q."""
+    doc, s = shingles(texts, k)
+    size = np.bincount(doc, minlength=len(texts))
+    held = textops.mix(s + group[doc].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(held, kind="stable")  # texts ascend within each shingle
+    held, doc = held[order], doc[order]
+    begin = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    runs = np.diff(np.append(begin, len(held)))
+    run = np.repeat(runs, runs)
+    following = np.repeat(begin + runs, runs) - np.arange(len(held)) - 1
+    n = len(texts)
+    common = np.zeros((n, n), np.int32)
+    for o in range(1, int(runs[runs <= 32].max(initial=1))):
+        at = np.flatnonzero((run <= 32) & (following >= o))
+        np.add.at(common.ravel(), doc[at] * n + doc[at + o], 1)
+    # shingles of many texts: products of the columns of a table
+    of, rows = np.unique(held[run > 32], return_inverse=True)[1], doc[run > 32]
+    for c in range(0, int(of.max(initial=-1)) + 1, 1024):
+        at = slice(*np.searchsorted(of, [c, c + 1024]))
+        table = np.zeros((n, 1024), np.float32)
+        table[rows[at], of[at] - c] = 1
+        common += np.triu(table @ table.T, 1).astype(np.int32)
+    i, j = np.nonzero(common)
+    p, q = similarity
+    # c / (|a| + |b| - c) >= p / q, in whole numbers
+    near = (p + q) * common[i, j].astype(np.int64) >= p * (size[i] + size[j])
+    near &= left[i] & right[j] | left[j] & right[i]
+    forest = Forest(len(texts))
+    forest.join(i[near], j[near])
+    child = np.flatnonzero(forest.label != np.arange(len(texts)))
+    return child, forest.label[child]
+
+
+def similar_links(texts: DataFrame, k: int, similarity: tuple[int, int], block: int) -> DataFrame:
+    """(a, b): links of the texts (h, text, c, m), by their hashes h, within each candidate group c of m texts, compared exactly; they join
+    what all pairs join. Groups of more than ``block`` texts are dealt in blocks, and every two blocks meet in a task."""
+    blocks = F.ceil(F.col("m") / block)
+    dealt = texts.select("h", "text", "c", blocks.alias("blocks"), F.pmod(F.xxhash64("h"), blocks).alias("own"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("c", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "h", "text")
+
+    def groups(pdf: pd.DataFrame) -> np.ndarray:
+        """Where each (c, x, y) begins."""
+        at = pdf[["c", "x", "y"]].to_numpy()
+        return np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(axis=1)]))
+
+    def linked(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        starts = groups(pdf)
+        number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(pdf))))
+        edge = starts[np.unique(starts // block, return_index=True)[1]]  # whole groups, about a block of rows at a time
+        for s, e in zip(edge, np.append(edge[1:], len(pdf)), strict=True):
+            part = pdf.iloc[s:e]
+            own, h = part["own"].to_numpy(), part["h"].to_numpy()
+            a, b = _similar(part["text"].tolist(), number[s:e], own == part["x"].to_numpy(), own == part["y"].to_numpy(), k, similarity)
+            yield pd.DataFrame({"a": h[a], "b": h[b]})
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            last = groups(rest)[-1]
+            if last:
+                yield from linked(rest.iloc[:last])
+                rest = rest.iloc[last:]
+        if rest is not None:
+            yield from linked(rest)
+
+    return dealt.repartition("c", "x", "y").sortWithinPartitions("c", "x", "y").mapInPandas(verify, "a long, b long")
+
+
+def _filter(members: DataFrame, col: str, bits: int = 1 << 26) -> Callable[[Column], Column]:
+    """A test that holds for every value of ``col`` in ``members`` and for few others: a bitmap of 8 MB at most."""
+    bits = min(bits, 1 << max(15, (8 * members.count()).bit_length()))
+    place = F.pmod(F.xxhash64(col), F.lit(bits)) + 1
+    rows = members.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("b")).collect()  # at most bits / 2**15
+    held = np.zeros((bits >> 15, 1 << 12), np.uint8)
+    for r in rows:
+        held[r.k - 1] = np.frombuffer(r.b, np.uint8)
+    sent = members.sparkSession.sparkContext.broadcast(held.ravel())
+
+    @F.pandas_udf("boolean")
+    def may_hold(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((sent.value[at >> 3] >> (at & 7) & 1).astype(bool))
+
+    return lambda c: may_hold(F.pmod(F.xxhash64(c), F.lit(bits)))
+
+
+#: The stage's candidates: of 256 bits over 5-word shingles, 39 differ on average where 0.8 of all shingles are shared; 50 are two standard errors more.
 STAGE = {"k": 5, "radius": 50, "words": 4, "recall": 0.995, "near": 39}
+#: The least Jaccard similarity of the sets of 5-word shingles of linked texts; texts that are compared at once.
+SIMILARITY, BLOCK = (4, 5), 1000
 
 
 def stage_near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; of rows equal in id and text one stays, and of equal ids the text with the smallest hash."""
+    """The document with the smallest id of each component; of rows equal in id and text one stays, and of equal ids the text with the smallest hash.
+
+    Chains of near fingerprints only propose groups of texts; within a group texts are linked where the Jaccard similarity of their shingle sets is at least 0.8.
+    """
     keyed = docs.withColumn("key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")))
     ids = keyed.select("key", "text")
-    printed = near_duplicates(ids.withColumn("n", F.col("key")), "n", "text", **STAGE)
-    keep = printed.where(F.col("n") == F.col("component")).select(F.col("n").alias("key")).distinct()
-    return keyed.join(keep, "key").dropDuplicates(["key"]).select(*docs.columns)
+    printed = cut(near_duplicates(ids.withColumn("n", F.col("key")), "n", "text", **STAGE).select("n", F.col("n.h").alias("h"), F.xxhash64("component").alias("c")))
+    per = printed.groupBy("c", "h").agg(F.count("*").alias("rows"))
+    groups = per.groupBy("c").agg(F.count("*").alias("m"), F.sum("rows").alias("rows")).where("rows > 1").drop("rows")
+    members = cut(per.join(groups, "c").select("h", "c", "m"))
+    # rows that are alone in their group go past the exchanges; the filter lets some of them through, which does not matter
+    maybe = _filter(members, "h")
+    keyed = keyed.withColumn("maybe", maybe(F.col("key.h")))
+    held = keyed.where("maybe")
+    texts = held.select(F.col("key.h").alias("h"), "text").groupBy("h").agg(F.first("text").alias("text")).join(members.where("m > 1"), "h")
+    linked = connected_components(similar_links(texts, STAGE["k"], SIMILARITY, BLOCK)).withColumnRenamed("node", "h")
+    keep = printed.join(linked, "h", "left").groupBy(F.coalesce("component", "h")).agg(F.min("n").alias("key")).select("key")
+    kept = held.join(keep, "key").dropDuplicates(["key"]).select(*docs.columns)
+    return keyed.where("not maybe").select(*docs.columns).union(kept)
