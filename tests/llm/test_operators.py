@@ -184,3 +184,13 @@ def test_near_dedup_equals_exact_similarity(spark, monkeypatch, block):
     got = simhash.stage_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     assert len(got) == len(per)
     assert sorted((r.doc_id is not None, r.doc_id or -1) for r in got) == sorted((a, i or -1) for a, i, _ in (min(v, key=lambda x: x[:2]) for v in per.values()))
+
+
+@pytest.mark.parametrize("n", [10**4, 10**6, 14 * 10**6])
+def test_candidates_at_the_radius_reach_the_recall(n):
+    bits, radius, recall = 64 * simhash.STAGE["words"], simhash.STAGE["radius"], simhash.STAGE["recall"]
+    sets = simhash._masks(simhash.samples(bits, simhash.STAGE.get("near") or radius, n, recall), 4)
+    rng = np.random.default_rng(6)
+    apart = simhash._masks([rng.choice(bits, radius, replace=False) for _ in range(2000)], 4)
+    found = ((sets[None] & apart[:, None]) == 0).all(axis=2).any(axis=1)
+    assert found.mean() >= recall - 0.006

@@ -206,12 +206,13 @@ def near_links(prints: DataFrame, radius: int, sets: list[np.ndarray], words: in
 
     dealt = prints.select(*cols).mapInPandas(deal, schema)
     big = dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows).select(F.col("shard").alias("s"))
+    big = F.broadcast(big)  # a row for each shard_rows dealt rows at most
     big = dealt.join(big, F.col("shard") == F.col("s")).groupBy("s").agg(F.min(F.struct(*cols)).alias("v"))
     near = [F.bit_count(F.col(c).bitwiseXOR(F.col("v")[c])) for c in cols]
     width = 2 * radius + 1
     d = sum(near[1:], near[0])
     rings = F.when(F.col("v").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(F.array(F.floor(d / width).cast("int"), F.floor((d + radius) / width).cast("int"))))
-    split = dealt.join(big, F.col("shard") == F.col("s"), "left").withColumn("ring", F.explode(rings))
+    split = dealt.join(F.broadcast(big), F.col("shard") == F.col("s"), "left").withColumn("ring", F.explode(rings))
     # one number names a tree's shard's ring: the rows that are exchanged hold nothing but it and the fingerprint
     split = split.select((F.col("shard") * N_RINGS + F.col("ring")).alias("shard"), *cols)
 
@@ -406,7 +407,7 @@ def _filter(members: DataFrame, col: str, bits: int = 1 << 26) -> Callable[[Colu
 
 
 #: The stage's candidates: of 256 bits over 5-word shingles, 39 differ on average where 0.8 of all shingles are shared; 50 are two standard errors more.
-STAGE = {"k": 5, "radius": 50, "words": 4, "recall": 0.995, "near": 39}
+STAGE = {"k": 5, "radius": 50, "words": 4, "recall": 0.995}
 #: The least Jaccard similarity of the sets of 5-word shingles of linked texts; texts that are compared at once.
 SIMILARITY, BLOCK = (4, 5), 1000
 
