@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from voxlake.llm import chat, decontaminate, licenses, mixing, pii, quality, queries, records, sharding, simhash
+from voxlake.llm import chat, decontaminate, katz, licenses, mixing, pii, quality, queries, records, sharding, simhash
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None, "a"), (2, "", None), (3, "x", "a"), (3, "x", "a"), (None, "one two three", "b"), (4, "w " * 9000, "b"), (5, "mail a@b.co or +1 (234) 555-0000", "b"), (6, "é ß MIT License.\n\nMIT License.", "b")]
@@ -194,3 +194,17 @@ def test_candidates_at_the_radius_reach_the_recall(n):
     apart = simhash._masks([rng.choice(bits, radius, replace=False) for _ in range(2000)], 4)
     found = ((sets[None] & apart[:, None]) == 0).all(axis=2).any(axis=1)
     assert found.mean() >= recall - 0.006
+
+
+def test_discounts_stay_good_turing_with_uneven_counts():
+    law = [10**6 / r**2 for r in range(1, katz.K + 2)]
+    common = (katz.K + 1) * law[katz.K] / law[0]
+    exact = [((r + 1) * law[r] / law[r - 1] / r - common) / (1 - common) for r in range(1, katz.K + 1)]
+    assert katz.discounts(law) == pytest.approx(exact)
+    # more things seen five times than four, as groups of copies make them
+    uneven = list(law)
+    uneven[4] = 1.2 * uneven[3]
+    d = katz.discounts(uneven)
+    assert d == sorted(d) and 0 < d[0] and d[-1] < 1
+    assert d == pytest.approx(exact, abs=0.06)  # absolute discounting is 0.067 to 0.078 off
+    assert katz.discounts([3, 1, 0, 0, 0, 0]) == pytest.approx([1 - 0.6 / r for r in range(1, katz.K + 1)])

@@ -2,7 +2,7 @@
 
 P(w | h) = d2(c) c(h, w) / c(h) where the pair was seen c > 0 times in training, and a(h) P(w) otherwise; P(w) = d1(c) c(w) / N, and what the
 discounts leave over where w was never seen. a(h) shares what the discounts of h's pairs leave over among the words not seen after h, so that
-each history's probabilities add up to one. Discounts are Good-Turing's up to a count of K; above it counts keep LARGE of themselves, so
+each history's probabilities add up to one. Discounts are Good-Turing's, of smoothed counts of counts, up to a count of K; above it counts keep LARGE of themselves, so
 that every history has something to give.
 
 Pairs are dealt by their word, so a bucket knows c(w) and c(h, w) of all of its pairs. Frequent words, whose counts are counted first, are dealt by word and
@@ -70,12 +70,15 @@ def narrow(x: np.ndarray) -> np.ndarray:
 
 
 def discounts(n: list[int]) -> list[float]:
-    """d(1)..d(K) from the numbers n of things seen 1..K+1 times; those of absolute discounting where Good-Turing's are not within (0, 1)."""
-    common = (K + 1) * n[K] / n[0] if n[0] else 1.0
-    if all(n) and common < 1:
-        d = [((r + 1) * n[r] / n[r - 1] / r - common) / (1 - common) for r in range(1, K + 1)]
-        if all(0 < x < 1 for x in d):
-            return d
+    """Good-Turing's d(1)..d(K) from the numbers n of things seen 1..K+1 times, smoothed by a line through log n(r) over log r.
+
+    The line keeps every d(r) within (0, 1) if its slope is below -1. Otherwise, or if some n(r) is zero, as in tiny tables, those of absolute discounting.
+    """
+    if all(n):
+        slope = np.polyfit(np.log(np.arange(1, K + 2)), np.log(n), 1)[0]
+        if slope < -1:
+            common = (K + 1) ** (slope + 1)
+            return [float(((1 + 1 / r) ** (slope + 1) - common) / (1 - common)) for r in range(1, K + 1)]
     amount = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
     return [1 - amount / r for r in range(1, K + 1)]
 
