@@ -2,12 +2,13 @@ import random
 from numbers import Number
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from voxlake import camera_queries, map_queries, queries, scene_queries  # noqa: F401
-from voxlake.operators import camera, fold, grounding, points, surface, temporal
+from voxlake.operators import camera, fold, grounding, points, quantile, surface, temporal
 from voxlake.operators.components import connected_components
 from voxlake.sources import maps
 from voxlake.streaming import live_map, sync
@@ -111,3 +112,41 @@ def test_saved_map_refuses_another_model(spark, tmp_path):
     assert [r.i for r in maps.load(spark, f"{tmp_path}/m", "", 4, 9).collect()] == [9]
     with pytest.raises(ValueError):
         maps.load(spark, f"{tmp_path}/m", "b")
+
+
+@pytest.mark.parametrize("accuracy", [20, 100_000])
+def test_quantiles_equal_numpy(spark, monkeypatch, accuracy):
+    """Ties, nulls, NaN, small groups and brackets narrower than the groups."""
+    monkeypatch.setattr(quantile, "ACCURACY", accuracy)
+    rng = np.random.default_rng(3)
+    rows = [("a", float(x)) for x in rng.normal(size=900)] + [("b", float(x)) for x in rng.integers(0, 4, 500)] + [("c", 1.5), ("d", 2.0), ("d", 7.0), ("a", None), ("b", float("nan")), ("e", None)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = {"low": 0.0, "some": 0.37, "most": 0.9, "top": 1.0}
+    known = {g: [x for h, x in rows if h == g and x is not None and x == x] for g in "abcd"}
+    got = {r.g: r for r in quantile.quantiles(df, "x", shares, ["g"]).collect()}
+    assert sorted(got) == sorted(known)
+    for g, xs in known.items():
+        assert [got[g][k] for k in shares] == pytest.approx(list(np.quantile(xs, list(shares.values()))), abs=1e-12) and got[g].n == len(xs)
+    one = quantile.quantiles(df, "x", shares).collect()
+    assert [one[0][k] for k in shares] == pytest.approx(list(np.quantile(sum(known.values(), []), list(shares.values()))), abs=1e-12) and len(one) == 1
+    assert [tuple(r) for r in quantile.quantiles(df.where("g = 'e'"), "x", {"q": 0.5}).collect()] in ([(0, None, None)], [])
+
+
+@pytest.mark.parametrize("eps,side", [(1, 64), (2, 64), (2, 4), (3, 8)])
+def test_clusters_equal_flooding(spark, monkeypatch, eps, side):
+    monkeypatch.setattr(grounding, "BLOCK", side)
+    rng, r = random.Random(eps * side), 2 * (eps - 1) + 1
+    seeds = {(rng.randrange(40) - 9, rng.randrange(14), rng.randrange(14)) for _ in range(160)}
+    label, rest = {}, set(seeds)
+    while rest:
+        todo = [min(rest)]
+        first = todo[0]
+        while todo:
+            p = todo.pop()
+            if p in rest:
+                rest.remove(p)
+                label[p] = first
+                todo += [q for q in rest if max(abs(a - b) for a, b in zip(p, q, strict=True)) <= r]
+    got = {(x.i, x.j, x.k): tuple(x.label) for x in grounding.clusters(spark.createDataFrame([*seeds] * 2, "i long, j long, k long"), eps).collect()}
+    assert got == label

@@ -27,12 +27,12 @@ def g7_quaternion_round_trip(spark, sf_dir):
 _R = "1 - s * (qy * qy + qz * qz) AS r0, s * (qx * qy - qz * qw) AS r1, s * (qx * qz + qy * qw) AS r2, s * (qx * qy + qz * qw) AS r3, 1 - s * (qx * qx + qz * qz) AS r4, s * (qy * qz - qx * qw) AS r5, s * (qx * qz - qy * qw) AS r6, s * (qy * qz + qx * qw) AS r7, 1 - s * (qx * qx + qy * qy) AS r8"
 
 
-@query(f"""WITH v AS ({L.VOXEL_SQL}), q AS (SELECT *, 2.0 / (qx * qx + qy * qy + qz * qz + qw * qw) AS s FROM ({_Q}) WHERE vec_id % 10 = 0), f AS (SELECT vec_id AS frame_id, vec_id / 640.0 AS tx, 0.4 AS ty, -0.5 AS tz, {_R} FROM q),
+@query(f"""WITH v AS ({L.VOXEL_SQL}), q AS (SELECT *, 2.0 / (qx * qx + qy * qy + qz * qz + qw * qw) AS s FROM ({_Q})), f AS (SELECT vec_id AS frame_id, vec_id / 640.0 AS tx, 0.4 AS ty, -0.5 AS tz, {_R} FROM q),
 b AS (SELECT DISTINCT i // 8 AS bx, j // 8 AS by, k // 8 AS bz FROM v), d AS (SELECT f.*, bx, "by", bz, (bx + 0.5) * 0.8 - tx AS dx, ("by" + 0.5) * 0.8 - ty AS dy, (bz + 0.5) * 0.8 - tz AS dz FROM f, b),
 p AS (SELECT frame_id, bx, "by", bz, r0 * dx + r3 * dy + r6 * dz AS x, r1 * dx + r4 * dy + r7 * dz AS y, r2 * dx + r5 * dy + r8 * dz AS z FROM d)
 SELECT frame_id, bx, "by", bz FROM p WHERE z BETWEEN -0.4 * sqrt(3) AND 2 + 0.4 * sqrt(3) AND z * (2.0 / 3) - abs(x) >= -0.4 * sqrt(3) * sqrt(1 + 4.0 / 9) AND z * 0.5 - abs(y) >= -0.4 * sqrt(3) * sqrt(1.25)""")
 def p6_j2_visible_blocks(spark, sf_dir):
-    q = _quaternions(spark, sf_dir).where("vec_id % 10 = 0")  # every tenth vector stands for a frame's pose
+    q = _quaternions(spark, sf_dir)  # every vector stands for a frame's pose
     frames = q.select(F.col("vec_id").alias("frame_id"), "qx", "qy", "qz", "qw", (F.col("vec_id") / 640.0).alias("tx"), F.lit(0.4).alias("ty"), F.lit(-0.5).alias("tz"))
     blocks = L.voxels(spark, sf_dir).select(F.expr("i div 8").alias("bx"), F.expr("j div 8").alias("by"), F.expr("k div 8").alias("bz"))
     return camera.visible_blocks(frames, blocks, 0.8, 60.0, 80, 60, 2.0)

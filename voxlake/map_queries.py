@@ -11,11 +11,11 @@ from voxlake.sources import maps
 from voxlake.storage import new_path
 
 
-@query(f"WITH v AS ({L.VOXEL_SQL}) SELECT vec_id, i, j, k, weight, CAST(round(tsdf, 6) AS DOUBLE) AS tsdf FROM v WHERE i BETWEEN 2 AND 20")
+@query(f"WITH v AS ({L.VOXEL_SQL}) SELECT vec_id, i, j, k, weight, CAST(round(tsdf, 6) AS DOUBLE) AS tsdf FROM v")
 def k1_s11_saved_map(spark, sf_dir):
     path = new_path(spark, "map")
     maps.save(L.voxels(spark, sf_dir), path, "clip", 0.1, slab=4)
-    v = maps.load(spark, path, "clip", 2, 20)
+    v = maps.load(spark, path, "clip")
     return v.select("vec_id", "i", "j", "k", "weight", F.round(F.col("tsdf").cast("double"), 6).alias("tsdf"))
 
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.functions import vector
-from voxlake.operators.components import connected_components
+from voxlake.functions import geometry, vector
+from voxlake.operators.components import Forest, connected_components
+from voxlake.operators.quantile import quantiles
 
 SENTINEL = -1e4
+#: Side of the blocks whose seeds are linked in one task.
+BLOCK = 64
 
 
 def score(voxels: DataFrame, query: list[float], negative: list[float] | None = None) -> DataFrame:
@@ -19,32 +25,67 @@ def score(voxels: DataFrame, query: list[float], negative: list[float] | None =
     return voxels.withColumn("score", vector.inner(F.col("feat"), vector.literal(q)))
 
 
-def seeds(scored: DataFrame, top_percentile: float | None, threshold: float | None, min_weight: float, surface_only: bool, subtract_mean: bool) -> tuple[DataFrame, float]:
-    """Observed voxels with a score at or above the cut, and what was subtracted from scores; the percentile wins over the threshold."""
+def seeds(scored: DataFrame, top_percentile: float | None, threshold: float | None, min_weight: float, surface_only: bool, subtract_mean: bool) -> tuple[DataFrame, DataFrame]:
+    """Observed voxels with a score at or above the cut, and one row with ``mean``, what is subtracted from scores.
+
+    The percentile wins over the threshold, which is of scores less the mean. Voxels equal to the cut pass.
+    """
     if top_percentile is None and threshold is None:
         raise ValueError("top_percentile or threshold is needed")
     seen = scored.where((F.col("weight") >= min_weight) & F.col("score").isNotNull())
     if surface_only:
         seen = seen.where(F.abs("tsdf") <= 0.5)
-    cut = F.percentile("score", F.lit(1 - top_percentile)) if top_percentile is not None else F.lit(threshold)
-    row = seen.agg(cut.alias("cut"), F.avg("score").alias("mean")).first()
-    mean = (row["mean"] or 0.0) if subtract_mean else 0.0
-    level = row["cut"] if top_percentile is not None else threshold + mean
-    return seen.where(F.col("score") >= F.lit(level).cast("double")), mean
+    stats = quantiles(seen, "score", {} if top_percentile is None else {"cut": 1 - top_percentile})
+    mean = F.coalesce("mean", F.lit(0.0)) if subtract_mean else F.lit(0.0)
+    level = F.lit(threshold) + mean if top_percentile is None else F.col("cut")
+    stats = stats.select(mean.alias("mean"), level.alias("level"))
+    return seen.crossJoin(F.broadcast(stats.select("level"))).where("score >= level").drop("level"), stats.select("mean")  # one row
+
+
+def _block_links(at: np.ndarray, r: int) -> np.ndarray:
+    """For each of the distinct places (n, 3), the number of the smallest place that a chain of steps of at most ``r`` along each axis reaches."""
+    order = np.lexsort(at.T[::-1])
+    at = at[order]
+    cell = (at - at.min(axis=0)) // r + 1
+    size = cell.max(axis=0) + 2
+    code = lambda c: (c[:, 0] * size[1] + c[:, 1]) * size[2] + c[:, 2]
+    by_cell = np.argsort(code(cell), kind="stable")
+    keys = code(cell)[by_cell]
+    forest = Forest(len(at))
+    for o in product((-1, 0, 1), repeat=3):
+        if o < (0, 0, 0):
+            continue
+        there = code(cell + np.array(o))
+        low, high = np.searchsorted(keys, there), np.searchsorted(keys, there, side="right")
+        n = high - low
+        a = np.repeat(np.arange(len(at)), n)
+        b = by_cell[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        near = (np.abs(at[a] - at[b]) <= r).all(axis=1)
+        forest.join(a[near], b[near])
+    label = np.empty(len(at), np.int64)
+    label[order] = order[forest.label]
+    return label
 
 
 def clusters(points: DataFrame, eps: int) -> DataFrame:
-    """(i, j, k, label) of seeds linked within Chebyshev distance 2 (eps - 1) + 1; the label is the smallest (i, j, k) linked."""
+    """(i, j, k, label) of seeds linked within Chebyshev distance 2 (eps - 1) + 1; the label is the smallest (i, j, k) linked.
+
+    Seeds are dealt to blocks of BLOCK voxels a side, those near a lower face to the block below as well, so every link lies in some block. A block's
+    links become a star, and the stars' components are the clusters.
+    """
     r = 2 * (eps - 1) + 1
-    p = points.select("i", "j", "k").withColumn("id", F.struct("i", "j", "k"))
-    cell = [F.floor(F.col(c) / r) for c in "ijk"]
-    a = p.select("id", *(c.alias(f"c{n}") for n, c in enumerate(cell)))
-    offsets = F.array(*(F.struct(*(F.lit(x).cast("long").alias(f"o{n}") for n, x in enumerate(o))) for o in product((-1, 0, 1), repeat=3)))
-    near = a.withColumn("o", F.explode(offsets)).select(F.col("id").alias("a"), *((F.col(f"c{n}") + F.col(f"o.o{n}")).alias(f"c{n}") for n in range(3)))
-    edges = near.join(a.withColumnRenamed("id", "b"), ["c0", "c1", "c2"])
-    close = [F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= r for c in "ijk"]
-    edges = edges.where(close[0] & close[1] & close[2]).where("a <= b").select("a", "b")
-    return connected_components(edges).select("node.i", "node.j", "node.k", F.col("component").alias("label"))
+    dealt = points.select("i", "j", "k").distinct()
+    for c in "ijk":
+        dealt = dealt.withColumn(f"b{c}", F.explode(F.array_distinct(F.array(F.floor((F.col(c) - r) / BLOCK), F.floor(F.col(c) / BLOCK)))))
+
+    def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf[["i", "j", "k"]].to_numpy()
+        root = at[_block_links(at, r)]
+        return pd.DataFrame({f"{n}{c}": x[:, m] for n, x in (("a", at), ("b", root)) for m, c in enumerate("ijk")})
+
+    links = dealt.groupBy("bi", "bj", "bk").applyInPandas(link, "ai long, aj long, ak long, bi long, bj long, bk long")
+    end = lambda n: F.struct(*(F.col(f"{n}{c}").alias(c) for c in "ijk")).alias(n)
+    return connected_components(links.select(end("a"), end("b"))).select("node.i", "node.j", "node.k", F.col("component").alias("label"))
 
 
 def dilated(labelled: DataFrame, eps: int, dims: tuple[int, int, int]) -> DataFrame:
@@ -64,19 +105,18 @@ def ground(
     """Ranked clusters: rank, count, center, box, score.
 
     ``missing``: members without a feature are left out of the mean score (ignore), count as 0 (zero), or as the sentinel
-    of a layout that stores it (sentinel). Clusters are ranked by score * log1p(count); ties by the first member.
+    of a layout that stores it (sentinel). Clusters of at least ``min_voxels`` members are ranked by score * log1p(count); ties by the first member.
     """
     scored = score(voxels, query, negative)
     found, mean = seeds(scored, top_percentile, threshold, min_weight, surface_only, subtract_mean)
     members = dilated(clusters(found, eps), eps, dims)
-    value = {"ignore": F.col("score") - mean, "zero": F.coalesce("score", F.lit(0.0)) - mean, "sentinel": F.coalesce("score", F.lit(SENTINEL)) - mean}[missing]
-    members = members.join(scored.select("i", "j", "k", value.alias("value")), ["i", "j", "k"], "left")
-    if missing != "ignore":
-        members = members.fillna({"value": (SENTINEL if missing == "sentinel" else 0.0) - mean})
-    at = {c: F.lit(origin) + (F.col(c) + 0.5) * size for c in "ijk"}
+    members = members.join(scored.select("i", "j", "k", "score"), ["i", "j", "k"], "left").crossJoin(F.broadcast(mean))
+    value = F.col("score") if missing == "ignore" else F.coalesce("score", F.lit(SENTINEL if missing == "sentinel" else 0.0))
+    at = {c: geometry.center(F.col(c), origin, size) for c in "ijk"}
     flat = (F.col("i") * dims[1] + F.col("j")) * dims[2] + F.col("k")
     per = members.groupBy("label").agg(
-        F.count("*").alias("count"), *(F.avg(at[c]).alias(f"center_{c}") for c in "ijk"), *(F.min(at[c]).alias(f"min_{c}") for c in "ijk"), *(F.max(at[c]).alias(f"max_{c}") for c in "ijk"), F.avg("value").alias("score"), F.min(flat).alias("first")
+        F.count("*").alias("count"), *(F.avg(at[c]).alias(f"center_{c}") for c in "ijk"), *(F.min(at[c]).alias(f"min_{c}") for c in "ijk"), *(F.max(at[c]).alias(f"max_{c}") for c in "ijk"),
+        F.avg(value - F.col("mean")).alias("score"), F.min(flat).alias("first"),
     ).where(F.col("count") >= min_voxels)
     top = per.orderBy(F.desc(F.col("score") * F.log1p("count")), "first").limit(top_k)
     ranked = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("score") * F.log1p("count")).alias("key"), "first", *(c for c in per.columns if c not in ("label", "first"))))).alias("all"))  # top_k rows

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxlake.functions import geometry as G
 from voxlake.functions import vector
-from voxlake.operators import fold, grounding, temporal
+from voxlake.operators import fold, grounding, quantile, temporal
 from voxlake.plans import lifts as L
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -45,7 +45,7 @@ _SEEN = _V + ", s AS (SELECT v.*, CASE WHEN vec_id % 11 <> 0 THEN list_inner_pro
 def p8_a9_a10_seeds(spark, sf_dir):
     s = grounding.score(L.voxels(spark, sf_dir), L.vector_of(spark, sf_dir, 0))
     found, mean = grounding.seeds(s, 0.1, None, 1.0, True, True)
-    return found.select("vec_id", r6(F.col("score"), "score"), r6(F.col("score") - mean, "centered"))
+    return found.crossJoin(F.broadcast(mean)).select("vec_id", r6(F.col("score"), "score"), r6(F.col("score") - F.col("mean"), "centered"))
 
 
 def _ground_sql(missing: str) -> str:
@@ -129,8 +129,9 @@ def p3_p5_projection(spark, sf_dir):
 @query("WITH v AS (SELECT p_partkey, p_size AS seg, (p_partkey % 97) / 10.0 AS x, (p_partkey % 89) / 20.0 AS z FROM part) SELECT seg, count(*) AS n, round(min(x) - 0.05, 3) AS min_x, round(max(x) + 0.05, 3) AS max_x, round(quantile_cont(z, 0.02), 6) AS floor_z, round(quantile_cont(z, 0.98), 6) AS ceiling_z FROM v GROUP BY seg HAVING count(*) >= 3")
 def a15_a16_boxes(spark, sf_dir):
     v = L.table(spark, sf_dir, "part").select(F.col("p_size").alias("seg"), ((F.col("p_partkey") % 97) / 10.0).alias("x"), ((F.col("p_partkey") % 89) / 20.0).alias("z"))
-    per = v.groupBy("seg").agg(F.count("*").alias("n"), F.round(F.min("x") - 0.05, 3).alias("min_x"), F.round(F.max("x") + 0.05, 3).alias("max_x"), r6(F.percentile("z", F.lit(0.02)), "floor_z"), r6(F.percentile("z", F.lit(0.98)), "ceiling_z"))
-    return per.where("n >= 3")
+    per = v.groupBy("seg").agg(F.round(F.min("x") - 0.05, 3).alias("min_x"), F.round(F.max("x") + 0.05, 3).alias("max_x"))
+    heights = quantile.quantiles(v, "z", {"floor_z": 0.02, "ceiling_z": 0.98}, ["seg"]).where("n >= 3")
+    return per.join(heights, "seg").select("seg", "n", "min_x", "max_x", r6(F.col("floor_z"), "floor_z"), r6(F.col("ceiling_z"), "ceiling_z"))
 
 
 @query(f"WITH v AS ({L.VOXEL_SQL}) SELECT i // 8 AS bx, j // 8 AS by, k // 8 AS bz, count(*) AS voxels, count(feat) AS features, count(feat) * 64 * 4 AS feature_bytes FROM v GROUP BY 1, 2, 3")

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from voxlake.functions import geometry as G
 from voxlake.functions import vector
-from voxlake.operators import fold, points, temporal
+from voxlake.operators import fold, points, quantile, temporal
 from voxlake.plans import lifts as L
 from voxlake.queries import _EV, ORDER, _fold_sql, query, r6
 from voxlake.streaming import live_map, sync
@@ -74,7 +74,7 @@ _RAMP = ", ".join(f"CAST(trunc([{', '.join(f'{s[c]}.0' for s in STOPS)}][k + 1]
 @query(f"WITH e AS (SELECT quantile_cont(o_totalprice, 0.5) AS lo, quantile_cont(o_totalprice, 0.99) AS hi FROM orders), x AS (SELECT o_orderkey, least(greatest((o_totalprice - lo) / (CASE WHEN hi > lo THEN hi - lo ELSE 1.0 END), 0.0), 1.0) * 4 AS t FROM orders, e), y AS (SELECT o_orderkey, t, CAST(least(floor(t), 3) AS INTEGER) AS k FROM x) SELECT o_orderkey, {_RAMP} FROM y")
 def a21_m13_heatmap(spark, sf_dir):
     o = L.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    e = o.agg(F.percentile("o_totalprice", F.lit(0.5)).alias("lo"), F.percentile("o_totalprice", F.lit(0.99)).alias("hi"))  # one row
+    e = quantile.quantiles(o, "o_totalprice", {"lo": 0.5, "hi": 0.99}).select("lo", "hi")  # one row
     span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
     red, green, blue = G.colormap((F.col("o_totalprice") - F.col("lo")) / span, STOPS)
     return o.join(F.broadcast(e)).select("o_orderkey", red.alias("red"), green.alias("green"), blue.alias("blue"))

@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder if all executors are threads of this process (a local master, as in tests), and an error on a cluster.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = getattr(spark, "_voxlake_work_dir", None)
         if not path:
             path = "file://" + tempfile.mkdtemp(prefix="spark-voxlake-")
