@@ -7,17 +7,20 @@ one range of ids in ascending order. Its index, beside it, holds for each record
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voxlake.llm import textops
 from voxlake.storage import new_path
 
 #: Fixed value of the record format: the constant that masks a checksum, after a rotation by 15 bits.
@@ -25,18 +28,19 @@ MASK_DELTA = 0xA282EAD8
 HEAD, FOOT = 12, 4
 #: A word that a tokenizer encodes as one id of its own, and in which nothing else ends.
 BETWEEN = b"\x7f"
-CACHE_WORDS = 800_000
+#: Words that a task keeps the ids of; beyond that it starts anew.
+CACHE_WORDS = 2_000_000
 FILE_BYTES = 64 << 20
 
 
-def masked(data: bytes) -> int:
+def masked(data: bytes | memoryview) -> int:
     crc = zlib.crc32(data)
     return ((crc >> 15 | crc << 17) + MASK_DELTA) & 0xFFFFFFFF
 
 
-def frame(payload: bytes) -> bytes:
+def frame(payload: bytes | memoryview) -> bytes:
     head = struct.pack("<Q", len(payload))
-    return head + struct.pack("<I", masked(head)) + payload + struct.pack("<I", masked(payload))
+    return b"".join((head, struct.pack("<I", masked(head)), payload, struct.pack("<I", masked(payload))))
 
 
 def unframe(buf: bytes, at: int) -> tuple[bytes, int]:
@@ -51,60 +55,85 @@ def unframe(buf: bytes, at: int) -> tuple[bytes, int]:
     return payload, end + FOOT
 
 
-class WordEncoder(dict):
-    """Ids of words, as bytes, kept for the words seen of late.
+class WordEncoder:
+    """Ids of texts by the ids of their distinct words, kept for the words seen of late.
 
-    The tokenizer cuts at white space, so a text's ids are its words' ids; it also cuts between a letter and punctuation. New words are
-    encoded together, with a word between them that stands in none of them.
+    The tokenizer cuts at white space, so a text's ids are its words' ids; it also cuts between a letter and punctuation. Words are
+    found and told apart by 64-bit hashes in numpy (at most CACHE_WORDS of them are known at once); each new one is encoded by the
+    tokenizer, many in one call with a word between them that stands in none of them.
     """
 
     def __init__(self, path: str, dtype: str):
-        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
-        between = self._ids(BETWEEN.decode())
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
+        (between,) = self._ids([BETWEEN.decode()])
         self.between = between[0] if len(between) == 1 else None
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, new: list[bytes]) -> None:
-        plain = [w for w in new if BETWEEN not in w and b"<|" not in w] if self.between is not None else []
-        for i in range(0, len(plain), 500):
-            part = plain[i : i + 500]
-            ids = np.array(self._ids((b" " + BETWEEN + b" ").join(part).decode()), self.dtype)
-            cut = [-1, *np.flatnonzero(ids == self.between).tolist(), len(ids)]
-            if len(cut) != len(part) + 1:
-                raise ValueError("the separating word occurs in a word's ids")
-            width, raw = ids.itemsize, ids.tobytes()
-            for w, a, b in zip(part, cut[:-1], cut[1:], strict=True):
-                self[w] = raw[width * (a + 1) : width * b]
-        for w in {*new}.difference(plain):
-            self[w] = np.array(self._ids(w.decode()), self.dtype).tobytes()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hash, self.first, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.dtype)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and how many each has."""
+        plain = np.array([self.between is not None and BETWEEN not in w and b"<|" not in w for w in words], bool)
+        together, alone = [w for w, p in zip(words, plain, strict=True) if p], [w for w, p in zip(words, plain, strict=True) if not p]
+        lines = [(b" " + BETWEEN + b" ").join([*together[i : i + 500], b""]).decode() for i in range(0, len(together), 500)]
+        flat = np.array([x for ids in self._ids(lines) for x in ids], self.dtype)
+        cut = np.flatnonzero(flat == (self.between or 0)) if together else np.zeros(0, np.int64)
+        if len(cut) != len(together):
+            raise ValueError("the separating word occurs in a word's ids")
+        of_plain = np.delete(flat, cut)
+        single = self._ids([w.decode() for w in alone])
+        length = np.empty(len(words), np.int64)
+        length[plain], length[~plain] = np.diff(cut, prepend=-1) - 1, [len(x) for x in single]
+        ids = np.empty(int(length.sum()), self.dtype)
+        mine = np.repeat(plain, length)
+        ids[mine], ids[~mine] = of_plain, [i for x in single for i in x]
+        return ids, length
 
     @staticmethod
-    def _stem(word: bytes) -> bytes:
-        """The word without punctuation at its end, where a letter stands before that."""
-        stem = word.rstrip(b".,!?;:")
-        return stem if len(stem) < len(word) and stem.decode()[-1:].isalpha() and b"<|" not in word else word
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text. A-Z are lower-cased first, as the tokenizer does, except in texts that may hold a special token."""
-        lists = []
-        for t in texts:
-            raw = t.encode() if isinstance(t, str) else b""
-            lists.append((raw if b"<|" in raw else raw.lower()).split())
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        new = {w for ws in lists for w in ws if w not in self}
-        stems = {w: self._stem(w) for w in new}
-        parts = {*stems.values(), *(w[len(s) :] for w, s in stems.items() if len(s) < len(w))}
-        self._learn([p for p in parts if p not in self])
-        for w, s in stems.items():
-            if len(s) < len(w):
-                self[w] = self[s] + self[w[len(s) :]]
-        return [b"".join(map(self.__getitem__, ws)) for ws in lists]
+    def _units(w: textops.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Byte bounds of words, those that end in punctuation after a letter cut in two there, and where each text's begin."""
+        mark = np.isin(w.buf, np.frombuffer(b".,!?;:", np.uint8))
+        stem_end = np.maximum.accumulate(np.where(mark, 0, np.arange(1, len(w.buf) + 1)))[w.end - 1]
+        last, before = w.buf[np.maximum(stem_end - 1, 0)], w.buf[np.maximum(stem_end - 2, 0)]
+        letter = ((last | 0x20) >= 0x61) & ((last | 0x20) <= 0x7A)
+        letter |= (before == 0xC3) & (last >= 0x80) & (last <= 0xBF) & (last != 0x97) & (last != 0xB7)
+        cut = (stem_end > w.start) & (stem_end < w.end) & letter
+        more = np.cumsum(cut) - cut
+        at = np.arange(len(cut)) + more
+        start, end = np.empty(len(cut) + int(cut.sum()), np.int64), np.empty(len(cut) + int(cut.sum()), np.int64)
+        start[at], end[at] = w.start, np.where(cut, stem_end, w.end)
+        start[at[cut] + 1], end[at[cut] + 1] = stem_end[cut], w.end[cut]
+        return start, end, np.append(at, len(start))[w.offset]
+
+    def encode(self, raw: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, each with ``end_id`` at its end, and where each text's begin."""
+        w = textops.words(raw)
+        start, end, offset = self._units(w)
+        h, at, which = np.unique(w.hashes(start, end), return_index=True, return_inverse=True)
+        if len(self.hash) > CACHE_WORDS:
+            self._clear()
+        place = np.searchsorted(self.hash, h)
+        known = place < len(self.hash)
+        known[known] = self.hash[place[known]] == h[known]
+        new = np.flatnonzero(~known)
+        ids, length = self._words_ids([bytes(w.buf[s:e]) for s, e in zip(start[at[new]], end[at[new]], strict=True)])
+        self.first = np.insert(self.first, place[new], len(self.ids) + np.cumsum(length) - length)
+        self.length, self.hash = np.insert(self.length, place[new], length), np.insert(self.hash, place[new], h[new])
+        self.ids = np.concatenate([self.ids, ids])
+        place = np.searchsorted(self.hash, h)[which]
+        first, length = self.first[place], self.length[place]
+        done = np.zeros(len(place) + 1, np.int64)  # ids before each unit, without the texts' ends
+        np.cumsum(length, out=done[1:])
+        out = self.ids[np.repeat(first - done[:-1], length) + np.arange(done[-1])]
+        return np.insert(out, done[offset[1:]], end_id), done[offset] + np.arange(len(offset))
 
 
 _encoders: dict[tuple[str, str], WordEncoder] = {}
@@ -116,14 +145,19 @@ def encoder(path: str, dtype: str) -> WordEncoder:
     return _encoders[path, dtype]
 
 
-def _runs(texts: list, limit: int = 1 << 22) -> Iterator[list]:
-    """Texts in runs of about ``limit`` characters."""
+def _lowered(text: bytes | None) -> bytes:
+    """A-Z lower-cased, as the tokenizer does, so that fewer words differ; not where a special token may stand."""
+    return b"" if text is None else text if b"<|" in text else text.lower()
+
+
+def _runs(texts: list[bytes], limit: int = textops.CHUNK_BYTES) -> Iterator[list[bytes]]:
+    """Texts in runs of ``limit`` bytes at most; a longer text alone."""
     first = size = 0
     for i, t in enumerate(texts):
-        size += len(t) if isinstance(t, str) else 0
-        if size >= limit:
-            yield texts[first : i + 1]
-            first, size = i + 1, 0
+        if first < i and size + len(t) > limit:
+            yield texts[first:i]
+            first, size = i, 0
+        size += len(t)
     if first < len(texts):
         yield texts[first:]
 
@@ -131,7 +165,9 @@ def _runs(texts: list, limit: int = 1 << 22) -> Iterator[list]:
 def _open(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    # Hadoop's names of schemes, as pyarrow knows them
+    scheme, colon, rest = path.partition(":")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + rest)
 
 
 def write_records(docs: DataFrame, out: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, width: int = 2, files: int | None = None) -> DataFrame:
@@ -140,7 +176,9 @@ def write_records(docs: DataFrame, out: str, tokenizer_path: str, id_col: str =
     Documents are dealt to files by ranges of their id (nulls first) and sorted by id, then text, within each. A file is written
     under another name and then moved, so a task that runs again replaces it whole. ``width``: bytes of an id.
 
-    Null and empty texts have the end id only. Repeated rows are records of their own. An empty table gives one file without records.
+    Null and empty texts have the end id only. Repeated rows are records of their own; ties of id and text stay in any order, as their
+    records are equal. Ids keep their type and value. An empty table gives one file without records. ``out`` is a folder that pyarrow's
+    file systems can open on every executor (file, hdfs, s3, gs, abfs).
     """
     dtype = {2: "<u2", 4: "<u4"}[width]
     own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
@@ -148,26 +186,36 @@ def write_records(docs: DataFrame, out: str, tokenizer_path: str, id_col: str =
         size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         files = max(1, -(-size // FILE_BYTES))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = own.schema["doc"].dataType.simpleString()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId()
         system, base = _open(out)
         system.create_dir(base, recursive=True)
         name, attempt = f"{base}/part-{n:05d}.rec", TaskContext.get().taskAttemptId()
-        encode, end = encoder(tokenizer_path, dtype).encode, np.array([end_id], dtype).tobytes()
+        encode = encoder(tokenizer_path, dtype).encode
         at = number = 0
         with system.open_output_stream(f"{name}.{attempt}") as f:
-            for pdf in batches:
-                rows = []
-                for doc, payload in zip(pdf["doc"], (x + end for part in _runs(pdf["text"].tolist()) for x in encode(part)), strict=True):
-                    record = frame(payload)
-                    f.write(record)
-                    rows.append((n, number, doc, at, len(payload) // width))
-                    at, number = at + len(record), number + 1
-                yield pd.DataFrame(rows, columns=["file", "number", "doc", "offset", "n_tokens"]).astype({"doc": object})
+            for batch in batches:
+                offsets, lengths = [], []
+                for part in _runs([*map(_lowered, batch.column("text").cast(pa.large_binary()).to_pylist())]):
+                    ids, edge = encode(part, end_id)
+                    payloads = memoryview(ids.tobytes())
+                    for a, b in zip((edge[:-1] * width).tolist(), (edge[1:] * width).tolist(), strict=True):
+                        record = frame(payloads[a:b])
+                        f.write(record)
+                        offsets.append(at)
+                        at += len(record)
+                    lengths.append(np.diff(edge))
+                rows = len(offsets)
+                length = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
+                numbers = np.arange(number, number + rows)
+                # ids pass as they came, so that none is rounded beside a null
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, n, np.int32)), pa.array(numbers), batch.column("doc"), pa.array(offsets, pa.int64()), pa.array(length)], ["file", "number", "doc", "offset", "n_tokens"])
+                number += rows
         system.move(f"{name}.{attempt}", name)
 
-    kind = own.schema["doc"].dataType.simpleString()
-    index = own.repartitionByRange(files, "doc").sortWithinPartitions("doc", "text").mapInPandas(write, f"file int, number long, doc {kind}, offset long, n_tokens long")
+    index = own.repartitionByRange(files, "doc").sortWithinPartitions("doc", "text").mapInArrow(write, f"file int, number long, doc {kind}, offset long, n_tokens long")
     # the index is written once, in the same pass as the files
     path = f"{out}/index"
     index.write.mode("overwrite").parquet(path)
@@ -177,7 +225,8 @@ def write_records(docs: DataFrame, out: str, tokenizer_path: str, id_col: str =
 def read_records(spark, index: DataFrame, out: str, width: int = 2, run_bytes: int = FILE_BYTES) -> DataFrame:
     """(file, number, n_tokens, ids_crc32) of every record, read back from the files by their index; checksums are verified.
 
-    Runs of neighbouring records are read by offset, so a file's runs are read side by side.
+    Runs of neighbouring records are read by offset, so a file's runs are read side by side. A record whose checksum differs is an
+    error. Repeated documents are records of their own; an empty index gives no rows.
     """
     runs = index.groupBy("file", F.floor(F.col("offset") / run_bytes).alias("run")).agg(F.min("offset").alias("first"), F.max_by(F.struct("offset", "n_tokens"), "offset").alias("last"), F.min("number").alias("number"), F.count("*").alias("n"))
     runs = runs.select("file", "number", "n", "first", (F.col("last.offset") + HEAD + FOOT + F.col("last.n_tokens") * width).alias("end"))
@@ -201,23 +250,28 @@ def read_records(spark, index: DataFrame, out: str, width: int = 2, run_bytes: i
 
 
 def read_shuffled(spark, index: DataFrame, out: str, seed: int, width: int = 2) -> DataFrame:
-    """(doc, ids) of every record in a random order: index rows are shuffled, and each record is read by its offset."""
+    """(doc, ids) of every record once, in a random order: index rows are shuffled, and each record is read by its offset.
+
+    The order is a function of the seed and the records' places, so reruns agree. Checksums are verified; a record that differs is
+    an error. Null and repeated documents are records like others; an empty index gives no rows.
+    """
     kind = index.schema["doc"].dataType.simpleString()
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             system, base = _open(out)
-            rows = []
-            for file, part in pdf.groupby("file", sort=False):
-                with system.open_input_file(f"{base}/part-{file:05d}.rec") as f:
-                    for r in part.itertuples():
-                        f.seek(r.offset)
-                        rows.append((r.Index, r.doc, np.frombuffer(unframe(f.read(HEAD + FOOT + r.n_tokens * width), 0)[0], f"<u{width}").astype(np.int32)))
-            rows.sort(key=lambda x: x[0])
-            yield pd.DataFrame([x[1:] for x in rows], columns=["doc", "ids"])
+            file, offset, n = (batch.column(c).to_numpy() for c in ("file", "offset", "n_tokens"))
+            ids: list = [None] * len(file)
+            order = np.lexsort((offset, file))  # each file is opened once, and read forwards
+            for rows in np.split(order, np.flatnonzero(np.diff(file[order])) + 1) if len(order) else []:
+                with system.open_input_file(f"{base}/part-{file[rows[0]]:05d}.rec") as f:
+                    for r in rows.tolist():
+                        f.seek(int(offset[r]))
+                        ids[r] = np.frombuffer(unframe(f.read(int(HEAD + FOOT + n[r] * width)), 0)[0], f"<u{width}").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(ids, pa.list_(pa.int64()))], ["doc", "ids"])
 
     order = F.xxhash64(F.lit(seed), "file", "number")
-    return index.repartitionByRange(order).sortWithinPartitions(order).mapInPandas(read, f"doc {kind}, ids array<int>")
+    return index.repartitionByRange(order).sortWithinPartitions(order, "file", "number").mapInArrow(read, f"doc {kind}, ids array<long>")
 
 
 def op5_token_records(spark, sf_dir: str) -> DataFrame:
