@@ -3,7 +3,8 @@
 The random walk over a window of words reads the word it stands on at every step, and a random bit of that word's hash for the
 step says whether it moves on. Walks over two windows at a small edit distance fall back into step after each edit, so
 the words read agree at most steps; sampling a few steps gives keys that often collide. Items give a key for the window
-at each of their words, documents for windows half a window apart, in several repetitions. A collision only proposes
+at each of their words, documents for windows half a window apart, in as many repetitions as a target recall takes. Windows have about half
+of an item's words, LONGEST at most: a longer walk falls out of step, while a longer item has more windows. A collision only proposes
 a place: the edit distance of the whole item to the best run of words there decides.
 """
 
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 
 from voxlake.llm import textops
 
-#: Sampled steps of a walk, repetitions, and the largest share of an item's words that may be edited.
-SAMPLED, REPETITIONS, EDITED = 4, 8, 0.2
+#: Sampled steps of a walk, the largest share of an item's words that may be edited, and the most words of a window.
+SAMPLED, EDITED, LONGEST = 4, 0.2, 16
+#: The share of items edited as much as they may be that has to be found. For each window size it is measured on edited copies of PLANTED items at most, and
+#: repetitions are added until it is reached.
+RECALL, PLANTED, MOST_REPETITIONS = 0.99, 100, 64
 #: Words of benchmark items that are sent to the tasks at once; a larger benchmark is matched in blocks of so many.
 BLOCK_WORDS = 400_000
 
@@ -33,8 +37,8 @@ def symbols(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_of(n_words: int) -> int:
-    """Words of an item's windows: the largest power of two within half of the item."""
-    return 1 << max(0, int(math.log2(max(n_words / 2, 1))))
+    """Words of an item's windows: the largest power of two within half of the item and LONGEST."""
+    return min(LONGEST, 1 << max(0, int(math.log2(max(n_words / 2, 1)))))
 
 
 def step_of(window: int) -> int:
@@ -77,6 +81,15 @@ def nearest(item: dict[int, int], n: int, words: list[int]) -> tuple[int, int]:
     return best
 
 
+def edited(words: np.ndarray, rng: np.random.Generator, kind: int) -> np.ndarray:
+    """A copy with a share EDITED of its words replaced (kind 0), more put in (1), left out (2), or all three mixed (3)."""
+    x = words.tolist()
+    for _ in range(int(EDITED * len(words))):
+        at, what = int(rng.integers(len(x))), int(rng.integers(3)) if kind == 3 else kind
+        x[at : at + (what != 1)] = [int(rng.integers(1 << 62))] if what != 2 else []
+    return np.array(x, np.uint64)
+
+
 class Items:
     """A block of items as the tasks need it: words, and for each window size and repetition the sorted keys with item and offset."""
 
@@ -85,38 +98,53 @@ class Items:
         size = np.diff(offset)
         self.ids = ids
         self.words = [x[a:b].tolist() for a, b in zip(offset[:-1], offset[1:], strict=True)]
+        self.distinct = [frozenset(w) for w in self.words]
         self.places: list[dict[int, int]] = []
         for w in self.words:
             p: dict[int, int] = {}
             for i, s in enumerate(w):
                 p[s] = p.get(s, 0) | 1 << i
             self.places.append(p)
-        self.tables = []
+        self.tables: list[tuple] = []
+        self.recall: dict[int, float] = {}
         windows = np.array([window_of(n) for n in size])
         for window in sorted({*windows[size > 0].tolist()}):
-            mine = np.flatnonzero((windows == window) & (size > 0))
-            item = np.concatenate([np.full(size[i] - window + 1, i) for i in mine])
-            first = np.concatenate([np.arange(size[i] - window + 1) for i in mine])
-            padded, base, at = [], {}, 0
-            for i in mine:  # each item ends in zeros of its own, so no walk runs into the next
-                base[i] = at
-                padded += [x[offset[i] : offset[i + 1]], np.zeros(2 * window, np.uint64)]
-                at += int(size[i]) + 2 * window
-            laid, start = np.concatenate(padded), np.array([base[i] for i in item]) + first
-            for r in range(REPETITIONS):
-                k = keys(laid, start, window, r)
-                order = np.argsort(k, kind="stable")
-                seen = np.zeros(1 << 20, bool)
-                seen[(k & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-                self.tables.append((window, r, k[order], item[order], first[order], seen))
-
-    def propose(self, x: np.ndarray, offset: np.ndarray) -> set[tuple[int, int, int]]:
+            self._index(window, np.flatnonzero((windows == window) & (size > 0)), x, offset)
+
+    def _index(self, window: int, mine: np.ndarray, x: np.ndarray, offset: np.ndarray) -> None:
+        """Tables of one window size, one repetition after the other, until enough of the planted copies are proposed."""
+        size = np.diff(offset)
+        item = np.concatenate([np.full(size[i] - window + 1, i) for i in mine])
+        first = np.concatenate([np.arange(size[i] - window + 1) for i in mine])
+        padded, base, at = [], {}, 0
+        for i in mine:  # each item ends in zeros of its own, so no walk runs into the next
+            base[i] = at
+            padded += [x[offset[i] : offset[i + 1]], np.zeros(2 * window, np.uint64)]
+            at += int(size[i]) + 2 * window
+        laid, start = np.concatenate(padded), np.array([base[i] for i in item]) + first
+        rng = np.random.default_rng([7, window])
+        planted = [(int(i), kind) for i in (mine if len(mine) <= PLANTED else np.sort(rng.choice(mine, PLANTED, replace=False))) for kind in range(4)]
+        copies = [np.concatenate([rng.integers(0, 1 << 62, int(rng.integers(window)), np.uint64), edited(x[offset[i] : offset[i + 1]], rng, kind)]) for i, kind in planted]
+        text, edge = np.concatenate(copies), np.append(0, np.cumsum([len(c) for c in copies]))
+        found: set[int] = set()
+        for r in range(MOST_REPETITIONS):
+            k = keys(laid, start, window, r)
+            order = np.argsort(k, kind="stable")
+            seen = np.zeros(1 << 20, bool)
+            seen[(k & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+            self.tables.append((window, r, k[order], item[order], first[order], seen))
+            found |= {d for d, i, _ in self.propose(text, edge, self.tables[-1:]) if d >= 0 and i == planted[d][0]}
+            self.recall[window] = len(found) / len(planted)
+            if self.recall[window] >= RECALL:
+                break
+
+    def propose(self, x: np.ndarray, offset: np.ndarray, tables: list[tuple]) -> set[tuple[int, int, int]]:
         """(text, item, place): where an item may begin, in steps of a quarter of it, among texts' words."""
         out: set[tuple[int, int, int]] = set()
         doc_of = np.repeat(np.arange(len(offset) - 1), np.diff(offset))
         n = len(x)
         last = None
-        for window, r, key, item, first, seen in self.tables:
+        for window, r, key, item, first, seen in tables:
             if window != last:
                 padded = np.concatenate([x, np.zeros(2 * window + 1, np.uint64)])
                 step = step_of(window)
@@ -140,17 +168,19 @@ class Items:
         """For each text: (item, distance, item words, end) of each item that it holds, from the whole text."""
         x, offset = symbols(raw)
         out: list[list[tuple]] = [[] for _ in raw]
-        found = set()
-        for d, i, q in sorted(self.propose(x, offset)):
+        found, of, words = set(), None, []
+        for d, i, q in sorted(self.propose(x, offset, self.tables)):
             if (d, i) in found:
                 continue
+            if d != of:
+                of, words = d, x[offset[d] : offset[d + 1]].tolist()
             n = len(self.words[i])
             most, quarter = int(EDITED * n), max(1, n // 4)
             a, b = max(0, q * quarter - most), (q + 1) * quarter + n + most
-            words = x[offset[d] : offset[d + 1]]
-            if nearest(self.places[i], n, words[a:b].tolist())[0] <= most:
+            # every edit takes away one of the item's words at most
+            if len(self.distinct[i].intersection(words[a:b])) >= len(self.distinct[i]) - most and nearest(self.places[i], n, words[a:b])[0] <= most:
                 found.add((d, i))
-                distance, end = nearest(self.places[i], n, words.tolist())
+                distance, end = nearest(self.places[i], n, words)
                 out[d].append((self.ids[i], distance, n, end))
         return out
 
@@ -161,7 +191,7 @@ def blocks_of(items: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
     for row in items.select(id_col, text_col).where(F.col(text_col).isNotNull()).orderBy(id_col, text_col).toLocalIterator():
         ids.append(row[0])
         texts.append(row[1])
-        size += len(row[1].split())
+        size += len(symbols([row[1].encode()])[0])
         if size >= BLOCK_WORDS:
             yield Items(ids, texts)
             ids, texts, size = [], [], 0
@@ -187,7 +217,10 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
     Words are compared in lower case. A text holds an item if some run of its words is within a fifth of the item's words in edit distance (words inserted, deleted,
     replaced). ``distance`` is the least over the whole text, ``end`` the word after the first such run. What is reported is
-    exact; an item at the full distance is found with a probability of about 0.95, and nearly always at half of it.
+    exact; an item at the full distance is found with a probability of about RECALL, of any kind of edits and at any length, and nearly always at half of it.
+
+    Items are sent to the tasks in blocks of BLOCK_WORDS words, built one after the other on the driver, and every block is one more pass
+    over a text's words: meant for benchmarks of up to some millions of words.
 
     Null and empty texts hold nothing; items that are null or have no words are in none. Repeated items are reported each.
     Repeated rows get equal results each; empty tables give empty lists or no rows. A column ``leaks`` that was there is replaced.
@@ -209,6 +242,10 @@ def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, with their own columns.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together; null and empty items are in no text. An empty table gives none, an
+    empty benchmark all documents. Other columns do not matter.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contamination(docs, items).where(F.size("leaks") == 0).select(*docs.columns)
