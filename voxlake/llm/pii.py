@@ -1,9 +1,9 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms that give them away.
 
-A protected entity is a matched value (an address, a number). Over the whole corpus, co-occurrence of
-entities with the words around them estimates the pointwise mutual information of a term t with an entity c,
+A protected entity is a matched value (an address, a number). Over the distinct texts of the corpus, co-occurrence of
+entities with the terms of the same text estimates the pointwise mutual information of a term t with an entity c,
 PMI = log2(p(c, t) / (p(c) p(t))), against the entity's own information, IC = -log2 p(c). A term whose
-PMI is at least ``alpha`` of the IC discloses the entity: it is replaced by its shape class where the class does not
+PMI is at least ``alpha`` of the IC discloses the entity: wherever it stands, in any text, it is replaced by its shape class where the class does not
 disclose the entity itself, and removed otherwise.
 """
 
@@ -16,20 +16,53 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from voxlake.llm import textops
+from voxlake.llm import filters, textops
+from voxlake.llm.sharding import sent_whole
 from voxlake.storage import cut
 
-#: The base patterns, by kind, in the order in which spans are listed.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
-PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Parts of the base patterns. Kinds stand in the order in which spans are listed. The patterns are
+#: email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+, ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+),
+#: card [0-9]([\x20-]?[0-9])+ and phone \+[0-9][\x20().0-9-]+[0-9], leftmost and not overlapping; these parts find the same in linear time.
 KINDS = ("email", "ip", "card", "phone")
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]*+")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+CARD = re.compile(r"[0-9](?:[\x20-]?+[0-9])++")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Classes of term shapes, from the narrowest; what a disclosing term is generalised to.
-SHAPES = ((re.compile(r".*[0-9]"), "<NUMBER>"), (re.compile(r"[A-ZÀ-Þ]"), "<NAME>"), (re.compile(r""), "<WORD>"))
+#: Classes of term shapes: what a disclosing term is generalised to. A term has a digit, or else begins with A-Z or a capital of Latin-1, or else neither.
+SHAPES = ("<NUMBER>", "<NAME>", "<WORD>")
+#: Disclosing terms that may be broadcast, and the places of each beyond.
+SENT_TERMS, SALTS = 200_000, 16
+TERM_SPANS = "array<struct<action: string, start: int, end: int, shape: string>>"
+BASE_SPANS = "array<struct<kind: string, start: int, end: int>>"
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of addresses: from each @, the run of local characters before it, not further than the last match, and the domain after it."""
+    end = at = 0
+    for piece in text.split("@")[:-1]:
+        begin, at = at, at + len(piece)
+        # an address may begin within the last one's run of characters, but not before its end
+        run = len(LOCAL.match(piece[max(0, end - begin) :][::-1])[0])
+        domain = DOMAIN.match(text, at + 1)
+        if run and domain:
+            end = domain.end()
+            yield at - run, end
+        at += 1
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of four parts of digits, from the left in each run of parts."""
+    for m in DOTTED.finditer(text):
+        if m[0].count(".") >= 3:
+            at, parts = m.start(), m[0].split(".")
+            for i in range(0, len(parts) - 3, 4):
+                size = sum(map(len, parts[i : i + 4])) + 3
+                yield at, at + size
+                at += size + 1
 
 
 def _ip(s: str) -> bool:
@@ -52,29 +85,31 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Matches that pass their check, by kind, then start; positions in code points, the end exclusive."""
     out = []
     if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        out += [("email", *s) for s in emails(text)]
     if DIGIT.search(text):
-        out += [("ip", *m.span()) for m in IP.finditer(text) if _ip(m[0])]
+        if text.count(".") >= 3:
+            out += [("ip", s, e) for s, e in addresses(text) if _ip(text[s:e])]
         out += [("card", *m.span()) for m in CARD.finditer(text) if _card(m[0])]
         if "+" in text:
             out += [("phone", *m.span()) for m in PHONE.finditer(text) if _phone(m[0])]
     return out
 
 
-def shape(term: str) -> str:
-    return next(name for pattern, name in SHAPES if pattern.match(term))
-
-
 def _hashes(terms: list[str]) -> np.ndarray:
     """The words' hashes, as in ``textops``, as signed 64-bit integers."""
     return textops.words([t.encode() for t in terms]).hashes().view(np.int64) if terms else np.zeros(0, np.int64)
 
 
-CLASS_HASHES = _hashes([name for _, name in SHAPES])
+CLASS_HASHES = _hashes([*SHAPES])
+
+
+def terms_of(raw: list[bytes]) -> textops.Words:
+    """Terms: runs of ASCII letters and digits and of non-ASCII characters."""
+    return textops.words(raw, textops.NOT_ALNUM)
 
 
-def _shape_of(w: textops.Words) -> np.ndarray:
-    """The position in SHAPES of each word's class."""
+def shapes_of(w: textops.Words) -> np.ndarray:
+    """The position in SHAPES of each term's class."""
     digits = np.zeros(len(w.buf) + 1, np.int64)
     np.cumsum((w.buf >= 0x30) & (w.buf <= 0x39), out=digits[1:])
     first, second = w.buf[w.start], w.buf[w.start + 1]
@@ -82,131 +117,175 @@ def _shape_of(w: textops.Words) -> np.ndarray:
     return np.where(digits[w.end] > digits[w.start], 0, np.where(upper, 1, 2))
 
 
-def _around(text: str, spans: list[tuple[str, int, int]], reach: int) -> Iterator[tuple[int, str, int, int]]:
-    """(span number, term, start, end) for up to ``reach`` words on either side of each span; words that touch any span are left out."""
-    taken = sorted((s, e) for _, s, e in spans)
-    starts, ends = np.array([x[0] for x in taken]), np.maximum.accumulate([x[1] for x in taken])
-    bounds = np.array([m.span() for m in WORD.finditer(text)]).reshape(-1, 2)
-    k = np.searchsorted(starts, bounds[:, 1])
-    bounds = bounds[(k == 0) | (ends[np.maximum(k, 1) - 1] <= bounds[:, 0])]
-    for n, (_, s, e) in enumerate(spans):
-        i, j = np.searchsorted(bounds[:, 1], s, "right"), np.searchsorted(bounds[:, 0], e)
-        for a, b in bounds[max(0, i - reach) : j + reach].tolist():
-            yield n, text[a:b], a, b
-
-
-def find_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ``base_spans``: array of (kind, start, end, entity), the entity a hash of kind and value."""
-
-    @F.pandas_udf("array<struct<kind: string, start: int, end: int>>")
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("kind", "start", "end"), x, strict=True)) for x in base_spans(t)] if isinstance(t, str) else [] for t in texts], dtype=object)
-
-    # marked so that a filter on the result does not run it a second time
-    return docs.withColumn("base_spans", found.asNondeterministic()(F.col(text_col)))
-
+def find_base(keyed: DataFrame) -> DataFrame:
+    """(k0, k1, h0, h1, spans, entities, terms) of each text that has a base span. Entities: hashes of kind and value. Terms: hashes of the distinct
+    terms that touch no span, each with the hash of its class; the classes are listed as terms of themselves."""
 
-def _contexts(docs: DataFrame, reach: int) -> DataFrame:
-    """(row key, entity, term, shape class, start, end) around every base span of (key, text, base_spans)."""
-
-    def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, text, spans in zip(pdf["key"], pdf["text"], pdf["base_spans"], strict=True):
-                spans = [(x["kind"], x["start"], x["end"]) for x in spans]
-                entity = _hashes([k + re.sub(r"[\x20\x09-\x0D]", "_", text[s:e]) for k, s, e in spans])
-                rows = [*_around(text, spans, reach)]
-                if rows:
-                    n, term, a, b = zip(*rows, strict=True)
-                    kind = [shape(t) for t in term]
-                    yield pd.DataFrame({"key": key, "entity": entity[list(n)], "term": _hashes([*term]), "class": _hashes(kind), "shape": kind, "start": a, "end": b})
-
-    return docs.mapInPandas(around, "key string, entity long, term long, class long, shape string, start int, end int")
-
-
-def _document_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(term, n): in how many texts each word, and each shape class, occurs; counted within batches first."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+            rows = []
+            for k0, k1, h0, h1, text in zip(*(pdf[c] for c in ("k0", "k1", "h0", "h1", "text")), strict=True):
+                spans = base_spans(text)
+                if not spans:
+                    continue
+                entity = np.unique(_hashes([k + re.sub(r"[\x20\x09-\x0D]", "_", text[s:e]) for k, s, e in spans]))
+                w = terms_of([text.encode()])
+                place = np.append(np.flatnonzero((w.buf[1:-1] & 0xC0) != 0x80) + 1, len(w.buf) - 1)  # the byte of each code point
+                inside = np.zeros(len(w.buf) + 1, np.int64)
+                for _, s, e in spans:
+                    inside[place[s]] += 1
+                    inside[place[e]] -= 1
+                covered = np.append(0, np.cumsum(np.cumsum(inside) > 0))
+                free = covered[w.end] == covered[w.start]
+                term, at = np.unique(w.hashes()[free].view(np.int64), return_index=True)
+                kind = CLASS_HASHES[shapes_of(w)[free][at]]
+                own = np.unique(kind)
+                listed = [*zip(term.tolist(), kind.tolist(), strict=True), *zip(own.tolist(), own.tolist(), strict=True)]
+                rows.append((k0, k1, h0, h1, [dict(zip(("kind", "start", "end"), x, strict=True)) for x in spans], entity.tolist(), [{"term": t, "class": c} for t, c in listed]))
+            yield pd.DataFrame(rows, columns=["k0", "k1", "h0", "h1", "spans", "entities", "terms"])
+
+    schema = f"k0 long, k1 long, h0 long, h1 long, spans {BASE_SPANS}, entities array<long>, terms array<struct<term: long, class: long>>"
+    return keyed.select("k0", "k1", "h0", "h1", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(find, schema)
+
+
+def text_counts(keyed: DataFrame, wanted: np.ndarray, several: np.ndarray) -> DataFrame:
+    """(term, n): in how many distinct texts each term and class occurs, of those that bitmap ``wanted`` lets pass.
+
+    Texts are counted within batches first; only those that may have copies, by bitmap ``several`` of their hashes, are listed with their terms.
+    """
+    spark = keyed.sparkSession
+    sent = spark.sparkContext.broadcast((wanted, several))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted, several = sent.value
         for pdf in batches:
-            for _, raw in textops.chunks(pdf["text"].tolist()):
-                w = textops.words(raw)
+            h0, h1 = pdf["h0"].to_numpy(), pdf["h1"].to_numpy()
+            again = filters.may_hold(several, h0)
+            for first, raw in textops.chunks(pdf["text"].tolist()):
+                w = terms_of(raw)
                 h, doc = w.hashes(), w.doc()
-                order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
-                once = np.ones(len(h), bool)
-                once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                u, n = np.unique(h[once], return_counts=True)
-                yield pd.DataFrame({"term": u.view(np.int64), "n": n})
-                classes = _shape_of(w)
-                yield pd.DataFrame({"term": CLASS_HASHES, "n": [len(np.unique(w.doc()[classes == k])) for k in range(len(SHAPES))]})
-
-    return docs.select(text.alias("text")).mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-
-
-def disclosures(contexts: DataFrame, counts: DataFrame, n_docs: int, alpha: float, support: int) -> DataFrame:
-    """(entity, term, general): terms that disclose an entity; general: whether their shape class does not.
-
-    Counts are numbers of texts. A term or class needs ``support`` texts with the entity.
+                term = np.concatenate([h.view(np.int64), CLASS_HASHES[shapes_of(w)]])
+                doc = np.concatenate([doc, doc])
+                keep = filters.may_hold(wanted, term)
+                term, doc = term[keep], doc[keep]
+                order = np.lexsort((doc, term))
+                term, doc = term[order], doc[order]
+                once = np.ones(len(term), bool)
+                once[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
+                term, doc = term[once], doc[once] + first
+                alone = ~again[doc]
+                u, n = np.unique(term[alone], return_counts=True)
+                yield pd.DataFrame({"term": u, "h0": np.int64(0), "h1": np.int64(0), "n": n})
+                yield pd.DataFrame({"term": term[~alone], "h0": h0[doc[~alone]], "h1": h1[doc[~alone]], "n": -1})
+
+    found = keyed.select("h0", "h1", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(count, "term long, h0 long, h1 long, n long")
+    # a listed text counts once
+    per = found.groupBy("term", "h0", "h1").agg(F.when(F.min("n") < 0, 1).otherwise(F.sum("n")).alias("n"))
+    return per.groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def disclosures(found: DataFrame, keyed: DataFrame, alpha: float, support: int) -> DataFrame:
+    """(term, general): terms that disclose an entity; general: whether their shape class discloses none of these entities.
+
+    Counts are numbers of distinct texts. An entity and a term need ``support`` texts in common.
     """
-    pair = contexts.select("key", "entity", "term", "class").distinct()
-    entity = pair.groupBy("entity", "key").agg(F.lit(1)).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = pair.groupBy("entity", "term", "class").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    share = lambda joint, n: F.log2(F.col(joint) * F.lit(float(n_docs)) / (F.col("n_entity") * F.col(n)))
-    info = F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
-    told = both.join(entity, "entity").join(counts, "term").where((info > 0) & (share("n_both", "n") >= alpha * info))
-    # a class is told by its own co-occurrence
-    class_both = pair.select("key", "entity", "class").distinct().groupBy("entity", "class").agg(F.count("*").alias("n_class_both"))
-    class_n = counts.where(F.col("term").isin([int(x) for x in CLASS_HASHES])).select(F.col("term").alias("class"), F.col("n").alias("n_class"))
-    told = told.join(class_both, ["entity", "class"]).join(F.broadcast(class_n), "class")  # one row for each of SHAPES
-    return told.select("entity", "term", (share("n_class_both", "n_class") < alpha * info).alias("general"))
-
-
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 10, alpha: float = 0.8, support: int = 2) -> DataFrame:
+    hashes = cut(keyed.groupBy("h0", "h1").agg(F.count("*").alias("n")))
+    n_texts = hashes.count()
+    once = found.groupBy("h0", "h1").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    once = cut(once)
+    holds = once.select("h0", "h1", F.explode("entities").alias("entity"))
+    entity = cut(holds.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support))
+    told_of = holds.join(sent_whole(entity.select("entity"), entity.count()), "entity").groupBy("h0", "h1").agg(F.collect_list("entity").alias("known"))
+    pairs = once.select("h0", "h1", "terms").join(told_of, ["h0", "h1"]).select("terms", F.explode("known").alias("entity")).select("entity", F.inline("terms"))
+    both = pairs.groupBy("entity", "term", "class").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    # PMI >= alpha IC bounds the term's own count from above; the texts with spans that hold it bound it from below, and rule out most terms
+    most = F.col("n_both") * F.pow(F.lit(float(n_texts)) / F.col("n_entity"), F.lit(1 - alpha)) * (1 + 1e-9)
+    least = once.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("n_held"))
+    both = cut(both.join(entity, "entity").join(least, "term").where(F.col("n_held") <= most).drop("n_held"))
+    counts = text_counts(keyed, filters.bitmap(both.select("term"), "term"), filters.bitmap(hashes.where("n > 1"), "h0"))
+    info = F.log2(F.lit(float(n_texts)) / F.col("n_entity"))
+    share = F.log2(F.col("n_both") * F.lit(float(n_texts)) / (F.col("n_entity") * F.col("n")))
+    told = cut(both.join(counts, "term").where((info > 0) & (share >= alpha * info)).select("entity", "term", "class"))
+    classes = told.where(F.col("term") == F.col("class")).select("entity", "class", F.lit(False).alias("general"))
+    terms = told.where(F.col("term") != F.col("class")).join(classes, ["entity", "class"], "left")
+    return cut(terms.groupBy("term").agg(F.min(F.coalesce("general", F.lit(True))).alias("general")))
+
+
+def term_hits(keyed: DataFrame, told: DataFrame) -> DataFrame:
+    """(k0, k1, term_spans): every occurrence of a disclosing term in every text."""
+    sent = keyed.sparkSession.sparkContext.broadcast(filters.bitmap(told, "term"))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            k0, k1 = pdf["k0"].to_numpy(), pdf["k1"].to_numpy()
+            for first, raw in textops.chunks(pdf["text"].tolist()):
+                w = terms_of(raw)
+                h = w.hashes()
+                at = np.flatnonzero(filters.may_hold(sent.value, h))
+                doc = np.searchsorted(w.offset, at, side="right") - 1
+                cp = textops.code_points(w.buf)
+                begin = cp[w.bounds[doc]]
+                shape = shapes_of(w)[at]
+                yield pd.DataFrame({"k0": k0[doc + first], "k1": k1[doc + first], "term": h[at].view(np.int64), "start": cp[w.start[at]] - begin, "end": cp[w.end[at]] - begin, "shape": shape})
+
+    found = keyed.select("k0", "k1", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(find, "k0 long, k1 long, term long, start int, end int, shape int")
+    n = told.count()
+    if n > SENT_TERMS:  # a term may be frequent: its occurrences are dealt to SALTS places
+        told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = found.withColumn("salt", F.pmod(F.xxhash64("k0", "start"), F.lit(SALTS)).cast("int"))
+    hits = found.join(F.broadcast(told) if n <= SENT_TERMS else told, ["term", "salt"] if n > SENT_TERMS else "term")
+    term = F.struct(F.when(F.col("general"), "generalise").otherwise("remove").alias("action"), "start", "end", F.element_at(F.array(*map(F.lit, SHAPES)), F.col("shape") + 1).alias("shape"))
+    by_start = F.sort_array(F.collect_set(F.struct("start", term.alias("t"))))
+    return hits.groupBy("k0", "k1").agg(F.transform(by_start, lambda x: x["t"]).alias("term_spans"))
+
+
+@F.pandas_udf(StringType())
+def cleaned(texts: pd.Series, base: pd.Series, terms: pd.Series) -> pd.Series:
+    done = []
+    for text, b, t in zip(texts, base, terms, strict=True):
+        cuts = sorted([(x["start"], x["end"], f"<{x['kind'].upper()}>") for x in b] + [(x["start"], x["end"], x["shape"] if x["action"] == "generalise" else "") for x in t])
+        parts, at = [], 0
+        for s, e, new in cuts:
+            if s >= at:
+                parts += [text[at:s], new]
+            at = max(at, e)
+        done.append("".join(parts) + text[at:])
+    return pd.Series(done, dtype=object)
+
+
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.95, support: int = 2) -> DataFrame:
     """Every row of ``docs`` with ``base_spans``, ``term_spans`` and ``clean_text``.
 
-    ``term_spans``: array of (action, start, end, shape) for words within ``reach`` words of a base span that
-    disclose its entity; the action is ``generalise`` or ``remove``. ``clean_text``: the text with base spans
+    ``term_spans``: array of (action, start, end, shape) for all occurrences, in any text, of terms that disclose an entity and touch no
+    base span; the action is ``generalise`` or ``remove``. ``clean_text``: the text with base spans
     replaced by their kind in angle brackets, generalised terms by their shape class, and removed terms left out.
-    Texts without a base span stay as they are.
+
+    Co-occurrence is counted over whole distinct texts, so copies of a text are no evidence. An entity of a single text gives none either: every rare term
+    of that text would seem to disclose it. So terms are learnt for entities of ``support`` texts at least, and base spans are replaced always.
 
     Null texts are empty and stay null in ``clean_text``. Rows that are equal in id and text get equal results
-    each, and count as one text. Texts are read whole; positions are code points. An empty table gives none.
-    Columns named as the new ones are replaced.
+    each, and count as one text; null ids are ids. Texts are read whole; positions are code points. An empty table gives none.
+    Columns named as the new ones are replaced; other columns do not matter.
     """
     docs = docs.drop("base_spans", "term_spans", "clean_text")
-    key = "key"
-    while key in docs.columns:
-        key += "_"
-    keyed = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.xxhash64(text_col).cast("string"))
-    found = find_base(docs, text_col)
-    holding = cut(found.where(F.size("base_spans") > 0).withColumn(key, keyed))
-    texts = holding.select(F.col(key).alias("key"), F.col(text_col).alias("text"), "base_spans").dropDuplicates(["key"])
-    contexts = cut(_contexts(texts, reach))
-    told = disclosures(contexts, _document_counts(docs, text_col), docs.count(), alpha, support)
-    hits = contexts.join(told, ["entity", "term"]).groupBy("key", "start", "end", "shape").agg(F.min("general").alias("general"))
-    term = F.struct(F.when(F.col("general"), "generalise").otherwise("remove").alias("action"), "start", "end", "shape")
-    per_doc = hits.groupBy("key").agg(F.sort_array(F.collect_set(term)).alias("term_spans")).withColumnRenamed("key", key)
-    plain = found.where(F.size("base_spans") == 0).withColumn("term_spans", F.expr("cast(array() as array<struct<action: string, start: int, end: int, shape: string>>)"))
-    held = holding.join(per_doc, key, "left")
-    held = held.withColumn("term_spans", F.coalesce("term_spans", F.expr("cast(array() as array<struct<action: string, start: int, end: int, shape: string>>)")))
-
-    @F.pandas_udf("string")
-    def cleaned(texts: pd.Series, base: pd.Series, terms: pd.Series) -> pd.Series:
-        done = []
-        for text, b, t in zip(texts, base, terms, strict=True):
-            cuts = sorted([(x["start"], x["end"], f"<{x['kind'].upper()}>") for x in b] + [(x["start"], x["end"], x["shape"] if x["action"] == "generalise" else "") for x in t])
-            parts, at = [], 0
-            for s, e, new in cuts:
-                if s >= at:
-                    parts += [text[at:s], new]
-                at = max(at, e)
-            done.append("".join(parts) + text[at:])
-        return pd.Series(done, dtype=object)
-
-    names = [*docs.columns, "base_spans", "term_spans", "clean_text"]
-    held = held.withColumn("clean_text", cleaned(F.col(text_col), "base_spans", "term_spans"))
-    return held.select(names).union(plain.withColumn("clean_text", F.col(text_col)).select(names))
+    others = [c for c in docs.columns if c != text_col]
+    ids = {f"k{i}": F.xxhash64(F.lit(i), F.col(id_col), F.col(text_col)) for i in (0, 1)} | {f"h{i}": F.xxhash64(F.lit(i), F.col(text_col)) for i in (0, 1)}
+    keyed = docs.select(F.struct(*others).alias("row"), F.col(text_col).alias("text"), *(c.alias(n) for n, c in ids.items()))
+    found = cut(find_base(keyed))
+    told = disclosures(found, keyed.select("text", "h0", "h1"), alpha, support)
+    base = found.select("k0", "k1", F.col("spans").alias("base_spans")).dropDuplicates(["k0", "k1"])
+    empty = {"base_spans": F.expr(f"cast(array() as {BASE_SPANS})"), "term_spans": F.expr(f"cast(array() as {TERM_SPANS})")}
+    per = base.join(term_hits(keyed, told), ["k0", "k1"], "full").withColumns({c: F.coalesce(F.col(c), e) for c, e in empty.items()})
+    touches = lambda t: F.exists("base_spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+    per = cut(per.withColumn("term_spans", F.filter("term_spans", lambda t: ~touches(t))))
+    # texts without spans go past the exchange
+    marked = keyed.withColumn("maybe", filters.tester(per, "k0")(F.col("k0")))
+    held = marked.where("maybe").join(per, ["k0", "k1"], "left").withColumns({c: F.coalesce(F.col(c), e) for c, e in empty.items()})
+    some = (F.size("base_spans") > 0) | (F.size("term_spans") > 0)
+    held = held.withColumn("clean_text", F.when(some, cleaned("text", "base_spans", "term_spans")).otherwise(F.col("text")))
+    plain = marked.where("not maybe").withColumns(empty).withColumn("clean_text", F.col("text"))
+    names = [*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns), "base_spans", "term_spans", "clean_text"]
+    return held.select(names).union(plain.select(names))
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:

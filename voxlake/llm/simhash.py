@@ -11,7 +11,7 @@ Within a shard, a tree of vantage points prunes by the triangle inequality.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,8 +19,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm import textops
-from voxlake.operators.components import connected_components
+from voxlake.llm import filters, textops
+from voxlake.operators.components import Forest, connected_components
+from voxlake.operators.skew import join_unique
 from voxlake.storage import cut
 
 SEED = 42
@@ -77,12 +78,17 @@ def fields(bits: int, radius: int, n: int) -> list[np.ndarray]:
     return [np.sort(np.concatenate(c)) for c in combinations(cuts, extra)]
 
 
-def samples(bits: int, radius: int, n: int, recall: float, seed: int = 5) -> list[np.ndarray]:
-    """Random sets of bits of which two fingerprints ``radius`` apart agree on at least one with probability ``recall``."""
+def samples(bits: int, radius: int, n: int, recall: float, apart: float, seed: int = 5) -> list[np.ndarray]:
+    """Random sets of bits, as many as it takes to find a pair with probability ``recall``: to differ in ``radius`` bits at most and to agree on one of the sets,
+    where each bit differs with probability ``apart``. A set's size grows with the logarithm of the number n of fingerprints."""
     # about 2**8 fingerprints agree on a set by chance: comparing those costs less than the trees that larger sets would need
     size = max(8, math.ceil(math.log2(max(n, 2))) - 8)
-    same = math.comb(bits - radius, size) / math.comb(bits, size)
-    count = math.ceil(math.log(1 - recall) / math.log(1 - same))
+    at = [(math.comb(bits, d) * apart**d * (1 - apart) ** (bits - d), math.comb(bits - d, size) / math.comb(bits, size)) for d in range(radius + 1)]
+    if sum(p for p, _ in at) <= recall:
+        raise ValueError("the radius is too small for this recall")
+    count = 1
+    while sum(p * (1 - (1 - same) ** count) for p, same in at) < recall:
+        count += 1
     rng = np.random.default_rng(seed)
     return [np.sort(rng.choice(bits, size, replace=False)) for _ in range(count)]
 
@@ -103,24 +109,6 @@ def _masks(sets: list[np.ndarray], words: int) -> np.ndarray:
     return out
 
 
-class Forest:
-    """Links among the fingerprints of a shard: a spanning forest, so a dense group of g gives g - 1 of them."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Link a[i] with b[i], by repeatedly taking over the smaller label of both ends' roots."""
-        while len(a):
-            x, y = self.label[a], self.label[b]
-            low, high = np.minimum(x, y), np.maximum(x, y)
-            np.minimum.at(self.label, high, low)
-            while (up := self.label[self.label] != self.label).any():
-                self.label[up] = self.label[self.label[up]]
-            keep = self.label[a] != self.label[b]
-            a, b = a[keep], b[keep]
-
-
 def _within(f: np.ndarray, at: np.ndarray, radius: int, forest: Forest) -> None:
     """Link all pairs within the radius among f[at]: split by the distance to a vantage point; pairs across lie in the boundary shells."""
     todo = [(at, None)]
@@ -253,25 +241,28 @@ def near_links(prints: DataFrame, radius: int, sets: list[np.ndarray], words: in
     return exchanged.mapInPandas(link, "a long, b long")
 
 
-def components(printed: DataFrame, id_col: str, radius: int, words: int = 1, recall: float | None = None, near: int | None = None) -> DataFrame:
-    """From rows with an id and fingerprints: (f0, f1..., component): the smallest id that a chain of links within ``radius`` reaches."""
+def components(printed: DataFrame, id_col: str, radius: int, words: int = 1, recall: float | None = None, apart: float = 0.0) -> DataFrame:
+    """From rows with an id and fingerprints: (f0, f1..., component, rows): the smallest id that a chain of links within ``radius`` reaches."""
     cols = [f"f{i}" for i in range(words)]
-    distinct = printed.groupBy(*cols).agg(F.min(id_col).alias("smallest"))
+    distinct = printed.groupBy(*cols).agg(F.min(id_col).alias("smallest"), F.count("*").alias("rows"))
     distinct = cut(distinct.withColumn("id", number(cols)))
     n = distinct.count()
-    sets = fields(64 * words, radius, n) if recall is None else samples(64 * words, near or radius, n, recall)
-    linked = connected_components(near_links(distinct, radius, sets, words))
-    named = distinct.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    low = named.groupBy("component").agg(F.min("smallest").alias("low"))
-    return named.join(low, "component").select(*cols, F.col("low").alias("component"))
+    sets = fields(64 * words, radius, n) if recall is None else samples(64 * words, radius, n, recall, apart)
+    linked = cut(connected_components(near_links(distinct, radius, sets, words)))
+    # fingerprints that nothing is linked to keep their own smallest id
+    member = distinct.join(linked.withColumnRenamed("node", "id"), "id", "left")
+    linked_rows = member.where("component is not null")
+    low = linked_rows.groupBy("component").agg(F.min("smallest").alias("low"), F.count("*").alias("n"))
+    named = join_unique(linked_rows, low, ["component"], "n", n).select(*cols, F.col("low").alias("component"), "rows")
+    return named.union(member.where("component is null").select(*cols, F.col("smallest").alias("component"), "rows"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, radius: int = 4, words: int = 1, recall: float | None = None, near: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, radius: int = 4, words: int = 1, recall: float | None = None, apart: float = 0.0) -> DataFrame:
     """(id, f0..., component) for every row of ``docs``.
 
     Fingerprints at most ``radius`` bits apart are linked; the component is the smallest id that links reach, the row's own
-    included. ``recall`` None finds every link; else a link of ``near`` bits (the radius where
-    not given) is found with that probability, a closer one more likely.
+    included. ``recall`` None finds every link; else a pair whose bits differ each with probability ``apart`` is found with that probability, a closer
+    one more likely.
 
     Null and empty texts have the fingerprint zero and are linked like any others. Repeated rows get equal results each. Null ids are
     passed over when the smallest is taken; a component of null ids only has a null component. Texts are read
@@ -280,12 +271,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     cols = [f"f{i}" for i in range(words)]
     printed = cut(with_fingerprint(own, "text", k, words).drop("text"))
-    found = components(printed, "id", radius, words, recall, near)
-    same = [printed[c] == found[c] for c in cols]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    return printed.join(found, on).select(printed["id"].alias(id_col), *(printed[c] for c in cols), found["component"])
+    found = cut(components(printed, "id", radius, words, recall, apart))
+    return join_unique(printed, found, cols, "rows", printed.count()).select(F.col("id").alias(id_col), *cols, "component")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
@@ -316,7 +303,7 @@ def shingles(texts: list, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _similar(texts: list, group: np.ndarray, left: np.ndarray, right: np.ndarray, k: int, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs of a left and a right text of equal group whose shingle sets' Jaccard similarity is at least p / q."""
+    """A spanning forest of the pairs of a left and a right text of equal group whose shingle sets' cosine, the common ones over the root of the product of sizes, is at least p / q."""
     doc, s = shingles(texts, k)
     size = np.bincount(doc, minlength=len(texts))
     held = textops.mix(s + group[doc].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -340,8 +327,8 @@ def _similar(texts: list, group: np.ndarray, left: np.ndarray, right: np.ndarray
         common += np.triu(table @ table.T, 1).astype(np.int32)
     i, j = np.nonzero(common)
     p, q = similarity
-    # c / (|a| + |b| - c) >= p / q, in whole numbers
-    near = (p + q) * common[i, j].astype(np.int64) >= p * (size[i] + size[j])
+    # c / sqrt(|a| |b|) >= p / q, in whole numbers
+    near = (q * common[i, j].astype(np.int64)) ** 2 >= p * p * size[i] * size[j]
     near &= left[i] & right[j] | left[j] & right[i]
     forest = Forest(len(texts))
     forest.join(i[near], j[near])
@@ -388,47 +375,32 @@ def similar_links(texts: DataFrame, k: int, similarity: tuple[int, int], block:
     return dealt.repartition("c", "x", "y").sortWithinPartitions("c", "x", "y").mapInPandas(verify, "a long, b long")
 
 
-def _filter(members: DataFrame, col: str, bits: int = 1 << 26) -> Callable[[Column], Column]:
-    """A test that holds for every value of ``col`` in ``members`` and for few others: a bitmap of 8 MB at most."""
-    bits = min(bits, 1 << max(15, (8 * members.count()).bit_length()))
-    place = F.pmod(F.xxhash64(col), F.lit(bits)) + 1
-    rows = members.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("b")).collect()  # at most bits / 2**15
-    held = np.zeros((bits >> 15, 1 << 12), np.uint8)
-    for r in rows:
-        held[r.k - 1] = np.frombuffer(r.b, np.uint8)
-    sent = members.sparkSession.sparkContext.broadcast(held.ravel())
-
-    @F.pandas_udf("boolean")
-    def may_hold(at: pd.Series) -> pd.Series:
-        at = at.to_numpy()
-        return pd.Series((sent.value[at >> 3] >> (at & 7) & 1).astype(bool))
-
-    return lambda c: may_hold(F.pmod(F.xxhash64(c), F.lit(bits)))
-
-
-#: The stage's candidates: of 256 bits over 5-word shingles, 39 differ on average where 0.8 of all shingles are shared; 50 are two standard errors more.
-STAGE = {"k": 5, "radius": 50, "words": 4, "recall": 0.995}
-#: The least Jaccard similarity of the sets of 5-word shingles of linked texts; texts that are compared at once.
-SIMILARITY, BLOCK = (4, 5), 1000
+#: The least similarity of linked texts: the cosine of their sets of 5-word shingles, which SimHash measures: a bit differs with probability arccos(0.8) / pi, so
+#: 52 of 256 differ on average at 0.8. Candidates may differ in two and a half standard deviations more; a pair at 0.8 is proposed with ``recall``.
+SIMILARITY = (4, 5)
+STAGE = {"k": 5, "radius": 68, "words": 4, "recall": 0.95, "apart": math.acos(SIMILARITY[0] / SIMILARITY[1]) / math.pi}
+#: Texts that are compared at once.
+BLOCK = 1000
 
 
 def stage_near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component; of rows equal in id and text one stays, and of equal ids the text with the smallest hash.
 
-    Chains of near fingerprints only propose groups of texts; within a group texts are linked where the Jaccard similarity of their shingle sets is at least 0.8.
+    Chains of near fingerprints only propose groups of texts; within a group texts are linked where the cosine of their
+    sets of 5-word shingles is at least 0.8.
     """
     keyed = docs.withColumn("key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")))
     ids = keyed.select("key", "text")
-    printed = cut(near_duplicates(ids.withColumn("n", F.col("key")), "n", "text", **STAGE).select("n", F.col("n.h").alias("h"), F.xxhash64("component").alias("c")))
-    per = printed.groupBy("c", "h").agg(F.count("*").alias("rows"))
-    groups = per.groupBy("c").agg(F.count("*").alias("m"), F.sum("rows").alias("rows")).where("rows > 1").drop("rows")
-    members = cut(per.join(groups, "c").select("h", "c", "m"))
+    printed = near_duplicates(ids.withColumn("n", F.col("key")), "n", "text", **STAGE).select("n", F.col("n.h").alias("h"), F.xxhash64("component").alias("c"))
+    per = cut(printed.groupBy("c", "h").agg(F.count("*").alias("rows"), F.min("n").alias("n")))
+    groups = per.groupBy("c").agg(F.count("*").alias("m"), F.sum("rows").alias("rows")).where("rows > 1").select("c", "m", F.col("m").alias("mine"))
+    members = cut(join_unique(per.select("c", "h"), groups, ["c"], "mine", per.count()))
     # rows that are alone in their group go past the exchanges; the filter lets some of them through, which does not matter
-    maybe = _filter(members, "h")
+    maybe = filters.tester(members, "h")
     keyed = keyed.withColumn("maybe", maybe(F.col("key.h")))
     held = keyed.where("maybe")
     texts = held.select(F.col("key.h").alias("h"), "text").groupBy("h").agg(F.first("text").alias("text")).join(members.where("m > 1"), "h")
     linked = connected_components(similar_links(texts, STAGE["k"], SIMILARITY, BLOCK)).withColumnRenamed("node", "h")
-    keep = printed.join(linked, "h", "left").groupBy(F.coalesce("component", "h")).agg(F.min("n").alias("key")).select("key")
+    keep = per.join(linked, "h", "left").groupBy(F.coalesce("component", "h")).agg(F.min("n").alias("key")).select("key")
     kept = held.join(keep, "key").dropDuplicates(["key"]).select(*docs.columns)
     return keyed.where("not maybe").select(*docs.columns).union(kept)
