@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from voxlake import camera_queries, map_queries, queries, scene_queries  # noqa: F401
+from voxlake import camera_queries, evaluation_queries, fusion_queries, map_queries, queries, scene_queries  # noqa: F401
 from voxlake.operators import camera, fold, grounding, points, quantile, surface, temporal
 from voxlake.operators.components import connected_components
 from voxlake.sources import maps

@@ -34,7 +34,8 @@ def colormap(x: Column, stops: list[tuple[int, int, int]]) -> list[Column]:
 
 
 def slug(text: Column) -> Column:
-    return F.coalesce(F.nullif(F.trim(F.lit("_"), F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_")), F.lit("")), F.lit("query"))
+    """Lower-case letters and digits, joined by single underscores; ``query`` where nothing is left."""
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), F.lit("_")), F.lit("")), F.lit("query"))
 
 
 def patch(u: Column, v: Column, width: int, height: int, side: int, step: int) -> list[Column]:

@@ -16,9 +16,9 @@ def running_means(obs: DataFrame, by: list[str], order: list[str], samples: dict
     w = Window.partitionBy(*by).orderBy(*order)
     everything = Window.partitionBy(*by)
     k, n, top = F.row_number().over(w), F.count("*").over(everything), cap + 1
-    rows = obs.select(*by, *(s.alias(f"s_{name}") for name, s in samples.items()), k.alias("k"), n.alias("n"))
-    late = F.pow(F.lit(cap / top), F.col("n") - F.greatest("k", F.lit(top))) / top
-    weight = F.when(F.col("n") <= top, 1.0 / F.col("n")).otherwise(late)
+    rows = obs.select(*by, *(s.alias(f"s_{name}") for name, s in samples.items()), k.alias("rank_"), n.alias("rows_"))
+    late = F.pow(F.lit(cap / top), F.col("rows_") - F.greatest("rank_", F.lit(top))) / top
+    weight = F.when(F.col("rows_") <= top, 1.0 / F.col("rows_")).otherwise(late)
     return rows.groupBy(*by).agg(*(F.sum(weight * F.col(f"s_{name}")).alias(name) for name in samples), F.least(F.count("*"), F.lit(cap)).alias("weight"), F.count("*").alias("n"))
 
 
@@ -27,12 +27,25 @@ def running_mean(obs: DataFrame, by: list[str], order: list[str], sample: Column
     return running_means(obs, by, order, {"mean": sample}, cap)
 
 
-def gated_mean(obs: DataFrame, by: list[str], order: list[str], sample: Column, gate: Column, cap: int) -> DataFrame:
-    """The same, of gated samples only, but divided by the weight of all samples so far: f = f + (s - f) / (w + 1)."""
+def gated_means(obs: DataFrame, by: list[str], order: list[str], samples: dict[str, Column], gate: Column, cap: int) -> DataFrame:
+    """One row per group with a gated sample: means of gated samples only, but divided by the weight of all samples so far, f = f + (s - f) / (w + 1), and n."""
     w = Window.partitionBy(*by).orderBy(*order)
     rank = F.row_number().over(w)
-    rows = obs.select(*by, *order, sample.alias("s"), gate.alias("g"), (1.0 / (F.least(rank - 1, F.lit(cap)) + 1)).alias("b")).where("g")
+    rows = obs.select(*by, *order, *(s.alias(f"s_{name}") for name, s in samples.items()), gate.alias("gate_"), (1.0 / (F.least(rank - 1, F.lit(cap)) + 1)).alias("share_")).where("gate_")
     after = w.rowsBetween(1, Window.unboundedFollowing)
     # the product of what later samples leave; only a group's first sample can have b = 1, and it is never later
-    left = F.exp(F.coalesce(F.sum(F.ln(1 - F.col("b"))).over(after), F.lit(0.0)))
-    return rows.withColumn("part", F.col("s") * F.col("b") * left).groupBy(*by).agg(F.sum("part").alias("mean"), F.count("*").alias("n"))
+    left = F.exp(F.coalesce(F.sum(F.ln(1 - F.col("share_"))).over(after), F.lit(0.0)))
+    part = rows.withColumn("part_", F.col("share_") * left)
+    return part.groupBy(*by).agg(*(F.sum(F.col(f"s_{name}") * F.col("part_")).alias(name) for name in samples), F.count("*").alias("n"))
+
+
+def gated_mean(obs: DataFrame, by: list[str], order: list[str], sample: Column, gate: Column, cap: int) -> DataFrame:
+    """The same of one sample, as ``mean``."""
+    return gated_means(obs, by, order, {"mean": sample}, gate, cap)
+
+
+def gated_vector(obs: DataFrame, by: list[str], order: list[str], vector: Column, dim: int, gate: Column, cap: int) -> DataFrame:
+    """The same of vectors of ``dim`` numbers, as the array ``feat``. Vectors are added number by number, so sums combine before the exchange."""
+    names = [f"d{i}" for i in range(dim)]
+    m = gated_means(obs, by, order, {name: vector[i].cast("double") for i, name in enumerate(names)}, gate, cap)
+    return m.select(*by, F.array(*names).alias("feat"), "n")

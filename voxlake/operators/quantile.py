@@ -24,6 +24,8 @@ def quantiles(df: DataFrame, col: str, at: dict[str, float], by: list[str] | Non
     for k, q in enumerate(at.values()):
         known.append(F.percentile_approx("v", F.array(F.lit(max(q - wide, 0.0)), F.lit(min(q + wide, 1.0))), ACCURACY).alias(f"near{k}"))
     stats = v.groupBy(*by).agg(*known)
+    if not at:
+        return stats.select(*by, "n", "mean")
     few = F.col("n") <= ACCURACY  # all of such a group's values are ordered
     low = lambda k, q: F.when(few, F.col("least")).otherwise(F.col("least") if q <= wide else F.col(f"near{k}")[0])
     high = lambda k, q: F.when(few, F.col("most")).otherwise(F.col("most") if q >= 1 - wide else F.col(f"near{k}")[1])
