@@ -76,13 +76,6 @@ def test_links_equal_brute_force():
     assert (((f[i, 0] ^ f[j, 0])[:, None] & masks[None]) == 0).any(axis=1).all()
 
 
-def test_templates():
-    run = lambda text: {s[0] for s in licenses.scan(licenses.WORD.findall(text.lower()), licenses.PHRASES, licenses.compiled(tuple(licenses.TEMPLATES.items())))["spans"]}
-    assert run("Released under the MIT License.") == {"MIT-notice"}
-    assert "Apache-2.0-notice" in run("Licensed under the Apache License, Version 2.0.")
-    assert run("Permission is hereby granted") == set()
-
-
 def test_hypergeometric_matrix_is_exact(spark):
     counts = spark.createDataFrame([(k, 37 + k % 3) for k in range(11)], "part long, n long")
     m = sharding.communication_matrix(counts, 4, 3).toPandas()

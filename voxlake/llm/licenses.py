@@ -23,15 +23,45 @@ PHRASES = {
 }
 #: License wording in template markup. <<beginOptional>>...<<endOptional>> may be left out;
 #: <<var;name=...;match=...>> stands for words that match the pattern, joined by single spaces.
+DISCLAIMER = """ IN NO EVENT SHALL <<var;name=holder;match=.{1,200}>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY
+OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+<<beginOptional>>1. <<endOptional>>Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+<<beginOptional>>2. <<endOptional>>Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution. """
+AS_IS = """THIS SOFTWARE IS PROVIDED BY <<var;name=provider;match=.{1,200}>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
 TEMPLATES = {
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0<<beginOptional>> (the \"License\"); you may not use this file except in compliance with the License<<endOptional>>",
-    "Apache-notice": "<<beginOptional>>Licensed under the <<endOptional>>Apache License<<beginOptional>>, Version <<var;name=version;match=[0-9]+ [0-9]+>><<endOptional>>",
-    "MIT-notice": "<<var;name=verb;match=released|licensed|distributed|available>> under the <<beginOptional>>terms of the <<endOptional>>MIT License",
-    "MIT": "<<beginOptional>>MIT License<<endOptional>> <<beginOptional>>Copyright (c) <<var;name=copyright;match=.{0,200}>><<endOptional>> Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice<<beginOptional>> (including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software.",
-    "GPL-notice": "<<beginOptional>>under the <<beginOptional>>terms of the <<endOptional>><<endOptional>>GNU General Public License<<beginOptional>> as published by the Free Software Foundation<<endOptional>><<beginOptional>> <<beginOptional>>either <<endOptional>><<var;name=version;match=v[0-9]+|version [0-9]+>><<beginOptional>> or <<var;name=later;match=later|(at your option )?any later version>><<endOptional>><<endOptional>>",
-    "CC-BY-notice": "<<beginOptional>>licensed under <<beginOptional>>a <<endOptional>><<endOptional>>CC BY<<beginOptional>> <<var;name=kind;match=sa|nc|nd|nc sa|nc nd>><<endOptional>><<beginOptional>> <<var;name=version;match=[0-9] [0-9]>><<endOptional>>",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<beginOptional>>1. <<endOptional>>Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2. <<endOptional>>Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the
+License at<<beginOptional>> http://www.apache.org/licenses/LICENSE-2.0<<endOptional>><<beginOptional>> https://www.apache.org/licenses/LICENSE-2.0<<endOptional>> Unless required by
+applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or
+implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "MIT": """<<beginOptional>><<beginOptional>>The <<endOptional>>MIT License<<beginOptional>> (MIT)<<endOptional>><<endOptional>> <<beginOptional>>Copyright (c) <<var;name=copyright;match=.{0,200}>><<endOptional>>
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without
+restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom
+the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice<<beginOptional>> (including the next
+paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;name=holder;match=.{1,200}>> BE LIABLE FOR
+ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.""",
+    "ISC": """<<beginOptional>>ISC License<<endOptional>> <<beginOptional>>Copyright (c) <<var;name=copyright;match=.{0,200}>><<endOptional>> Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>>
+distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+PROVIDED "AS IS" AND <<var;name=author;match=.{1,200}>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT
+SHALL <<var;name=holder;match=.{1,200}>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER
+IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "BSD-2-Clause": BSD + AS_IS + DISCLAIMER,
+    "BSD-3-Clause": BSD + """<<beginOptional>>3. <<endOptional>>Neither the name of <<var;name=organization;match=.{1,200}>> nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission. """ + AS_IS + DISCLAIMER,
+    "GPL-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free
+Software Foundation, either version <<var;name=version;match=[23]>> of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.<<beginOptional>> You
+should have received a copy of the GNU General Public License along with this program.<<beginOptional>> If not, see<<beginOptional>>
+<<var;name=address;match=(https? )?www gnu org licenses>><<endOptional>><<endOptional>><<endOptional>>""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source
+code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "MIT-statement": """<<var;name=verb;match=released|licensed|distributed|available>> under the <<beginOptional>>terms of the <<endOptional>>MIT License""",
 }
 MARK = re.compile(r"<<(.*?)>>", re.S)
 MOST_VAR_WORDS = 40
@@ -173,7 +203,8 @@ def license_scan(docs: DataFrame, text_col: str = "text", phrases: dict[str, str
     ``spans``: accepted templates as (template, first word, end word), the longest from each start, not overlapping
     for one template. ``labels``: the phrases' labels and the names of accepted templates. ``score``: the share of
     the text's words inside accepted templates. A template's mandatory words must all be there, in order;
-    a variable region takes up to 40 words.
+    a variable region takes up to MOST_VAR_WORDS words: names and addresses are shorter, and a longer run is not
+    a license's own wording.
 
     Null and empty texts have no words and no labels, and score 0. Texts are read whole. Repeated rows get
     equal results each. A column named ``license`` that was there before is replaced.
