@@ -76,6 +76,7 @@ def render(turns: DataFrame) -> DataFrame:
     """One row per turn of ``collapse``: ``piece``, its markup, and ``learn``, whether the loss counts it (assistant turns).
 
     A conversation's text is its pieces in order of position; they are kept as rows so that no conversation, however long, has to fit in one.
+    A null role is NO_ROLE, a null text is empty; repeated rows give equal pieces. An empty table gives none. Columns named as the new ones are replaced.
     """
     return turns.withColumn("piece", rendered(F.col("role"), F.col("text"))).withColumn("learn", F.coalesce(F.col("role") == "assistant", F.lit(False)))
 

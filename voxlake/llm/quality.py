@@ -103,8 +103,12 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, with their own columns."""
-    return repetition(docs).where("repetition.kept").drop("repetition").select(*docs.columns)
+    """Documents that the rules keep, with their own columns.
+
+    Null, empty and short texts fail and go; repeated rows stay or go together; texts at a limit stay. An empty table gives none. Other columns do not matter.
+    """
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("own_text"))
+    return repetition(held, "own_text").where("repetition.kept").select("row.*")
 
 
 OP9_SQL = rf"""

@@ -120,17 +120,20 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 17, order_by: l
     where not given) and of the seed, so reruns agree; rows equal in all of them are interchangeable; more
     of them than a partition holds are dealt out by where they stand in the input. Nulls are values like others. An empty
     table gives none. Columns named ``shard`` and ``slot`` are replaced.
+
+    ``docs`` has to yield its rows in the same order whenever a task runs again, as tables and checkpoints do.
     """
     own = [c for c in docs.columns if c not in ("shard", "slot")]
     keys = order_by or own
-    held = docs.select(F.struct(*own).alias("row"), *(F.xxhash64(F.lit(seed + i), *(F.col(c) for c in keys)).alias(f"h{i}") for i in (0, 1)))
+    # where a row stands is numbered on the input itself, before any exchange
+    held = docs.select(F.struct(*own).alias("row"), F.monotonically_increasing_id().alias("at"), *(F.xxhash64(F.lit(seed + i), *(F.col(c) for c in keys)).alias(f"h{i}") for i in (0, 1)))
     total = docs.count()  # one number; it sets how many partitions there are
     n_parts = pieces(total)
     # rows equal in all keys share their hashes: groups above a partition's rows, at most n_parts of them, are dealt on
     hot = held.groupBy("h0", "h1").agg(F.count("*").alias("n")).where(F.col("n") > total / n_parts)
     hot = sent_whole(hot.select(F.col("h0").alias("g0"), F.col("h1").alias("g1")), n_parts)
     held = held.join(hot, (F.col("h0") == F.col("g0")) & (F.col("h1") == F.col("g1")), "left")
-    salt = F.when(F.col("g0").isNotNull(), F.monotonically_increasing_id()).otherwise(0)
+    salt = F.when(F.col("g0").isNotNull(), F.col("at")).otherwise(0)
     held = held.select("row", "h0", "h1", F.pmod(F.xxhash64(F.lit(seed), "h0", "h1", salt), F.lit(n_parts)).alias("part"))
     counts = held.groupBy("part").agg(F.count("*").alias("n"))
     cells = sent_whole(communication_matrix(counts, n_shards, seed).withColumnRenamed("part", "to_part"), n_parts * n_shards)
@@ -157,6 +160,12 @@ def op6_hypergeometric_shards(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_shard(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows of ``docs`` with their shard and slot. The id and a hash of the text stand for the whole row in its order."""
-    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    return shard(keyed, order_by=["doc_id", "text_hash"]).drop("text_hash")
+    """All rows of ``docs`` with their shard (0 to 15, sizes at most one apart) and slot. The id and a hash of the text stand for the whole row in its order.
+
+    Null and empty texts and null ids are rows like others; rows equal in id and text are interchangeable. An empty table gives none. Columns named ``shard`` and
+    ``slot`` are replaced; others stay.
+    """
+    name = "text_hash"
+    while name in docs.columns:
+        name += "_"
+    return shard(docs.withColumn(name, F.xxhash64("text")), order_by=["doc_id", name]).drop(name)
