@@ -7,11 +7,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from voxlake import camera_queries, evaluation_queries, fusion_queries, map_queries, queries, scene_queries  # noqa: F401
+from voxlake import camera_queries, evaluation_queries, fusion_queries, map_queries, queries, scene_queries, stream_queries  # noqa: F401
 from voxlake.operators import camera, fold, grounding, points, quantile, surface, temporal
 from voxlake.operators.components import connected_components
 from voxlake.sources import maps
-from voxlake.streaming import live_map, sync
+from voxlake.streaming import frames, live_map, sync
 
 SF = "/root/testdata/sf0.001"
 
@@ -150,3 +150,20 @@ def test_clusters_equal_flooding(spark, monkeypatch, eps, side):
                 todo += [q for q in rest if max(abs(a - b) for a, b in zip(p, q, strict=True)) <= r]
     got = {(x.i, x.j, x.k): tuple(x.label) for x in grounding.clusters(spark.createDataFrame([*seeds] * 2, "i long, j long, k long"), eps).collect()}
     assert got == label
+
+
+def test_stride_counts_on_over_batches(spark, tmp_path):
+    rows = [(s, i, i) for i in range(31) for s in ("a", None) if s == "a" or i % 2]
+    for part in range(4):
+        spark.createDataFrame([r for r in rows if r[1] // 8 == part], "scene string, id long, t long").coalesce(1).write.parquet(f"{tmp_path}/{part}")
+        spark.read.parquet(f"{tmp_path}/{part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/all")
+    kept = sync.drained(frames.every_nth(sync.source(spark, f"{tmp_path}/all", 1), "scene", "id", "t", 3), "stride").collect()
+    for scene in ("a", None):
+        assert sorted(r.id for r in kept if r.scene == scene) == [i for s, i, _ in rows if s == scene][2::3]
+
+
+def test_poses_of_a_stream_cross_buckets_and_drop_what_none_enclose(spark, tmp_path):
+    spark.createDataFrame([(1, 5), (2, 10), (3, 95), (4, 300), (5, 301), (6, None)], "id long, t long").coalesce(1).write.parquet(f"{tmp_path}/s")
+    poses = spark.createDataFrame([(1, 10, 1.0), (2, 10, 9.0), (3, 110, 3.0), (4, 300, 0.0), (5, None, 7.0)], "id long, t long, x double")
+    got = sync.drained(frames.with_pose(sync.source(spark, f"{tmp_path}/s"), poses, 20), "posed").collect()
+    assert {r.id: r.x for r in got} == pytest.approx({2: 1.0, 3: 2.7, 4: 0.0}) and len(got) == 3
