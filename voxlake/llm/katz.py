@@ -28,7 +28,7 @@ from voxlake.storage import new_path
 K, LARGE = 5, 0.999
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 #: Frequent words dealt by history as well; tokens of a packed batch, and of a bucket.
-FREQUENT, BATCH_TOKENS, BUCKET_TOKENS = 1024, 3_000_000, 4_000_000
+FREQUENT, BATCH_TOKENS, BUCKET_TOKENS = 1024, 1_800_000, 2_400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Rows for which temporary columns are made at a time.
 SLICE = 1 << 19
