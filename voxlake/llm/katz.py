@@ -30,8 +30,10 @@ START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 #: Frequent words dealt by history as well; tokens of a packed batch, and of a bucket.
 FREQUENT, BATCH_TOKENS, BUCKET_TOKENS = 1024, 3_000_000, 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Rows for which temporary columns are made at a time.
-SLICE = 1 << 19
+#: Rows for which temporary columns are made at a time: when dealt, when counted.
+SLICE, RANGE = 1 << 19, 1 << 18
+#: Bytes of packed columns handed over at a time.
+PART_BYTES = 4 << 20
 #: Bits of a text's number within its batch, and of a batch's within its task.
 TEXT_BITS, BATCH_BITS = 22, 17
 
@@ -146,7 +148,7 @@ def _pairs(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         size = 0
         number = TaskContext.get().partitionId() << BATCH_BITS
 
-        def done() -> pd.DataFrame:
+        def done() -> Iterator[pd.DataFrame]:
             lengths = np.concatenate([np.diff(o) for _, _, o, _, _ in held])
             uid, out_of = np.concatenate([u for _, _, _, u, _ in held]), np.concatenate([h for _, _, _, _, h in held])
             u = np.unique(np.concatenate([*(own for own, _, _, _, _ in held), [START]]))
@@ -160,39 +162,45 @@ def _pairs(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             key *= len(lengths)  # below 2**63 for 2**21 words and texts
             key += np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
             key.sort()
-            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            times = np.diff(at, append=len(key)).astype(np.int32)
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).astype(np.int32)
+            times = np.diff(at, append=np.int32(len(key)))
             key = key[at]
             del at
-            doc = (key % len(lengths)).astype(np.int32)
+            doc, w, h = (np.empty(len(key), np.int32) for _ in range(3))
+            np.remainder(key, len(lengths), out=doc, casting="unsafe")
             key //= len(lengths)
-            w, h = (key // len(u)).astype(np.int32), (key % len(u)).astype(np.int32)
+            np.remainder(key, len(u), out=h, casting="unsafe")
+            np.floor_divide(key, len(u), out=w, casting="unsafe")
             del key
             b = np.concatenate([_bucket(u[w[i : i + SLICE]], u[h[i : i + SLICE]], hot, buckets).astype(np.int32) for i in range(0, len(w), SLICE)])
             ids = (np.int64(number) << TEXT_BITS) + np.arange(len(lengths))
             order = np.argsort(b, kind="stable")
             edge = np.searchsorted(b[order], np.arange(buckets + 1))
+            del b
             blobs = [(buckets + k, blob) for _, k, blob in _split("", ids, buckets, [ids, uid], wide=2)]
             for k in range(buckets):
+                if sum(len(blob) for _, blob in blobs[-64:]) > PART_BYTES or len(blobs) >= 64:
+                    yield pd.DataFrame(blobs, columns=["bucket", "blob"])
+                    blobs = []
                 at = order[edge[k] : edge[k + 1]]
                 if len(at):
                     uw, iw = np.unique(w[at], return_inverse=True)
                     uh, ih = np.unique(h[at], return_inverse=True)
                     ud, id_ = np.unique(doc[at], return_inverse=True)
                     blobs.append((k, pack(pack_sorted(u[uw]), narrow(pack_sorted(iw)), pack_sorted(u[uh]), narrow(ih), pack_sorted(ids[ud]), out_of[ud].astype(np.uint8), narrow(id_), narrow(times[at]))))
-            return pd.DataFrame(blobs, columns=["bucket", "blob"])
+            yield pd.DataFrame(blobs, columns=["bucket", "blob"])
 
         for pdf in batches:
             for first, x, offset in _tokens(pdf):
                 rows = slice(first, first + len(offset) - 1)
                 if held and size + len(x) > BATCH_TOKENS:
-                    yield done()
+                    yield from done()
                     held, size, number = [], 0, number + 1
                 own, code = np.unique(x, return_inverse=True)
                 held.append((own, code.astype(np.int32), offset, pdf["uid"].to_numpy()[rows], pdf["held"].to_numpy()[rows]))
                 size += len(x)
         if held:
-            yield done()
+            yield from done()
 
     return docs.select("uid", "held", "text").mapInPandas(deal, "bucket int, blob binary")
 
@@ -212,72 +220,87 @@ def _split(kind: str, by: np.ndarray, buckets: int, columns: list[np.ndarray], w
             yield kind, k, pack(*(narrow(c[order[edge[k] : edge[k + 1]]]) if i >= wide and c.dtype == np.int64 else c[order[edge[k] : edge[k + 1]]] for i, c in enumerate(columns)))
 
 
+def _word_ranges(rows: np.ndarray, size: int) -> list[int]:
+    """Edges of runs of words of about ``size`` rows each, from the rows of each word; a word stays whole."""
+    before = np.cumsum(rows) - rows
+    edges = np.searchsorted(before, np.arange(0, int(rows.sum()), size))
+    return [*np.unique(edges).tolist(), len(rows)]
+
+
 def _count(pdf: pd.DataFrame, hot: np.ndarray, hot_counts: np.ndarray, buckets: int) -> Iterator[tuple[str, int, bytes]]:
-    """All that one bucket of pairs yields; see the module."""
+    """All that one bucket of pairs yields; see the module. Runs of words are taken one after the other: a blob's rows are ordered by word."""
     blobs = [unpack(b) for b in pdf["blob"]]
-    words_, histories, docs = (np.unique(np.concatenate(c)) for c in zip(*((np.cumsum(x[0]), np.cumsum(x[2]), np.cumsum(x[4])) for x in blobs), strict=True))
-    held_doc = np.zeros(len(docs), bool)
-    size = sum(len(x[6]) for x in blobs)
-    key, d, times = np.empty(size, np.int64), np.empty(size, np.int32), np.empty(size, np.int32)
-    at = 0
-    while blobs:  # each is let go once its rows are copied
-        uw, iw, uh, ih, uid, held, id_, n = blobs.pop()
-        to = slice(at, at + len(n))
-        at += len(n)
-        key[to] = np.searchsorted(words_, np.cumsum(uw))[np.cumsum(iw, dtype=np.int64)] * len(histories) + np.searchsorted(histories, np.cumsum(uh))[ih]
-        of_doc = np.searchsorted(docs, np.cumsum(uid))
-        held_doc[of_doc] = held.astype(bool)
-        d[to], times[to] = of_doc[id_], n
-    order = np.argsort(key, kind="stable")
-    key, d, times = key[order], d[order], times[order]
-    del order
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    first = np.flatnonzero(new)
-    c2 = np.add.reduceat(np.where(held_doc[d], 0, times), first, dtype=np.int64)
-    pw, ph = np.divmod(key[first], len(histories))
-    del key
-    new_w = np.concatenate([[True], pw[1:] != pw[:-1]])
-    pw, ph = words_[pw], histories[ph]
-    first_w = np.flatnonzero(new_w)
-    c1 = np.add.reduceat(c2, first_w)
-    words = pw[first_w]
-    at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
-    is_hot = hot[at] == words
-    c1 = np.where(is_hot, hot_counts[at], c1)
-    cold = c1[~is_hot]
-    stats = [*np.bincount(c2[c2 <= K + 1], minlength=K + 2)[1:], *np.bincount(cold[cold <= K + 1], minlength=K + 2)[1:], (cold > 0).sum()]
-    yield "stats", 0, np.array(stats, np.int64).tobytes()
-
-    c1 = np.repeat(c1, np.diff(np.append(first_w, len(first))))  # of each pair
-    seen = np.flatnonzero(c2 > 0)
-    hs, ih = np.unique(ph[seen], return_inverse=True)
-    s2, s1, n = c2[seen], c1[seen], len(hs)
-    columns = [hs.view(np.int64)]
-    for c in (s2, s1):
-        columns += [_ones(ih[c == r], n) for r in range(1, K + 1)] + [np.rint(np.bincount(ih, np.where(c > K, c, 0), minlength=n)).astype(np.int64)]
-    yield from _split("history", columns[0], buckets, columns)
-
-    of = np.cumsum(new, dtype=np.int32) - 1  # each row's pair
-    n = len(docs)
-
-    def total(values: np.ndarray) -> np.ndarray:
-        """Each text's sum of its pairs' values."""
-        out = np.zeros(n)
-        for i in range(0, len(d), SLICE):
-            part = slice(i, i + SLICE)
-            out += np.bincount(d[part], times[part] * values[of[part]], minlength=n)
-        return out
-
-    # what a token adds to its text's sum: log10 of its pair's count, less that of its own as the next one's history
-    log_pair = np.log10(np.maximum(c2, 1)) - np.where(pw == END, 0.0, np.log10(np.maximum(c1, 1)))
-    base, log = total(np.log10(c1 + 1)), total(log_pair)
-    whole = lambda keep: np.rint(total(keep)).astype(np.int64)
-    per = [whole(c2 == r) for r in range(1, K + 1)] + [whole(c2 > K)]
-    yield from _split("text", docs, buckets, [docs, whole(c1 > 0), base, log, *per])
-
-    e = np.flatnonzero((c2 == 0)[of])
-    h = ph[of[e]].view(np.int64)
-    yield from _split("unseen", h, buckets, [h, docs[d[e]], c1[of[e]], times[e].astype(np.int64)], wide=2)
+    for x in blobs:
+        x[0], x[2], x[4] = np.cumsum(x[0]), np.cumsum(x[2]), np.cumsum(x[4])
+    words_, histories, docs = (np.unique(np.concatenate([x[i] for x in blobs])) for i in (0, 2, 4))
+    held_doc, rows_of = np.zeros(len(docs), bool), np.zeros(len(words_), np.int64)
+    for x in blobs:
+        held_doc[np.searchsorted(docs, x[4])] = x[5].astype(bool)
+        steps = np.flatnonzero(x[1])  # where a blob's next word begins
+        x.append(np.concatenate([[0], steps, [len(x[1])]]))
+        rows_of[np.searchsorted(words_, x[0])] += np.diff(x[-1])
+    n, n_h = len(docs), len(histories)
+    stats, sums = np.zeros(2 * (K + 1) + 1, np.int64), np.zeros((2, n))
+    known, per = np.zeros(n, np.int64), np.zeros((K + 1, n), np.int64)
+    # of each history: pairs that count 1..K and the sum of larger counts, then the same of the pairs' words
+    of_history = [np.zeros(n_h, np.int64 if r == K else np.int32) for _ in range(2) for r in range(K + 1)]
+    unseen: list[tuple] = []
+    edges = _word_ranges(rows_of, RANGE)
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        w, h, d, times = [], [], [], []
+        for uw, _, uh, ih, uid, _, id_, m, begin in blobs:
+            i, j = np.searchsorted(uw, words_[low]), np.searchsorted(uw, words_[high - 1], "right")
+            part = slice(begin[i], begin[j])
+            w.append(np.repeat(np.searchsorted(words_, uw[i:j]), np.diff(begin[i : j + 1])))
+            h.append(np.searchsorted(histories, uh).astype(np.int32)[ih[part]])
+            d.append(np.searchsorted(docs, uid).astype(np.int32)[id_[part]])
+            times.append(m[part])
+        h, d, times = np.concatenate(h), np.concatenate(d), np.concatenate(times).astype(np.int64)
+        key = np.concatenate(w) * n_h + h
+        order = np.argsort(key, kind="stable")
+        key, d, times = key[order], d[order], times[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.flatnonzero(new)
+        c2 = np.add.reduceat(np.where(held_doc[d], 0, times), first)
+        pw, ph = np.divmod(key[first], n_h)
+        first_w = np.flatnonzero(np.concatenate([[True], pw[1:] != pw[:-1]]))
+        c1 = np.add.reduceat(c2, first_w)
+        words = words_[pw[first_w]]
+        at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
+        is_hot = hot[at] == words
+        c1 = np.where(is_hot, hot_counts[at], c1)
+        cold = c1[~is_hot]
+        stats += [*np.bincount(c2[c2 <= K + 1], minlength=K + 2)[1:], *np.bincount(cold[cold <= K + 1], minlength=K + 2)[1:], (cold > 0).sum()]
+        seen = c2 > 0
+        at, place = np.unique(ph[seen], return_inverse=True)
+        yield "pairs", 0, pack(pack_sorted(words), narrow(c1), narrow(np.add.reduceat(seen, first_w, dtype=np.int64)), pack_sorted(histories[at]), narrow(place), narrow(c2[seen]))
+
+        c1 = np.repeat(c1, np.diff(np.append(first_w, len(first))))  # of each pair
+        for row, c in ((0, c2[seen]), (K + 1, c1[seen])):
+            for r in range(1, K + 1):
+                of_history[row + r - 1][at] += np.bincount(place[c == r], minlength=len(at))
+            of_history[row + K][at] += np.rint(np.bincount(place, np.where(c > K, c, 0), minlength=len(at))).astype(np.int64)
+
+        of = np.cumsum(new, dtype=np.int32) - 1  # each row's pair
+        # what a token adds to its text's sum: log10 of its pair's count, less that of its own as the next one's history
+        log_pair = np.log10(np.maximum(c2, 1)) - np.where(words_[pw] == END, 0.0, np.log10(np.maximum(c1, 1)))
+        sums[0] += np.bincount(d, times * np.log10(c1 + 1)[of], minlength=n)
+        sums[1] += np.bincount(d, times * log_pair[of], minlength=n)
+        whole = lambda keep: np.rint(np.bincount(d, times * keep[of], minlength=n)).astype(np.int64)  # noqa: E731, B023
+        known += whole(c1 > 0)
+        for r in range(1, K + 1):
+            per[r - 1] += whole(c2 == r)
+        per[K] += whole(c2 > K)
+        e = np.flatnonzero((c2 == 0)[of])
+        unseen.append((histories[ph[of[e]]], docs[d[e]], c1[of[e]], times[e]))
+    yield "stats", 0, stats.tobytes()
+    blobs.clear()
+    some = np.logical_or.reduce([c > 0 for c in of_history[: K + 1]])
+    of_history = [narrow(c[some]) for c in of_history]
+    yield from _split("history", histories[some].view(np.int64), buckets, [histories[some].view(np.int64), *of_history])
+    yield from _split("text", docs, buckets, [docs, known, sums[0], sums[1], *per])
+    h, uid, c1, times = (np.concatenate(c) for c in zip(*unseen, strict=True))
+    yield from _split("unseen", h, buckets, [h.view(np.int64), uid, c1, times], wide=2)
 
 
 def _mass(counts: list[np.ndarray], d: list[float]) -> np.ndarray:
