@@ -108,6 +108,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int, int]:
             for _, x, _ in _tokens(pdf):
                 u, n = np.unique(x, return_counts=True)
                 yield pd.DataFrame({"w": u.view(np.int64), "n": n})
+            textops.release()
 
     part = docs.where(F.pmod(F.xxhash64("uid"), F.lit(64)) == 0)
     top = part.select("text").mapInPandas(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(FREQUENT).collect()
@@ -122,6 +123,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int, int]:
                 at = np.minimum(np.searchsorted(hot, x_train), len(hot) - 1)
                 counts += np.bincount(at[hot[at] == x_train], minlength=len(hot))
                 train, every, texts = train + len(x_train), every + len(x), texts + int(mine.sum())
+            textops.release()
         yield pd.DataFrame({"k": np.arange(len(hot) + 3), "n": [*counts, train, every, texts]})
 
     rows = docs.select("text", "held").mapInPandas(exact, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # as many as FREQUENT, and four
@@ -189,6 +191,8 @@ def _pairs(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                     ud, id_ = np.unique(doc[at], return_inverse=True)
                     blobs.append((k, pack(pack_sorted(u[uw]), narrow(pack_sorted(iw)), pack_sorted(u[uh]), narrow(ih), pack_sorted(ids[ud]), out_of[ud].astype(np.uint8), narrow(id_), narrow(times[at]))))
             yield pd.DataFrame(blobs, columns=["bucket", "blob"])
+            blobs.clear()
+            textops.release()
 
         for pdf in batches:
             for first, x, offset in _tokens(pdf):
@@ -333,6 +337,7 @@ def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             rows = [("ids", b - buckets, pack(*(np.concatenate(c) for c in zip(*map(unpack, pdf["blob"]), strict=True))))]
         else:
             rows = [*_count(pdf, hot, hot_counts, buckets)]
+        textops.release()
         return pd.DataFrame(rows, columns=["kind", "bucket", "blob"])
 
     path = new_path(spark, "katz")
@@ -381,7 +386,9 @@ def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         n = len(docs_)
         zero = np.zeros(n, np.int64)
         rows = _split("text", docs_, buckets, [docs_, zero, np.zeros(n), np.bincount(d, value * times, minlength=n), *[zero] * (K + 1), np.bincount(d, np.where(h.view(np.uint64) == START, times, 0).astype(float), minlength=n)])
-        return pd.DataFrame([*rows], columns=["kind", "bucket", "blob"])
+        rows = [*rows]
+        textops.release()
+        return pd.DataFrame(rows, columns=["kind", "bucket", "blob"])
 
     backed = tables.where("kind in ('history', 'unseen')").repartition(buckets, "bucket").groupBy("bucket").applyInPandas(back_off, "kind string, bucket int, blob binary")
     log_d = np.log10([*d2, LARGE])
@@ -392,6 +399,7 @@ def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         order = np.argsort(ids)
         columns = [np.concatenate([b[i] for b in blobs]) for i in range(4 + K + 1)]
         new_start = np.concatenate([b[-1] if len(b) > 4 + K + 1 else np.zeros(len(b[0])) for b in blobs])
+        textops.release()
         docs_, d = np.unique(columns[0], return_inverse=True)
         add_up = lambda c: np.bincount(d, c.astype(float), minlength=len(docs_))
         score = add_up(columns[3]) + sum(add_up(columns[4 + r]) * log_d[r] for r in range(K + 1))

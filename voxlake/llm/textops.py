@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -39,6 +41,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0][:n], both[1][:n]
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker outlives its tasks, and what it keeps adds to its executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values, so that any bits of them can be used."""
     x = x ^ (x >> np.uint64(32))
