@@ -86,3 +86,28 @@ def test_without_training_rows_scores_are_null(spark):
     docs = spark.createDataFrame([(1, "a b", True), (2, None, True)], "doc_id long, text string, held_out boolean")
     got = katz.fit_and_score(docs).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.score) for r in sorted(got)] == [(3, 0, 0, None), (1, 0, 0, None)]
+
+
+@pytest.mark.parametrize(
+    "data",
+    [
+        [(1, "a c", False), (2, "b c", True), (3, "b c", False)],
+        [(1, "a c", False)],
+        [(1, "a c", False), (2, "a c", True)],
+        [(1, "a\0 b", False), (2, "b b", True), (3, None, False)],
+        [(i, "a c", i % 3 == 0) for i in range(40)] + [(50, "z q", True)],
+    ],
+)
+@pytest.mark.parametrize("bucket", [4_000_000, 3])
+def test_tables_of_few_pairs(spark, monkeypatch, tmp_path, data, bucket):
+    """Buckets without a pair that was not seen, one row only, words with control characters."""
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", bucket)
+    spark.createDataFrame(data, "doc_id long, text string, held_out boolean").write.parquet(f"{tmp_path}/t")
+    got = {r.doc_id: r for r in katz.fit_and_score(spark.read.parquet(f"{tmp_path}/t")).collect()}
+    assert len(got) == len(data)
+    model = Plain([tokens(t) for _, t, out in data if not out])
+    for i, t, _ in data:
+        x = tokens(t)
+        base = sum(math.log10((model.c1[w] + 1) / (model.n + len(model.c1) + 1)) for w in x)
+        assert (got[i].n_tokens, got[i].n_known) == (len(x), sum(model.c1[w] > 0 for w in x))
+        assert (got[i].base_score, got[i].score) == pytest.approx((base, sum(math.log10(model.two(h, w)) for h, w in zip([START, *x], x))))

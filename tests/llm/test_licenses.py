@@ -58,3 +58,15 @@ def test_scan_equals_plain_counting(spark):
         assert (r.doc_id, x.n_words, x.n_base, x.base_labels) == (i, len(w), len(places), sorted({label for _, label in places}))
         assert (x.first_word, x.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
         assert x.labels == sorted({*x.base_labels, *(s.template for s in x.spans)}) and x.score == sum(s.end - s.first for s in x.spans) / max(len(w), 1)
+
+
+@pytest.mark.parametrize("n,accepted", [(40, True), (41, True), (100, True), (101, False)])
+def test_variable_regions_take_what_their_pattern_takes(n, accepted):
+    """A holder of n words of one letter has 2 n - 1 characters; the pattern takes 200."""
+    holder = " ".join("x" * n)
+    text = MARKUP.sub(lambda m: holder if m[2] else "", licenses.TEMPLATES["ISC"])
+    assert ("ISC" in found(text)) == accepted
+
+
+def test_widest_matches():
+    assert [licenses.widest(p) for p in (".{1,200}", "a|bc", "(https? )?x", ".+", r"\d")] == [200, 4, 11, float("inf"), float("inf")]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxlake.llm import quality, sharding
+from voxlake.llm import decontaminate, quality, sharding, simhash
 
 
 def documents(rng):
@@ -82,3 +82,24 @@ def test_hypergeometric_draws_are_uniform(spark):
         for r in sharding.shard(docs, 4, seed).where("doc_id < 5").collect():
             seen[r.shard] += 1
     assert abs(seen - 15).max() <= 4 * (60 * 0.25 * 0.75) ** 0.5
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_odd_rows_of_near_dedup_and_decontamination(spark, tmp_path, empty):
+    names = ("key", "maybe", "leaks", "row", "own_text", "h", "n", "c", "id", "component", "f0")
+    docs = spark.createDataFrame([] if empty else [*ODD, (4, "w1 " * 3, None), (None, "no id", "b")], "doc_id long, text string, source string")
+    docs = docs.select("*", *(F.concat(F.lit("own "), F.coalesce("source", F.lit("-"))).alias(c) for c in names))
+    spark.createDataFrame([(1, "w1 w1 w1"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    once = simhash.stage_near_dedup(spark, docs, "")
+    clean = decontaminate.stage_decontaminate(spark, docs, str(tmp_path))
+    assert once.columns == docs.columns == clean.columns
+    assert sorted((r.doc_id for r in once.collect()), key=str) == ([] if empty else [2, 3, 4, None, None])
+    assert sorted((r.doc_id for r in clean.collect()), key=str) == ([] if empty else [1, 1, 2, 3, 3, None, None])
+    for df in (once, clean):
+        assert all(r[c] == f"own {r.source or '-'}" for r in df.collect() for c in names)
+
+
+def test_run_on_an_empty_table(spark, folder, tmp_path):
+    spark.read.parquet(f"{folder}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -248,4 +248,5 @@ def stage_decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty benchmark all documents. Other columns do not matter.
     """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return contamination(docs, items).where(F.size("leaks") == 0).select(*docs.columns)
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("own_text"))
+    return contamination(held, items, "own_text").where(F.size("leaks") == 0).select("row.*")

@@ -224,6 +224,12 @@ def _split(kind: str, by: np.ndarray, buckets: int, columns: list[np.ndarray], w
             yield kind, k, pack(*(narrow(c[order[edge[k] : edge[k + 1]]]) if i >= wide and c.dtype == np.int64 else c[order[edge[k] : edge[k + 1]]] for i, c in enumerate(columns)))
 
 
+def _blobs(rows: list[tuple[str, int, bytes]]) -> pd.DataFrame:
+    """Rows (kind, bucket, blob); columns without rows have no type that Arrow could tell, so they are named."""
+    kind, bucket, blob = zip(*rows, strict=True) if rows else ((), (), ())
+    return pd.DataFrame({"kind": pd.Series(kind, dtype=object), "bucket": np.array(bucket, np.int32), "blob": pd.Series(blob, dtype=object)})
+
+
 def _word_ranges(rows: np.ndarray, size: int) -> list[int]:
     """Edges of runs of words of about ``size`` rows each, from the rows of each word; a word stays whole."""
     before = np.cumsum(rows) - rows
@@ -338,7 +344,7 @@ def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         else:
             rows = [*_count(pdf, hot, hot_counts, buckets)]
         textops.release()
-        return pd.DataFrame(rows, columns=["kind", "bucket", "blob"])
+        return _blobs(rows)
 
     path = new_path(spark, "katz")
     pairs = _pairs(own, hot, buckets).repartition(buckets, "bucket")
@@ -367,7 +373,7 @@ def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         history = [unpack(b) for b in pdf.loc[pdf["kind"] == "history", "blob"]]
         unseen = [unpack(b) for b in pdf.loc[pdf["kind"] == "unseen", "blob"]]
         if not unseen:
-            return pd.DataFrame({"kind": [], "bucket": [], "blob": []})
+            return _blobs([])
         h, uid, c1, times = (np.concatenate([u[i] for u in unseen]) for i in range(4))
         c1 = c1.astype(np.int64)
         p = np.where(c1 > K, LARGE * c1, np.take([0.0, *(d1[r] * (r + 1) for r in range(K))], np.minimum(c1, K))) / max(n_train, 1)
@@ -388,7 +394,7 @@ def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows = _split("text", docs_, buckets, [docs_, zero, np.zeros(n), np.bincount(d, value * times, minlength=n), *[zero] * (K + 1), np.bincount(d, np.where(h.view(np.uint64) == START, times, 0).astype(float), minlength=n)])
         rows = [*rows]
         textops.release()
-        return pd.DataFrame(rows, columns=["kind", "bucket", "blob"])
+        return _blobs(rows)
 
     backed = tables.where("kind in ('history', 'unseen')").repartition(buckets, "bucket").groupBy("bucket").applyInPandas(back_off, "kind string, bucket int, blob binary")
     log_d = np.log10([*d2, LARGE])

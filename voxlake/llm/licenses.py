@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -64,17 +65,24 @@ code form or as a compiled binary, for any purpose, commercial or non-commercial
     "MIT-statement": """<<var;name=verb;match=released|licensed|distributed|available>> under the <<beginOptional>>terms of the <<endOptional>>MIT License""",
 }
 MARK = re.compile(r"<<(.*?)>>", re.S)
-MOST_VAR_WORDS = 40
+BOUNDED = re.compile(r"\.\{\d*,(\d+)\}")
+
+
+def widest(pattern: str) -> float:
+    """Characters that a pattern can match at most: b of ``.{a,b}``; a pattern without repetition or escapes, one for each of its own; of others, no limit."""
+    if m := BOUNDED.fullmatch(pattern):
+        return int(m[1])
+    return math.inf if re.search(r"[+*{\\]", pattern) else len(pattern)
 
 
 class Automaton:
     """A nondeterministic token automaton. ``step[s]`` lists (word, next), ``free[s]`` next states without a word,
-    and ``var[s]`` (pattern, next): some words whose joined text matches the pattern."""
+    and ``var[s]`` (pattern, its widest match, next): some words whose joined text matches the pattern."""
 
     def __init__(self, template: str):
         self.step: list[dict[str, list[int]]] = [{}]
         self.free: list[list[int]] = [[]]
-        self.var: list[list[tuple[re.Pattern, int]]] = [[]]
+        self.var: list[list[tuple[re.Pattern, float, int]]] = [[]]
         self.mandatory = 0
         at, opened, place = 0, [], 0
         for m in [*MARK.finditer(template), None]:
@@ -97,8 +105,9 @@ class Automaton:
                 at = new
             elif kind == "var":
                 new = self._state()
-                pattern = re.search(r"match=(.*)$", m[1], re.S)
-                self.var[at].append((re.compile(pattern[1] if pattern else r".+"), new))
+                given = re.search(r"match=(.*)$", m[1], re.S)
+                pattern = given[1] if given else r".+"
+                self.var[at].append((re.compile(pattern), widest(pattern), new))
                 at = new
             else:
                 raise ValueError(f"unknown markup: {m[0]}")
@@ -123,7 +132,7 @@ class Automaton:
             s = todo.pop()
             if s not in seen:
                 seen.add(s)
-                todo += self.free[s] + [n for _, n in self.var[s]] + [n for w, to in self.step[s].items() if (s, w) != (state, word) for n in to]
+                todo += self.free[s] + [n for *_, n in self.var[s]] + [n for w, to in self.step[s].items() if (s, w) != (state, word) for n in to]
         return self.final not in seen
 
     def _closure(self, states: set[int]) -> set[int]:
@@ -148,9 +157,13 @@ class Automaton:
             if self.final in now:
                 best = at
             for s in now:
-                for pattern, new in self.var[s]:
-                    for k in range(MOST_VAR_WORDS + 1):
-                        if at + k <= len(words) and pattern.fullmatch(" ".join(words[at : at + k])):
+                for pattern, most, new in self.var[s]:
+                    taken = ""
+                    for k in range(len(words) - at + 1):
+                        taken += (" " if k > 1 else "") + words[at + k - 1] if k else ""
+                        if len(taken) > most:
+                            break
+                        if pattern.fullmatch(taken):
                             if k:
                                 waiting.setdefault(at + k, set()).add(new)
                             elif new not in now:
@@ -203,8 +216,8 @@ def license_scan(docs: DataFrame, text_col: str = "text", phrases: dict[str, str
     ``spans``: accepted templates as (template, first word, end word), the longest from each start, not overlapping
     for one template. ``labels``: the phrases' labels and the names of accepted templates. ``score``: the share of
     the text's words inside accepted templates. A template's mandatory words must all be there, in order;
-    a variable region takes up to MOST_VAR_WORDS words: names and addresses are shorter, and a longer run is not
-    a license's own wording.
+    a variable region takes as many words as its pattern can match. A pattern whose matches have no bound is
+    tried on all that follows, in quadratic time; the given ones have one.
 
     Null and empty texts have no words and no labels, and score 0. Texts are read whole. Repeated rows get
     equal results each. A column named ``license`` that was there before is replaced.

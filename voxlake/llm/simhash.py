@@ -388,8 +388,10 @@ def stage_near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Chains of near fingerprints only propose groups of texts; within a group texts are linked where the cosine of their
     sets of 5-word shingles is at least 0.8.
+
+    Null and empty texts are one group each with the texts that have no words. Null ids are an id, the smallest. Columns of other names do not matter. An empty table gives none.
     """
-    keyed = docs.withColumn("key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"), F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")).alias("key"))
     ids = keyed.select("key", "text")
     printed = near_duplicates(ids.withColumn("n", F.col("key")), "n", "text", **STAGE).select("n", F.col("n.h").alias("h"), F.xxhash64("component").alias("c"))
     per = cut(printed.groupBy("c", "h").agg(F.count("*").alias("rows"), F.min("n").alias("n")))
@@ -402,5 +404,5 @@ def stage_near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts = held.select(F.col("key.h").alias("h"), "text").groupBy("h").agg(F.first("text").alias("text")).join(members.where("m > 1"), "h")
     linked = connected_components(similar_links(texts, STAGE["k"], SIMILARITY, BLOCK)).withColumnRenamed("node", "h")
     keep = per.join(linked, "h", "left").groupBy(F.coalesce("component", "h")).agg(F.min("n").alias("key")).select("key")
-    kept = held.join(keep, "key").dropDuplicates(["key"]).select(*docs.columns)
-    return keyed.where("not maybe").select(*docs.columns).union(kept)
+    kept = held.join(keep, "key").dropDuplicates(["key"]).select("row.*")
+    return keyed.where("not maybe").select("row.*").union(kept)

@@ -74,7 +74,7 @@ class Words:
         """Hash of each word, or of any byte ranges of ``buf``."""
         s, e = (self.start, self.end) if start is None else (start, end)
         down = powers(len(self.prefix))[1]
-        return mix((self.prefix[e] - self.prefix[s]) * down[s] + (e - s).astype(np.uint64))
+        return mix((self.prefix[e] - self.prefix[s]) * down[s])
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offset) - 1), np.diff(self.offset))
@@ -93,7 +93,8 @@ def words(raw: list[bytes], separators: np.ndarray = SPACES, hashed: bool = True
     if hashed:
         up, _ = powers(len(buf) + 1)
         prefix = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(buf * up[: len(buf)], out=prefix[1:])
+        # a byte counts from 1, so that a word and the same word with NULs behind it differ
+        np.cumsum((buf + np.uint16(1)) * up[: len(buf)], out=prefix[1:])
     return Words(buf, start, end, np.searchsorted(start, bounds), bounds, prefix)
 
 
