@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxlake.llm import chat, decontaminate, katz, licenses, mixing, pii, quality, records, sharding, simhash
+from voxlake.llm import chat, decontaminate, katz, licenses, lines, mixing, pii, quality, records, sharding, simhash
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_source_mix": mixing.op8_source_mix,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_line_dedup": lines.op11_line_dedup,
 }
-ORACLE_SQL = {"op4_snapshot_collapse": chat.OP4_SQL, "op9_quality_rules": quality.OP9_SQL}
+ORACLE_SQL = {"op4_snapshot_collapse": chat.OP4_SQL, "op9_quality_rules": quality.OP9_SQL, "op11_line_dedup": lines.OP11_SQL}
