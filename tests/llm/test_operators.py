@@ -41,7 +41,7 @@ def test_odd_rows(spark, odd, empty):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     ours, theirs = queries.QUERIES[name](spark, SF).toPandas(), con.execute(queries.ORACLE_SQL[name]).df()
     rows = lambda d: sorted(tuple(map(str, r)) for r in d[sorted(d.columns)].astype(object).itertuples(index=False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxlake.llm import chat, decontaminate, katz, licenses, lines, mixing, pii, quality, records, repair, sharding, simhash
+from voxlake.llm import chat, decontaminate, katz, licenses, lines, mixing, negatives, pii, quality, records, repair, sharding, simhash
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_license_scan": licenses.op10_license_scan,
     "op11_line_dedup": lines.op11_line_dedup,
     "op12_structure_repair": repair.op12_structure_repair,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
-ORACLE_SQL = {"op4_snapshot_collapse": chat.OP4_SQL, "op9_quality_rules": quality.OP9_SQL, "op11_line_dedup": lines.OP11_SQL}
+ORACLE_SQL = {"op4_snapshot_collapse": chat.OP4_SQL, "op9_quality_rules": quality.OP9_SQL, "op11_line_dedup": lines.OP11_SQL, "op13_hard_negatives": negatives.OP13_SQL}
