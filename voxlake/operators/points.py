@@ -8,12 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def trilinear(points: DataFrame, voxels: DataFrame, dims: tuple[int, int, int], values: dict[str, float], origin: float = 0.0, size: float = 0.1) -> DataFrame:
-    """(id, *values): values of ``voxels`` (i, j, k, ...) interpolated at ``points`` (id, x, y, z).
+def _byte(c: Column) -> Column:
+    """A color channel: cut to 0 to 255, then to a whole number; sums that miss one by rounding errors only count as it."""
+    return F.round(F.greatest(F.least(c, F.lit(255.0)), F.lit(0.0)), 9).cast("int")
 
-    Corners are clamped to the volume and fractions to [0, 1]; voxels that are not stored have the values given. Eight rows for each point
-    are joined on the voxel; points without an id, or with a null coordinate, are passed over.
+
+def trilinear(
+    points: DataFrame, voxels: DataFrame, dims: tuple[int, int, int], values: dict[str, float], origin: float = 0.0, size: float = 0.1, colors: tuple[str, ...] = (), vectors: dict[str, int] | None = None
+) -> DataFrame:
+    """(id, *values, *colors, *vectors): values of ``voxels`` (i, j, k, ...) interpolated at ``points`` (id, x, y, z).
+
+    Corners are clamped to the volume and fractions to [0, 1]; voxels that are not stored have the values given, colors of 0, and vectors of zeros, as have those
+    with a null there. Interpolated colors are cut to 0 to 255 and to whole numbers. ``vectors`` gives the length of each array column; their numbers are added one
+    by one, so sums combine before the exchange. Eight rows for each point are joined on the voxel; points without an id, or with a null coordinate, are passed over.
     """
+    vectors = vectors or {}
     at = points.where("id is not null and x is not null and y is not null and z is not null")
     low, part = {}, {}
     for c, axis, n in zip("ijk", "xyz", dims, strict=True):
@@ -29,8 +38,28 @@ def trilinear(points: DataFrame, voxels: DataFrame, dims: tuple[int, int, int],
         return F.struct(*index, weight.alias("share"))
 
     corners = at.select("id", F.explode(F.array(*map(corner, product((0, 1), repeat=3)))).alias("c")).select("id", "c.*")
-    found = corners.join(voxels.select("i", "j", "k", *values), ["i", "j", "k"], "left")
-    return found.groupBy("id").agg(*(F.sum(F.col("share") * F.coalesce(name, F.lit(default))).alias(name) for name, default in values.items()))
+    found = corners.join(voxels.select("i", "j", "k", *values, *colors, *vectors), ["i", "j", "k"], "left")
+    share = F.col("share")
+    sums = [F.sum(share * F.coalesce(name, F.lit(default))).alias(name) for name, default in values.items()]
+    sums += [F.sum(share * F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in colors]
+    sums += [F.sum(share * F.coalesce(F.get(name, F.lit(d)).cast("double"), F.lit(0.0))).alias(f"{name}_{d}") for name, n in vectors.items() for d in range(n)]
+    out = found.groupBy("id").agg(*sums)
+    return out.select("id", *values, *(_byte(F.col(c)).alias(c) for c in colors), *(F.array(*(f"{name}_{d}" for d in range(n))).alias(name) for name, n in vectors.items()))
+
+
+def nearest(
+    points: DataFrame, voxels: DataFrame, dims: tuple[int, int, int], values: dict[str, float], origin: float = 0.0, size: float = 0.1, colors: tuple[str, ...] = (), vectors: dict[str, int] | None = None
+) -> DataFrame:
+    """The same of the voxel that holds each point, or the nearest in the volume, without interpolation."""
+    vectors = vectors or {}
+    at = points.where("id is not null and x is not null and y is not null and z is not null")
+    cells = [F.least(F.greatest(F.floor((F.col(axis) - origin) / size), F.lit(0)), F.lit(n - 1)).cast("long").alias(c) for c, axis, n in zip("ijk", "xyz", dims, strict=True)]
+    found = at.select("id", *cells).join(voxels.select("i", "j", "k", *values, *colors, *vectors), ["i", "j", "k"], "left")
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    return found.select(
+        "id", *(F.coalesce(name, F.lit(default)).alias(name) for name, default in values.items()), *(_byte(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in colors),
+        *(F.coalesce(F.transform(name, lambda x: x.cast("double")), zeros(n)).alias(name) for name, n in vectors.items()),
+    )
 
 
 def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
