@@ -66,11 +66,11 @@ def test_missing_and_light_voxels_are_free_space(spark):
 
 def test_colors_are_the_nearer_voxels(spark):
     tsdf = np.full((3, 3, 3), 1.0)
-    tsdf[1, 1, 1] = -0.25
+    tsdf[1, 1, 1], tsdf[2, 1, 1] = -1.0, 0.25
     red = np.zeros((3, 3, 3))
     red[1, 1, 1], red[2, 1, 1] = 300.7, 9.9
     got = {tuple(round(x, 3) for x in (r.x, r.y, r.z)): r.red for r in mesh.vertices(volume(spark, tsdf, red=red), (3, 3, 3), colors=("red",)).collect()}
-    assert got == {(0.17, 0.15, 0.15): 255, (0.13, 0.15, 0.15): 0, (0.15, 0.17, 0.15): 255, (0.15, 0.13, 0.15): 0, (0.15, 0.15, 0.17): 255, (0.15, 0.15, 0.13): 0}
+    assert got == {(0.23, 0.15, 0.15): 9, (0.1, 0.15, 0.15): 255, (0.15, 0.2, 0.15): 0, (0.15, 0.1, 0.15): 255, (0.15, 0.15, 0.2): 0, (0.15, 0.15, 0.1): 255}
 
 
 def test_features_and_colors_at_points(spark):
