@@ -99,13 +99,11 @@ def a7_j2_block_fusion(spark, sf_dir):
     frames = e.join(_quaternions(spark, sf_dir), "vec_id").withColumnRenamed("vec_id", "frame_id")
     frames = frames.withColumns({n: (F.col("frame_id") / 640.0 if n == "tx" else c) for n, c in place.items()})
     blocks = L.voxels(spark, sf_dir).select(F.expr("i div 8").alias("bx"), F.expr("j div 8").alias("by"), F.expr("k div 8").alias("bz"))
-    obs = fusion.observations(frames, blocks, 0.1, 6.0, 8, 8, 0.4, 4.4)
-    key = ["i", "j", "k"]
-    shape = fold.running_mean(obs, key, ["frame_id"], F.col("sample"), 32)
-    near = obs.join(frames.select("frame_id", F.slice("map", 5, 3).alias("feat")), "frame_id")
-    feats = fold.gated_vector(near, key, ["frame_id"], F.col("feat"), 3, F.abs("sample") <= 0.5, 32).withColumnRenamed("n", "features")
-    both = shape.join(feats, key, "left")
-    return both.select(*key, r6(F.col("mean"), "tsdf"), F.col("weight").cast("long").alias("weight"), F.coalesce("features", F.lit(0)).cast("long").alias("features"), *(r6(F.col("feat")[c], f"f{c}") for c in range(3)))
+    frames = frames.withColumn("feat", F.slice("map", 5, 3))
+    obs = fusion.observations(frames, blocks, 0.1, 6.0, 8, 8, 0.4, 4.4, ("feat",))
+    key, names = ["i", "j", "k"], [f"f{c}" for c in range(3)]
+    both = fold.means_and_gated(obs, key, ["frame_id"], {"mean": F.col("sample")}, {n: F.col("feat")[c].cast("double") for c, n in enumerate(names)}, F.abs("sample") <= 0.5, 32)
+    return both.select(*key, r6(F.col("mean"), "tsdf"), F.col("weight").cast("long").alias("weight"), F.col("gated_n").cast("long").alias("features"), *(r6(F.col(n), n) for n in names))
 
 
 @query(f"""

@@ -44,8 +44,8 @@ def quaternion(m: list[Column]) -> list[Column]:
     return out
 
 
-def visible_blocks(frames: DataFrame, blocks: DataFrame, side: float, focal: float, width: int, height: int, far: float) -> DataFrame:
-    """(frame_id, bx, by, bz): the distinct ``blocks`` whose ball meets each frame's pyramid of view up to depth ``far``.
+def visible_blocks(frames: DataFrame, blocks: DataFrame, side: float, focal: float, width: int, height: int, far: float, with_pose: bool = False) -> DataFrame:
+    """(frame_id, bx, by, bz), and the frame's ``t_wc`` (16 numbers less the last row) if asked for: the distinct ``blocks`` whose ball meets each frame's pyramid of view up to depth ``far``.
 
     ``frames`` has frame_id, a quaternion qx, qy, qz, qw and a place tx, ty, tz (camera to world); a block's corner is its index times ``side``. The
     pyramid's five planes are moved out by the ball's radius, so no block with a visible voxel is missed. Frames meet blocks
@@ -68,5 +68,6 @@ def visible_blocks(frames: DataFrame, blocks: DataFrame, side: float, focal: flo
     both = f.join(b, ["cx", "cy", "cz"])
     d = [F.col(c) - F.col(f"t{c}") for c in "xyz"]
     x, y, z = (sum((F.col(f"r{3 * r + c}") * d[r] for r in (1, 2)), F.col(f"r{c}") * d[0]) for c in range(3))
+    pose = F.array(*(F.col(c) for r, t in enumerate(("tx", "ty", "tz")) for c in (f"r{3 * r}", f"r{3 * r + 1}", f"r{3 * r + 2}", t)))
     side_out = lambda p, slope: z * slope - F.abs(p) >= -radius * (1 + slope * slope) ** 0.5
-    return both.where((z >= -radius) & (z <= far + radius) & side_out(x, wide) & side_out(y, high)).select("frame_id", "bx", "by", "bz")
+    return both.where((z >= -radius) & (z <= far + radius) & side_out(x, wide) & side_out(y, high)).select("frame_id", "bx", "by", "bz", *([pose.alias("t_wc")] if with_pose else []))

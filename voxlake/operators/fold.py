@@ -44,6 +44,21 @@ def gated_mean(obs: DataFrame, by: list[str], order: list[str], sample: Column,
     return gated_means(obs, by, order, {"mean": sample}, gate, cap)
 
 
+def means_and_gated(obs: DataFrame, by: list[str], order: list[str], samples: dict[str, Column], gated: dict[str, Column], gate: Column, cap: int) -> DataFrame:
+    """``running_means`` of ``samples`` and ``gated_means`` of ``gated``, null for a group without gated ones, in one pass: one exchange and one sort. ``gated_n``: gated samples."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    top = cap + 1
+    rows = obs.select(*by, *order, *(s.alias(f"s_{n}") for n, s in samples.items()), *(s.alias(f"g_{n}") for n, s in gated.items()), F.coalesce(gate, F.lit(False)).alias("gate_"))
+    rows = rows.withColumn("rank_", F.row_number().over(w)).withColumn("rows_", F.count("*").over(Window.partitionBy(*by)))
+    share = 1.0 / (F.least(F.col("rank_") - 1, F.lit(cap)) + 1)
+    later = F.coalesce(F.sum(F.when(F.col("gate_"), F.ln(1 - share))).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
+    part = rows.withColumn("part_", F.when(F.col("gate_"), share * F.exp(later)))
+    late = F.pow(F.lit(cap / top), F.col("rows_") - F.greatest("rank_", F.lit(top))) / top
+    weight = F.when(F.col("rows_") <= top, 1.0 / F.col("rows_")).otherwise(late)
+    sums = [F.sum(weight * F.col(f"s_{n}")).alias(n) for n in samples] + [F.sum(F.col("part_") * F.col(f"g_{n}")).alias(n) for n in gated]
+    return part.groupBy(*by).agg(*sums, F.least(F.count("*"), F.lit(cap)).alias("weight"), F.count("*").alias("n"), F.count_if("gate_").alias("gated_n"))
+
+
 def gated_vector(obs: DataFrame, by: list[str], order: list[str], vector: Column, dim: int, gate: Column, cap: int) -> DataFrame:
     """The same of vectors of ``dim`` numbers, as the array ``feat``. Vectors are added number by number, so sums combine before the exchange."""
     names = [f"d{i}" for i in range(dim)]

@@ -30,24 +30,25 @@ def patch_features(obs: DataFrame, frames: DataFrame, width: int, height: int, s
     return inside.join(frames.select("frame_id", "map"), "frame_id").withColumn("feat", F.slice("map", first, F.lit(dim))).drop("map", "pu", "pv")
 
 
-def observations(frames: DataFrame, blocks: DataFrame, size: float, focal: float, width: int, height: int, truncation: float, far: float) -> DataFrame:
-    """(frame_id, i, j, k, z, depth, sample): each voxel of the given blocks of 8 x 8 x 8 in each frame that sees it in front of, or less than ``truncation`` behind, its depth.
+def observations(frames: DataFrame, blocks: DataFrame, size: float, focal: float, width: int, height: int, truncation: float, far: float, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(frame_id, i, j, k, z, depth, sample, *carry): each voxel of the given blocks of 8 x 8 x 8 in each frame that sees it in front of, or less than ``truncation`` behind, its depth.
 
     ``frames``: frame_id, a quaternion qx, qy, qz, qw and place tx, ty, tz (camera to world), ``depth`` in meters by rows, 0 or null for none. Frames meet the blocks of
-    their pyramid of view only, and a block's voxels are listed after that. No depth may be above ``far`` less ``truncation``. A frame without a pose sees nothing.
+    their pyramid of view only; the voxels of the blocks seen are listed and projected, and those that fall into the image meet the frame's depths, and its
+    columns named in ``carry``, last. No depth may be above ``far`` less ``truncation``. A frame without a pose sees nothing.
     """
-    seen = camera.visible_blocks(frames, blocks, 8 * size, focal, width, height, far)
+    seen = camera.visible_blocks(frames, blocks, 8 * size, focal, width, height, far, with_pose=True)
+    # a row becomes 512, so few rows are dealt to as many tasks as many would be
+    seen = seen.repartition(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions")), "frame_id", "bx", "by", "bz")
     local = F.col("local")
     v = seen.withColumn("local", F.explode(F.sequence(F.lit(0), F.lit(511))))
-    v = v.select("frame_id", (F.col("bx") * 8 + F.floor(local / 64)).alias("i"), (F.col("by") * 8 + F.floor(local / 8) % 8).alias("j"), (F.col("bz") * 8 + local % 8).alias("k"))
-    turn = camera.matrix([F.col(c) for c in ("qx", "qy", "qz", "qw")])
-    pose = [*turn[:3], F.col("tx"), *turn[3:6], F.col("ty"), *turn[6:], F.col("tz")]
-    posed = frames.select("frame_id", "depth", F.array(*pose).alias("t_wc"))
+    v = v.select("frame_id", "t_wc", (F.col("bx") * 8 + F.floor(local / 64)).alias("i"), (F.col("by") * 8 + F.floor(local / 8) % 8).alias("j"), (F.col("bz") * 8 + local % 8).alias("k"))
     at = [geometry.center(F.col(c), 0.0, size) for c in "ijk"]
     x, y, z = geometry.to_camera(F.col("t_wc"), at)
-    seen_at = v.join(posed, "frame_id").select("frame_id", "i", "j", "k", "depth", x.alias("x"), y.alias("y"), z.alias("z")).where("z > 0")
+    seen_at = v.select("frame_id", "i", "j", "k", x.alias("x"), y.alias("y"), z.alias("z")).where("z > 0")
     u = geometry.pixel(F.lit(focal), F.col("x"), F.col("z"), F.lit((width - 1) / 2))
     w = geometry.pixel(F.lit(focal), F.col("y"), F.col("z"), F.lit((height - 1) / 2))
     found = seen_at.withColumns({"u": u, "v": w}).where(F.col("u").between(0, width - 1) & F.col("v").between(0, height - 1))
+    found = found.select("frame_id", "i", "j", "k", "z", "u", "v").join(frames.select("frame_id", "depth", *carry), "frame_id")
     found = found.withColumn("depth", F.get("depth", F.col("v") * width + F.col("u"))).where("depth > 0 and not isnan(depth)").where(F.col("depth") - F.col("z") >= -truncation)
-    return found.select("frame_id", "i", "j", "k", "z", "depth", geometry.signed_sample(F.col("depth"), F.col("z"), truncation).alias("sample"))
+    return found.select("frame_id", "i", "j", "k", "z", "depth", geometry.signed_sample(F.col("depth"), F.col("z"), truncation).alias("sample"), *carry)
