@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxlake.operators import camera, temporal
 from voxlake.streaming import block_map, matched
 
 
@@ -105,3 +106,19 @@ def test_batches_are_full_or_timed_out_and_none_is_lost(spark, tmp_path):
         got.setdefault((r.source, r.number), []).append(r.id)
     assert [len(got[k]) for k in sorted(got)] == [4, 4, 2, 4, 4, 2, 4, 4, 1, 4, 4, 1]
     assert [i for k in sorted(got) if k[0] == 0 for i in got[k]] == [*range(0, 19, 2), *range(100, 119, 2)]
+
+
+def test_poses_turn_along_the_shorter_arc(spark):
+    half = 0.5**0.5
+    turn = lambda angle: (0.0, 0.0, float(np.sin(angle / 2)), float(np.cos(angle / 2)))
+    poses = [
+        (1, 0, 0.0, 0.0, 0.0, *turn(0.2)), (2, 100, 1.0, 2.0, 4.0, *(-3 * x for x in turn(1.0))),  # of another sign and length
+        (3, 200, 1.0, 2.0, 4.0, *turn(1.0)), (4, 300, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), (5, 200, 9.0, 9.0, 9.0, half, 0.0, 0.0, half),
+    ]
+    table = spark.createDataFrame(poses, "id long, t long, tx double, ty double, tz double, qx double, qy double, qz double, qw double").select("id", "t", camera.pose().alias("x"))
+    left = spark.createDataFrame([(10, 25), (11, 0), (12, 100), (13, 150), (14, 250), (15, 301), (16, -1)], "id long, t long")
+    got = {r.id: [r.x[c] for c in ("tx", "ty", "tz", "qx", "qy", "qz", "qw")] for r in temporal.pose_at(left, table, 60, camera.pose_between).collect()}
+    assert set(got) == {10, 11, 12, 13, 14}
+    assert got[10] == pytest.approx([0.25, 0.5, 1.0, *turn(0.4)]) and got[11] == pytest.approx([0, 0, 0, *turn(0.2)])
+    assert got[12] == pytest.approx([1, 2, 4, *(-x for x in turn(1.0))]) and got[13] == pytest.approx([1, 2, 4, *(-x for x in turn(1.0))])
+    assert got[14][:3] == [0.5, 1.0, 2.0] and got[14][3:] == [None] * 4

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxlake.operators import camera, temporal
 from voxlake.plans import lifts as L
 from voxlake.queries import ORDER, _fold_sql, query, r6
 from voxlake.storage import new_path
-from voxlake.streaming import block_map, matched, sync
+from voxlake.streaming import block_map, frames, matched, sync
 
 #: Where the samples are parted into appends, each followed by a run of the stream.
 _PARTS = ("1997-01-01", "1999-06-01")
@@ -112,3 +113,38 @@ def st3_count_or_timeout(spark, sf_dir):
     out = spark.read.schema(batches.schema).parquet(f"{path}/out")
     per = out.groupBy("source", "number").agg(F.count("*").alias("size"))
     return per.join(out.groupBy("source").agg(F.sum("id").alias("ids")), "source").select("source", "number", "size", "ids")
+
+
+_PARTS_OF_POSE = {"tx": "value", "ty": "value * 2 - 3", "tz": "CAST(user_id AS DOUBLE)", "qx": "sin(event_id)", "qy": "cos(event_id * 3)", "qz": "sin(event_id * 5 + 1) * 2", "qw": "cos(event_id * 7 + 2)"}
+_Q = ("qx", "qy", "qz", "qw")
+_DOT = lambda a, b: "(" + " + ".join(f"{a}.{c} * {b}.{c}" for c in _Q) + ")"
+_POSE_SQL = f"""WITH c AS (SELECT event_id AS id, epoch_us(ts::TIMESTAMP) AS t FROM events WHERE event_type = 'click'),
+w AS (SELECT epoch_us(ts::TIMESTAMP) AS t, {', '.join(f'{e} AS {c}' for c, e in _PARTS_OF_POSE.items())} FROM events WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY ts ORDER BY event_id) = 1),
+lo AS (SELECT c.id, c.t AS tc, w.* FROM c ASOF JOIN w ON c.t >= w.t), hi AS (SELECT c.id, w.* FROM c ASOF JOIN w ON c.t <= w.t),
+b AS (SELECT lo.id, tc, CASE WHEN hi.t > lo.t THEN (tc - lo.t) / (hi.t - lo.t) ELSE 0.0 END AS s, lo, hi, sqrt({_DOT('lo', 'lo')}) AS la, sqrt({_DOT('hi', 'hi')}) AS lb, {_DOT('lo', 'hi')} AS d FROM lo JOIN hi USING (id)),
+g AS (SELECT *, acos(least(abs(d / (la * lb)), 1.0)) AS th, CASE WHEN d < 0 THEN -1.0 ELSE 1.0 END AS sg FROM b),
+f AS (SELECT *, CASE WHEN th < 1e-6 THEN 1 - s ELSE sin((1 - s) * th) / sin(th) END / la AS wa, CASE WHEN th < 1e-6 THEN s ELSE sin(s * th) / sin(th) END * sg / lb AS wb FROM g)
+SELECT id, tc AS t, {', '.join(f'round(lo.{c} + (hi.{c} - lo.{c}) * s, 6) AS {c}' for c in ('tx', 'ty', 'tz'))}, {', '.join(f'round(lo.{c} * wa + hi.{c} * wb, 6) AS {c}' for c in _Q)} FROM f"""
+
+
+def _poses(spark, sf_dir):
+    e = L.table(spark, sf_dir, "events").where("event_type = 'purchase'")
+    at = e.select(F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), *(F.expr(x).alias(c) for c, x in _PARTS_OF_POSE.items()))
+    return at.select("id", "t", camera.pose().alias("x"))
+
+
+def _flat(posed):
+    return posed.select("id", "t", *(r6(F.col(f"x.{c}"), c) for c in _PARTS_OF_POSE))
+
+
+@query(_POSE_SQL)
+def j10_whole_pose_at_time(spark, sf_dir):
+    """Places and turns between two poses, at the times of clicks."""
+    return _flat(temporal.pose_at(L.stream(spark, sf_dir, "click"), _poses(spark, sf_dir), 3_600_000_000, camera.pose_between))
+
+
+@query(_POSE_SQL)
+def st2_stream_whole_poses(spark, sf_dir):
+    """The same of a stream of clicks."""
+    e = sync.source(spark, f"{sf_dir}/events.parquet").where("event_type = 'click'").select(F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return _flat(sync.drained(frames.with_pose(e, _poses(spark, sf_dir), 3_600_000_000, camera.pose_between), "posed"))

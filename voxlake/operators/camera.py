@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -44,6 +45,42 @@ def quaternion(m: list[Column]) -> list[Column]:
     return out
 
 
+def pose(*columns: str) -> Column:
+    """A pose as a struct: place tx, ty, tz and quaternion qx, qy, qz, qw, of columns of these names or of those given."""
+    names = ("tx", "ty", "tz", "qx", "qy", "qz", "qw")
+    return F.struct(*(F.col(c).cast("double").alias(n) for c, n in zip(columns or names, names, strict=True)))
+
+
+def pose_between(a: Column, b: Column, share: Column) -> Column:
+    """The pose ``share`` of the way from ``a`` to ``b`` (structs): the place along a line, the turn along the shorter arc at a constant rate.
+
+    Quaternions of any length but zero are made units; of opposite ones, which are the same turn, the nearer is taken. Where the arc is too small to tell, the quaternion goes along
+    the line. The result is a unit, of ``a``'s sign. A zero or null quaternion gives nulls in the turn.
+    """
+    parts = ("qx", "qy", "qz", "qw")
+    inner = lambda p, q: sum((p[c] * q[c] for c in parts[1:]), p[parts[0]] * q[parts[0]])
+    length = lambda q: F.nullif(F.sqrt(inner(q, q)), F.lit(0.0))
+
+    def let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+        """``body`` of values that are computed once."""
+        return F.transform(F.array(F.struct(*(v.alias(n) for n, v in values.items()))), body)[0]
+
+    def weighed(r: Column) -> Column:
+        near = F.when(r["dot"] < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+        small = r["angle"] < 1e-6
+        wa = F.when(small, 1.0 - r["share"]).otherwise(F.sin((1.0 - r["share"]) * r["angle"]) / F.sin(r["angle"])) / r["la"]
+        wb = F.when(small, r["share"]).otherwise(F.sin(r["share"] * r["angle"]) / F.sin(r["angle"])) * near / r["lb"]
+        return let({"a": r["a"], "b": r["b"], "share": r["share"], "wa": wa, "wb": wb}, moved)
+
+    def moved(r: Column) -> Column:
+        place = [(r["a"][c] + (r["b"][c] - r["a"][c]) * r["share"]).alias(c) for c in ("tx", "ty", "tz")]
+        return F.struct(*place, *((r["a"][c] * r["wa"] + r["b"][c] * r["wb"]).alias(c) for c in parts))
+
+    start = {"a": a, "b": b, "share": share, "la": length(a), "lb": length(b), "dot": inner(a, b)}
+    angle = lambda r: F.acos(F.least(F.abs(r["dot"] / (r["la"] * r["lb"])), F.lit(1.0)))
+    return let(start, lambda r: let({**{n: r[n] for n in start}, "angle": angle(r)}, weighed))
+
+
 def visible_blocks(frames: DataFrame, blocks: DataFrame, side: float, focal: float, width: int, height: int, far: float, with_pose: bool = False) -> DataFrame:
     """(frame_id, bx, by, bz), and the frame's ``t_wc`` (16 numbers less the last row) if asked for: the distinct ``blocks`` whose ball meets each frame's pyramid of view up to depth ``far``.
 

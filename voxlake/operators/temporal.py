@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,12 +38,20 @@ def nearest(left: DataFrame, right: DataFrame, bucket: int) -> DataFrame:
     return found.select("id", "t", best["id"].alias("match_id"), F.abs(F.col("t") - best["t"]).alias("gap"))
 
 
-def pose_at(left: DataFrame, poses: DataFrame, bucket: int) -> DataFrame:
-    """(id, t, x): ``x`` of the poses (id, t, x) interpolated at each left (id, t); rows that no two poses enclose are dropped."""
+def along_line(a: Column, b: Column, share: Column) -> Column:
+    """The number ``share`` of the way from one to another."""
+    return a + (b - a) * share
+
+
+def pose_at(left: DataFrame, poses: DataFrame, bucket: int, between: Callable[[Column, Column, Column], Column] = along_line) -> DataFrame:
+    """(id, t, x): ``x`` of the poses (id, t, x) at each left (id, t), from the two poses around it; rows that no two poses enclose are dropped.
+
+    ``x`` may be a number, or a whole pose as a struct with ``between`` = camera.pose_between. Of poses at one time the smallest id counts; at a pose's time that pose is taken.
+    """
     own = bracket(left, poses.select("id", "t"), bucket).where("lo is not null and hi is not null")
     own = own.join(poses.select(F.col("id").alias("p0"), F.col("x").alias("x0")), F.col("lo.id") == F.col("p0")).join(poses.select(F.col("id").alias("p1"), F.col("x").alias("x1")), F.col("hi.id") == F.col("p1"))
     part = F.when(F.col("hi.t") > F.col("lo.t"), (F.col("t") - F.col("lo.t")) / (F.col("hi.t") - F.col("lo.t"))).otherwise(0.0)
-    return own.select("id", "t", (F.col("x0") + (F.col("x1") - F.col("x0")) * part).alias("x"))
+    return own.select("id", "t", between(F.col("x0"), F.col("x1"), part).alias("x"))
 
 
 def within(left: DataFrame, right: DataFrame, slop: int) -> DataFrame:

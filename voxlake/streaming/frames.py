@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from voxlake.operators.temporal import along_line
+
 
 def every_nth(stream: DataFrame, source: str, ids: str, time: str, n: int) -> DataFrame:
     """(source, id) of every n-th frame of each source, the n-th first; counting goes on over batches.
@@ -29,8 +31,9 @@ def every_nth(stream: DataFrame, source: str, ids: str, time: str, n: int) -> Da
     return stream.select(source, ids, time).groupBy(source).applyInPandasWithState(keep, out, "seen long", "append", GroupStateTimeout.NoTimeout)
 
 
-def with_pose(stream: DataFrame, poses: DataFrame, bucket: int) -> DataFrame:
-    """``stream`` (id, t) with ``x`` of the table ``poses`` (id, t, x) interpolated at t; frames that no two poses enclose are dropped.
+def with_pose(stream: DataFrame, poses: DataFrame, bucket: int, between: Callable[[Column, Column, Column], Column] = along_line) -> DataFrame:
+    """``stream`` (id, t) with ``x`` of the table ``poses`` (id, t, x) at t, from the two poses around it; frames that no two poses enclose are dropped. ``x`` may be
+    a number, or a whole pose as a struct with ``between`` = camera.pose_between.
 
     Between two neighbouring poses lies an interval, listed once for each bucket of time that it touches; frames meet the intervals of their bucket. Of poses at one time the
     smallest id counts. A frame at a pose's time takes that pose. Times are whole numbers; rows with a null time are dropped.
@@ -46,4 +49,5 @@ def with_pose(stream: DataFrame, poses: DataFrame, bucket: int) -> DataFrame:
     spans = held.select("t0", "x0", F.col("n.t").alias("t1"), F.col("n.x").alias("x1"), F.explode(F.sequence(F.floor(F.col("t0") / bucket), F.floor(last / bucket))).alias("part"))
     near = stream.withColumn("part", F.floor(F.col("t") / bucket)).join(spans, "part").where((F.col("t") == F.col("t0")) | ((F.col("t") > F.col("t0")) & (F.col("t") < F.col("t1"))))
     share = (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0"))
-    return near.select("id", "t", F.when(F.col("t") == F.col("t0"), F.col("x0")).otherwise(F.col("x0") + (F.col("x1") - F.col("x0")) * share).alias("x"))
+    moved = between(F.col("x0"), F.coalesce("x1", "x0"), F.when(F.col("t") == F.col("t0"), 0.0).otherwise(share))
+    return near.select("id", "t", moved.alias("x"))
