@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
 
     Each round links every node's neighbours, and the node, to the smallest of them, first over all
     neighbours, then over smaller ones only; this keeps the edge count and needs a logarithmic number
-    of rounds. Self-loops, repeated edges and edges with a null end are ignored (a self-loop still
+    of rounds. Edges that are stars already, as those of blocks which nothing crosses, need none. Self-loops, repeated edges and edges with a null end are ignored (a self-loop still
     yields its node). The edge set is checkpointed in the shared folder every round, and a round that leaves its
     number of edges and the exclusive or of their hashes as they were is the last. Nodes with many neighbours are joined by broadcast.
     An edge set that has not settled after ``max_rounds`` is an error.
@@ -45,6 +45,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     state = cut(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     alone = state.where("a = b").select(F.col("a").alias("node"))
     state = state.where("a <> b")
+    if _are_stars(state):
+        return _labelled(state, alone)
     mark = _mark(state)
     for _ in range(max_rounds):
         if not mark[0]:
@@ -65,12 +67,24 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
             break
     else:
         raise RuntimeError(f"components have not settled after {max_rounds} rounds")
+    return _labelled(state, alone)
+
+
+def _labelled(state: DataFrame, alone: DataFrame) -> DataFrame:
+    """The nodes of stars, and those of ``alone`` that are in none."""
     found = state.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     linked = found.union(roots)
     return linked.union(alone.join(linked, "node", "left_anti").select("node", F.col("node").alias("component")))
 
 
+def _are_stars(state: DataFrame) -> bool:
+    """Whether every larger end has one edge, to a node that has none to a smaller one."""
+    ends = state.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(state.select(F.col("b"), F.lit(0), F.lit(1)))
+    per = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def _mark(state: DataFrame) -> tuple[int, int | None]:
     """The number of edges and the exclusive or of their hashes."""
     return tuple(state.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())

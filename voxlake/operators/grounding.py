@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from voxlake.functions import geometry, vector
 from voxlake.operators.components import Forest, connected_components
 from voxlake.operators.quantile import quantiles
+from voxlake.storage import cut
 
 SENTINEL = -1e4
 #: Side of the blocks whose seeds are linked in one task.
@@ -67,25 +69,32 @@ def _block_links(at: np.ndarray, r: int) -> np.ndarray:
     return label
 
 
-def clusters(points: DataFrame, eps: int) -> DataFrame:
-    """(i, j, k, label) of seeds linked within Chebyshev distance 2 (eps - 1) + 1; the label is the smallest (i, j, k) linked.
+def clusters(points: DataFrame, eps: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, i, j, k, label) of seeds linked within Chebyshev distance 2 (eps - 1) + 1, within each group of ``by``; the label is the smallest (i, j, k) linked.
 
     Seeds are dealt to blocks of BLOCK voxels a side, those near a lower face to the block below as well, so every link lies in some block. A block's
-    links become a star, and the stars' components are the clusters.
+    links become a star, and the stars' components are the clusters. A block that only holds copies from one other block has no links of its own.
     """
     r = 2 * (eps - 1) + 1
-    dealt = points.select("i", "j", "k").distinct()
+    key = [*by, "bi", "bj", "bk"]
+    dealt = points.select(*by, "i", "j", "k").distinct()
     for c in "ijk":
         dealt = dealt.withColumn(f"b{c}", F.explode(F.array_distinct(F.array(F.floor((F.col(c) - r) / BLOCK), F.floor(F.col(c) / BLOCK)))))
 
     def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         at = pdf[["i", "j", "k"]].to_numpy()
-        root = at[_block_links(at, r)]
-        return pd.DataFrame({f"{n}{c}": x[:, m] for n, x in (("a", at), ("b", root)) for m, c in enumerate("ijk")})
+        owner = at // BLOCK
+        if (owner == owner[0]).all() and tuple(owner[0]) != key[-3:]:
+            at = at[:0]
+        root = at[_block_links(at, r)] if len(at) else at
+        out = {n: np.full(len(at), key[p]) for p, n in enumerate(by)}
+        return pd.DataFrame(out | {f"{n}{c}": x[:, m] for n, x in (("a", at), ("b", root)) for m, c in enumerate("ijk")})
 
-    links = dealt.groupBy("bi", "bj", "bk").applyInPandas(link, "ai long, aj long, ak long, bi long, bj long, bk long")
-    end = lambda n: F.struct(*(F.col(f"{n}{c}").alias(c) for c in "ijk")).alias(n)
-    return connected_components(links.select(end("a"), end("b"))).select("node.i", "node.j", "node.k", F.col("component").alias("label"))
+    kinds = [f"{n} {points.schema[n].dataType.simpleString()}" for n in by]
+    links = dealt.groupBy(*key).applyInPandas(link, ", ".join([*kinds, *(f"{n}{c} long" for n in "ab" for c in "ijk")]))
+    end = lambda n: F.struct(*by, *(F.col(f"{n}{c}").alias(c) for c in "ijk")).alias(n)
+    found = connected_components(links.select(end("a"), end("b")))
+    return found.select("node.*", F.struct(*(F.col(f"component.{c}").alias(c) for c in "ijk")).alias("label"))
 
 
 def dilated(labelled: DataFrame, eps: int, dims: tuple[int, int, int]) -> DataFrame:
@@ -98,26 +107,64 @@ def dilated(labelled: DataFrame, eps: int, dims: tuple[int, int, int]) -> DataFr
     return out.distinct()
 
 
-def ground(
-    voxels: DataFrame, query: list[float], dims: tuple[int, int, int], negative: list[float] | None = None, top_percentile: float | None = 0.1, threshold: float | None = None, min_weight: float = 1.0,
-    surface_only: bool = True, subtract_mean: bool = False, eps: int = 2, min_voxels: int = 1, top_k: int = 5, origin: float = 0.0, size: float = 0.1, missing: str = "ignore",
+@dataclass(frozen=True)
+class Setting:
+    """How seeds are cut and clusters kept: the share of the best observed scores (which wins) or a threshold of scores less the mean, whether the mean is subtracted, the least size."""
+
+    top_percentile: float | None = 0.1
+    threshold: float | None = None
+    subtract_mean: bool = False
+    min_voxels: int = 1
+
+
+def ground_grid(
+    voxels: DataFrame, cases: dict[str, tuple[list[float], list[float] | None]], settings: list[Setting], dims: tuple[int, int, int], min_weight: float = 1.0,
+    surface_only: bool = True, eps: int = 2, top_k: int = 5, origin: float = 0.0, size: float = 0.1, missing: str = "ignore",
 ) -> DataFrame:
-    """Ranked clusters: rank, count, center, box, score.
+    """Ranked clusters of every case (a query and a negative prompt, or none) under every setting, in one job: (case, setting, rank, count, center, box, score).
+
+    Voxels are read and scored once, for all cases. The cuts of all shares come from one set of brackets for each case, and seeds, clusters and members carry their case and the number of their
+    setting. Only the table of cuts, a row for each case and setting, is sent to all tasks.
 
     ``missing``: members without a feature are left out of the mean score (ignore), count as 0 (zero), or as the sentinel
-    of a layout that stores it (sentinel). Clusters of at least ``min_voxels`` members are ranked by score * log1p(count); ties by the first member.
+    of a layout that stores it (sentinel). Clusters are ranked by score * log1p(count); ties by the first member.
     """
-    scored = score(voxels, query, negative)
-    found, mean = seeds(scored, top_percentile, threshold, min_weight, surface_only, subtract_mean)
-    members = dilated(clusters(found, eps), eps, dims)
-    members = members.join(scored.select("i", "j", "k", "score"), ["i", "j", "k"], "left").crossJoin(F.broadcast(mean))
+    if any(s.top_percentile is None and s.threshold is None for s in settings):
+        raise ValueError("top_percentile or threshold is needed")
+    every = [vector.inner(F.col("feat"), vector.literal(q if n is None else [a - b for a, b in zip(q, n, strict=True)])) for q, n in cases.values()]
+    names = F.array(*map(F.lit, cases))
+    scored = voxels.select("i", "j", "k", "weight", "tsdf", F.posexplode(F.array(*every)).alias("c", "score")).where("score is not null")
+    scored = cut(scored.select(F.get(names, F.col("c")).alias("case"), "i", "j", "k", "weight", "tsdf", "score"))
+    seen = scored.where(F.col("weight") >= min_weight)
+    if surface_only:
+        seen = seen.where(F.abs("tsdf") <= 0.5)
+    shares = sorted({s.top_percentile for s in settings if s.top_percentile is not None})
+    stats = quantiles(seen, "score", {f"cut{n}": 1 - p for n, p in enumerate(shares)}, ["case"])
+    rows = []
+    for n, s in enumerate(settings):
+        mean = F.col("mean") if s.subtract_mean else F.lit(0.0)
+        level = F.lit(s.threshold) + mean if s.top_percentile is None else F.col(f"cut{shares.index(s.top_percentile)}")
+        rows.append(F.struct(F.lit(n).alias("setting"), mean.alias("mean"), level.cast("double").alias("level"), F.lit(s.min_voxels).alias("least")))
+    levels = F.broadcast(cut(stats.select("case", F.explode(F.array(*rows)).alias("s")).select("case", "s.*")))  # cases times settings
+    by = ("case", "setting")
+    found = seen.join(levels, "case").where("score >= level").select(*by, "i", "j", "k")
+    members = dilated(clusters(found, eps, by), eps, dims)
+    members = members.join(scored.select("case", "i", "j", "k", "score"), ["case", "i", "j", "k"], "left").join(levels, [*by])
     value = F.col("score") if missing == "ignore" else F.coalesce("score", F.lit(SENTINEL if missing == "sentinel" else 0.0))
     at = {c: geometry.center(F.col(c), origin, size) for c in "ijk"}
     flat = (F.col("i") * dims[1] + F.col("j")) * dims[2] + F.col("k")
-    per = members.groupBy("label").agg(
+    per = members.groupBy(*by, "label").agg(
         F.count("*").alias("count"), *(F.avg(at[c]).alias(f"center_{c}") for c in "ijk"), *(F.min(at[c]).alias(f"min_{c}") for c in "ijk"), *(F.max(at[c]).alias(f"max_{c}") for c in "ijk"),
-        F.avg(value - F.col("mean")).alias("score"), F.min(flat).alias("first"),
-    ).where(F.col("count") >= min_voxels)
-    top = per.orderBy(F.desc(F.col("score") * F.log1p("count")), "first").limit(top_k)
-    ranked = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("score") * F.log1p("count")).alias("key"), "first", *(c for c in per.columns if c not in ("label", "first"))))).alias("all"))  # top_k rows
-    return ranked.select(F.posexplode("all").alias("rank", "r")).select((F.col("rank") + 1).alias("rank"), "r.*").drop("key", "first")
+        F.avg(value - F.col("mean")).alias("score"), F.min(flat).alias("first"), F.first("least").alias("least"),
+    ).where("count >= least")
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.col("score") * F.log1p("count")), "first"))
+    return per.withColumn("rank", rank).where(F.col("rank") <= top_k).select(*by, "rank", *(c for c in per.columns if c not in (*by, "label", "first", "least")))
+
+
+def ground(
+    voxels: DataFrame, query: list[float], dims: tuple[int, int, int], negative: list[float] | None = None, top_percentile: float | None = 0.1, threshold: float | None = None, min_weight: float = 1.0,
+    surface_only: bool = True, subtract_mean: bool = False, eps: int = 2, min_voxels: int = 1, top_k: int = 5, origin: float = 0.0, size: float = 0.1, missing: str = "ignore",
+) -> DataFrame:
+    """Ranked clusters of one query under one setting: rank, count, center, box, score."""
+    setting = Setting(top_percentile, threshold, subtract_mean, min_voxels)
+    return ground_grid(voxels, {"": (query, negative)}, [setting], dims, min_weight, surface_only, eps, top_k, origin, size, missing).drop("case", "setting")

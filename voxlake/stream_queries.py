@@ -43,13 +43,25 @@ def k7_frame_table(spark, sf_dir):
     return spark.read.schema(e.schema).parquet(path)
 
 
-_GRID = ((0.1, 1), (0.2, 30))
+_CASES = {"first": (0, None), "second": (2, None), "less": (3, 1)}
+_SETTINGS = [grounding.Setting(p, t, m, n) for m in (False, True) for p, t, n in ((0.1, None, 1), (0.2, None, 30), (0.05, None, 1), (None, 0.1, 20))]
 
 
-@query(" UNION ALL ".join(f"(SELECT CAST({p} AS DOUBLE) AS top_percentile, {m} AS min_voxels, * FROM ({_ground_sql('ignore').replace('0.9) AS cut', f'{1 - p}) AS cut').replace('GROUP BY label)', f'GROUP BY label HAVING count(*) >= {m})')}))" for p, m in _GRID))
+def _grid_sql(case: str, number: int) -> str:
+    (q, n), s = _CASES[case], _SETTINGS[number]
+    sql = _ground_sql("ignore").replace("vec_id = 0)", f"vec_id = {q})").replace("vec_id = 1)", f"vec_id = {1 if n is None else n})")
+    if n is not None:
+        sql = sql.replace("list_inner_product(emb, q)", "list_inner_product(emb, q) - list_inner_product(emb, g)").replace("FROM v, q)", "FROM v, q, g)")
+    mean = "m" if s.subtract_mean else "0.0"
+    sql = sql.replace("quantile_cont(score, 0.9) AS cut", f"quantile_cont(score, {1 - s.top_percentile}) AS cut" if s.threshold is None else f"{s.threshold} + {'avg(score)' if s.subtract_mean else '0.0'} AS cut")
+    sql = sql.replace("avg(value) AS sc", f"avg(value - {mean}) AS sc").replace("FROM m2 GROUP BY label)", f"FROM m2, c GROUP BY label HAVING count(*) >= {s.min_voxels})")
+    return f"(SELECT '{case}' AS \"case\", {number} AS setting, * FROM ({sql}))"
+
+
+@query(" UNION ALL ".join(_grid_sql(c, n) for c in _CASES for n in range(len(_SETTINGS))))
 def u8_p11_grid(spark, sf_dir):
-    """Grounding under each setting of a grid, in one result."""
-    v, q = L.voxels(spark, sf_dir), L.vector_of(spark, sf_dir, 0)
-    parts = [grounding.ground(v, q, L.DIMS, top_percentile=p, min_voxels=m).select(F.lit(p).alias("top_percentile"), F.lit(m).alias("min_voxels"), "*") for p, m in _GRID]
-    both = parts[0].unionByName(parts[1])
-    return both.select("top_percentile", "min_voxels", F.col("rank").cast("long").alias("rank"), "count", *(r6(F.col(c), c) for c in ("center_i", "center_j", "center_k", "min_i", "max_i", "score")))
+    """Every case under each setting of a grid, in one job that reads the voxels once."""
+    vectors = {i: L.vector_of(spark, sf_dir, i) for i in {x for pair in _CASES.values() for x in pair if x is not None}}
+    cases = {name: (vectors[q], None if n is None else vectors[n]) for name, (q, n) in _CASES.items()}
+    r = grounding.ground_grid(L.voxels(spark, sf_dir), cases, _SETTINGS, L.DIMS)
+    return r.select("case", "setting", F.col("rank").cast("long").alias("rank"), "count", *(r6(F.col(c), c) for c in ("center_i", "center_j", "center_k", "min_i", "max_i", "score")))
