@@ -10,7 +10,7 @@ from voxlake.operators import fold, fusion
 from voxlake.plans import lifts as L
 from voxlake.queries import ORDER, query, r6
 
-FRAMES = 500
+_FRAMES = "(SELECT count(*) FROM embeddings)"
 
 
 def _gated_sql(first: str, dim: int, where: str) -> str:
@@ -22,15 +22,15 @@ def _gated_sql(first: str, dim: int, where: str) -> str:
         parts.append(f"round(list_reduce(list_prepend([0.0, 0.0, 0.0], {steps}), lambda a, b: [CASE WHEN b[3] = 1.0 THEN (a[1] * b[2] + b[1]) / (b[2] + 1) ELSE a[1] END, 0.0, 0.0])[1], 6) AS d{d}")
     return f"""
 WITH o AS (
-  SELECT *, l_discount <= 0.05 AS g, l_partkey % 640 AS u, l_suppkey % 480 AS v FROM lineitem JOIN embeddings ON vec_id = l_orderkey % {FRAMES}
+  SELECT *, l_discount <= 0.05 AS g, l_partkey % 640 AS u, l_suppkey % 480 AS v FROM lineitem JOIN embeddings ON vec_id = l_orderkey % {_FRAMES}
 ), x AS (SELECT *, u * (224.0 / 480) - (640 * (224.0 / 480) - 224) / 2 AS xc, v * (224.0 / 480) AS yc FROM o)
 SELECT l_partkey AS voxel, count(*) FILTER (g) AS n, {", ".join(parts)} FROM x {where} GROUP BY 1 HAVING count(*) FILTER (g) > 0
 """
 
 
 def _seen(spark, sf_dir):
-    li = L.table(spark, sf_dir, "lineitem")
-    return li.select(F.col("l_partkey").alias("voxel"), (F.col("l_orderkey") % FRAMES).alias("frame_id"), (F.col("l_partkey") % 640).alias("u"), (F.col("l_suppkey") % 480).alias("v"), (F.col("l_discount") <= 0.05).alias("g"), *ORDER)
+    li, n = L.table(spark, sf_dir, "lineitem"), L.table(spark, sf_dir, "embeddings").count()
+    return li.select(F.col("l_partkey").alias("voxel"), (F.col("l_orderkey") % n).alias("frame_id"), (F.col("l_partkey") % 640).alias("u"), (F.col("l_suppkey") % 480).alias("v"), (F.col("l_discount") <= 0.05).alias("g"), *ORDER)
 
 
 def _maps(spark, sf_dir):
@@ -76,7 +76,8 @@ _FOLD = "list_reduce(list_transform(list(sample ORDER BY frame_id), lambda x, i:
 _GATED = "list_reduce(list_prepend([0.0, 0.0, 0.0], list_transform(list([CAST(embedding[{0}] AS DOUBLE), CAST(abs(sample) <= 0.5 AS DOUBLE)] ORDER BY frame_id), lambda x, i: [x[1], CAST(least(i - 1, 32) AS DOUBLE), x[2]])), lambda a, b: [CASE WHEN b[3] = 1.0 THEN (a[1] * b[2] + b[1]) / (b[2] + 1) ELSE a[1] END, 0.0, 0.0])[1]"
 
 
-@query(f"""
+#: Observations of posed frames: the numbers of a vector are its depths, its first four the turn of its pose.
+_POSED_SQL = f"""
 WITH q AS (
   SELECT vec_id, embedding, CAST(embedding[1] AS DOUBLE) AS qx, CAST(embedding[2] AS DOUBLE) AS qy, CAST(embedding[3] AS DOUBLE) AS qz, CAST(embedding[4] AS DOUBLE) AS qw FROM embeddings
 ), p AS (SELECT *, 2.0 / (qx * qx + qy * qy + qz * qz + qw * qw) AS s FROM q),
@@ -88,20 +89,30 @@ c AS (SELECT *, r0 * dx + r3 * dy + r6 * dz AS x, r1 * dx + r4 * dy + r7 * dz AS
 u AS (SELECT *, round_even(6.0 * x / (z + 1e-8) + 3.5, 0) AS u, round_even(6.0 * y / (z + 1e-8) + 3.5, 0) AS v FROM c WHERE z > 0),
 e AS (SELECT *, floor(abs(CAST(embedding[CAST(v * 8 + u AS INTEGER) + 1] AS DOUBLE)) * 10000) / 400 AS raw FROM u WHERE u BETWEEN 0 AND 7 AND v BETWEEN 0 AND 7),
 o AS (SELECT *, greatest(least((raw - z) / 0.4, 1.0), -1.0) AS sample FROM e WHERE raw > 0 AND raw <= 4 AND raw - z >= -0.4)
+"""
+_FUSED_SQL = f"""{_POSED_SQL}
 SELECT i, j, k, round({_FOLD}, 6) AS tsdf, least(count(*), 32) AS weight, count(*) FILTER (abs(sample) <= 0.5) AS features,
   {", ".join(f"CASE WHEN count(*) FILTER (abs(sample) <= 0.5) > 0 THEN round({_GATED.format(5 + c)}, 6) END AS f{c}" for c in range(3))}
-FROM o GROUP BY i, j, k""")
-def a7_j2_block_fusion(spark, sf_dir):
-    """Decoded depths of posed frames, the blocks each sees, their voxels, signed distances, and the folds of distance and gated features."""
+FROM o GROUP BY i, j, k"""
+
+
+def posed(spark, sf_dir):
+    """(frames, blocks): posed depth frames with a feature of three numbers, and the blocks of the voxels."""
     e = L.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("map"))
     raw = F.transform("map", lambda x: F.floor(F.abs(x.cast("double")) * 10000))
-    place = {"tx": F.col("vec_id") / 640.0, "ty": F.lit(0.4), "tz": F.lit(-0.5), "depth": fusion.decoded(raw, 400.0, 4.0)}
-    frames = e.join(_quaternions(spark, sf_dir), "vec_id").withColumnRenamed("vec_id", "frame_id")
-    frames = frames.withColumns({n: (F.col("frame_id") / 640.0 if n == "tx" else c) for n, c in place.items()})
-    blocks = L.voxels(spark, sf_dir).select(F.expr("i div 8").alias("bx"), F.expr("j div 8").alias("by"), F.expr("k div 8").alias("bz"))
-    frames = frames.withColumn("feat", F.slice("map", 5, 3))
-    obs = fusion.observations(frames, blocks, 0.1, 6.0, 8, 8, 0.4, 4.4, ("feat",))
-    key, names = ["i", "j", "k"], [f"f{c}" for c in range(3)]
+    place = {"tx": F.col("frame_id") / 640.0, "ty": F.lit(0.4), "tz": F.lit(-0.5), "depth": fusion.decoded(raw, 400.0, 4.0), "feat": F.slice("map", 5, 3)}
+    frames = e.join(_quaternions(spark, sf_dir), "vec_id").withColumnRenamed("vec_id", "frame_id").withColumns(place)
+    return frames, L.voxels(spark, sf_dir).select(F.expr("i div 8").alias("bx"), F.expr("j div 8").alias("by"), F.expr("k div 8").alias("bz"))
+
+
+def observed(frames, blocks):
+    return fusion.observations(frames, blocks, 0.1, 6.0, 8, 8, 0.4, 4.4, ("feat",))
+
+
+@query(_FUSED_SQL)
+def a7_j2_block_fusion(spark, sf_dir):
+    """Decoded depths of posed frames, the blocks each sees, their voxels, signed distances, and the folds of distance and gated features."""
+    obs, key, names = observed(*posed(spark, sf_dir)), ["i", "j", "k"], [f"f{c}" for c in range(3)]
     both = fold.means_and_gated(obs, key, ["frame_id"], {"mean": F.col("sample")}, {n: F.col("feat")[c].cast("double") for c, n in enumerate(names)}, F.abs("sample") <= 0.5, 32)
     return both.select(*key, r6(F.col("mean"), "tsdf"), F.col("weight").cast("long").alias("weight"), F.col("gated_n").cast("long").alias("features"), *(r6(F.col(n), n) for n in names))
 

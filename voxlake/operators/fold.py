@@ -33,8 +33,8 @@ def gated_means(obs: DataFrame, by: list[str], order: list[str], samples: dict[s
     rank = F.row_number().over(w)
     rows = obs.select(*by, *order, *(s.alias(f"s_{name}") for name, s in samples.items()), gate.alias("gate_"), (1.0 / (F.least(rank - 1, F.lit(cap)) + 1)).alias("share_")).where("gate_")
     after = w.rowsBetween(1, Window.unboundedFollowing)
-    # the product of what later samples leave; only a group's first sample can have b = 1, and it is never later
-    left = F.exp(F.coalesce(F.sum(F.ln(1 - F.col("share_"))).over(after), F.lit(0.0)))
+    # the product of what later samples leave; a share of 1 leaves nothing
+    left = F.exp(F.coalesce(F.sum(F.coalesce(F.ln(1 - F.col("share_")), F.lit(float("-inf")))).over(after), F.lit(0.0)))
     part = rows.withColumn("part_", F.col("share_") * left)
     return part.groupBy(*by).agg(*(F.sum(F.col(f"s_{name}") * F.col("part_")).alias(name) for name in samples), F.count("*").alias("n"))
 
@@ -44,19 +44,37 @@ def gated_mean(obs: DataFrame, by: list[str], order: list[str], sample: Column,
     return gated_means(obs, by, order, {"mean": sample}, gate, cap)
 
 
-def means_and_gated(obs: DataFrame, by: list[str], order: list[str], samples: dict[str, Column], gated: dict[str, Column], gate: Column, cap: int) -> DataFrame:
-    """``running_means`` of ``samples`` and ``gated_means`` of ``gated``, null for a group without gated ones, in one pass: one exchange and one sort. ``gated_n``: gated samples."""
+def means_and_gated(obs: DataFrame, by: list[str], order: list[str], samples: dict[str, Column], gated: dict[str, Column], gate: Column, cap: int, state: DataFrame | None = None) -> DataFrame:
+    """``running_means`` of ``samples`` and ``gated_means`` of ``gated``, null for a group without gated ones, in one pass: one exchange and one sort. ``gated_n``: gated samples.
+
+    With ``state``, an earlier result of other samples, the fold goes on from it; groups without samples are not in the result.
+    """
     w = Window.partitionBy(*by).orderBy(*order)
-    top = cap + 1
+    top, d = cap + 1, cap / (cap + 1)
     rows = obs.select(*by, *order, *(s.alias(f"s_{n}") for n, s in samples.items()), *(s.alias(f"g_{n}") for n, s in gated.items()), F.coalesce(gate, F.lit(False)).alias("gate_"))
     rows = rows.withColumn("rank_", F.row_number().over(w)).withColumn("rows_", F.count("*").over(Window.partitionBy(*by)))
-    share = 1.0 / (F.least(F.col("rank_") - 1, F.lit(cap)) + 1)
-    later = F.coalesce(F.sum(F.when(F.col("gate_"), F.ln(1 - share))).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
-    part = rows.withColumn("part_", F.when(F.col("gate_"), share * F.exp(later)))
-    late = F.pow(F.lit(cap / top), F.col("rows_") - F.greatest("rank_", F.lit(top))) / top
-    weight = F.when(F.col("rows_") <= top, 1.0 / F.col("rows_")).otherwise(late)
-    sums = [F.sum(weight * F.col(f"s_{n}")).alias(n) for n in samples] + [F.sum(F.col("part_") * F.col(f"g_{n}")).alias(n) for n in gated]
-    return part.groupBy(*by).agg(*sums, F.least(F.count("*"), F.lit(cap)).alias("weight"), F.count("*").alias("n"), F.count_if("gate_").alias("gated_n"))
+    held = [*samples, *gated, "n", "gated_n"]
+    if state is None:
+        rows = rows.withColumns({f"b_{c}": F.lit(0.0 if c in samples or c in gated else 0) for c in held})
+    else:
+        before = state.select(*(F.col(c).alias(f"k_{c}") for c in by), *(F.col(c).alias(f"b_{c}") for c in held))
+        same = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in by]
+        rows = rows.join(before, same, "left").drop(*(f"k_{c}" for c in by)).withColumns({f"b_{c}": F.coalesce(f"b_{c}", F.lit(0)) for c in held})
+    n0 = F.col("b_n")
+    k, n = n0 + F.col("rank_"), n0 + F.col("rows_")
+    share = 1.0 / (F.least(k - 1, F.lit(cap)) + 1)
+    # a share of 1, as that of a group's very first sample, leaves nothing of what came before
+    left = F.when(F.col("gate_"), F.coalesce(F.ln(1 - share), F.lit(float("-inf"))))
+    later = F.coalesce(F.sum(left).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
+    part = rows.withColumn("part_", F.when(F.col("gate_"), share * F.exp(later))).withColumn("left_", left)
+    power = lambda e: F.pow(F.lit(d), F.greatest(e, F.lit(0)))
+    weight = F.when(n <= top, 1.0 / n).otherwise(power(n - F.greatest(k, F.lit(top))) / top)
+    kept = F.when(n <= top, n0 / n).when(n0 < top, n0 * power(n - top) / top).otherwise(power(n - n0))
+    sums = [(F.sum(weight * F.col(f"s_{c}")) + F.first(kept * F.col(f"b_{c}"))).alias(c) for c in samples]
+    was, rest = F.first("b_gated_n"), F.exp(F.coalesce(F.sum("left_"), F.lit(0.0)))
+    some = was + F.count_if("gate_")
+    sums += [F.when(some > 0, F.coalesce(F.sum(F.col("part_") * F.col(f"g_{c}")), F.lit(0.0)) + rest * F.first(f"b_{c}")).alias(c) for c in gated]
+    return part.groupBy(*by).agg(*sums, F.least(F.first(n), F.lit(cap)).alias("weight"), F.first(n).alias("n"), some.alias("gated_n"))
 
 
 def gated_vector(obs: DataFrame, by: list[str], order: list[str], vector: Column, dim: int, gate: Column, cap: int) -> DataFrame:
