@@ -100,6 +100,15 @@ def test_folds_go_on_from_a_state(spark, cap):
     assert len(got) > 50 and all(got[p] == pytest.approx(wanted[p]) for p in got)
 
 
+@pytest.mark.parametrize("cap", [0, 1, 5, 40])
+def test_segments_fold_as_the_whole(spark, cap):
+    rows = rows_of(np.random.default_rng(cap), 700, 0, 0, 3)
+    df = spark.createDataFrame([*rows, (None, 0, 0, 1, 2.0, 3.0, True)], SCHEMA)
+    folded = fold.means_by_segments(df, ["i", "j", "k"], ["at"], F.floor(F.col("at") / 90), {"tsdf": F.col("x")}, {"f": F.col("f")}, F.col("near"), cap)
+    got = {(r.i, r.j, r.k): [r.tsdf, r.f, r.weight, r.n, r.gated_n] for r in folded.collect()}
+    assert got.pop((None, 0, 0)) == [2.0, 3.0, min(1, cap), 1, 1] and same(got, plain(rows, cap))
+
+
 def test_a_chain_goes_on_after_its_done_steps(spark, tmp_path):
     made = []
 

@@ -77,6 +77,34 @@ def means_and_gated(obs: DataFrame, by: list[str], order: list[str], samples: di
     return part.groupBy(*by).agg(*sums, F.least(F.first(n), F.lit(cap)).alias("weight"), F.first(n).alias("n"), some.alias("gated_n"))
 
 
+def means_by_segments(obs: DataFrame, by: list[str], order: list[str], segment: Column, samples: dict[str, Column], gated: dict[str, Column], gate: Column, cap: int) -> DataFrame:
+    """The result of ``means_and_gated`` without bringing a group's samples together: a very frequent group is folded in segments of its order, each by a task of its own.
+
+    ``segment`` must not decrease along ``order`` within a group, and equal places in the order share a segment: a range of time, say. Each segment of a group is counted first, which
+    gives every sample's rank; a segment's sums then need only the counts before it and what the gates of later segments leave, a row for each segment.
+    """
+    top, d = cap + 1, cap / (cap + 1)
+    key = [*by, "seg_"]
+    rows = obs.select(*by, *order, segment.alias("seg_"), *(s.alias(f"s_{n}") for n, s in samples.items()), *(s.alias(f"g_{n}") for n, s in gated.items()), F.coalesce(gate, F.lit(False)).alias("gate_"))
+    counts = obs.select(*by, segment.alias("seg_")).groupBy(*key).agg(F.count("*").alias("rows_"))
+    whole, along = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("seg_")
+    ends = counts.select(*(F.col(c).alias(f"k_{c}") for c in key), (F.sum("rows_").over(along) - F.col("rows_")).alias("before_"), F.sum("rows_").over(whole).alias("n"))
+    inside = Window.partitionBy(*key).orderBy(*order)
+    ranked = rows.withColumn("at_", F.row_number().over(inside)).join(ends, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in key])
+    k, n = F.col("before_") + F.col("at_"), F.col("n")
+    share = 1.0 / (F.least(k - 1, F.lit(cap)) + 1)
+    left = F.when(F.col("gate_"), F.coalesce(F.ln(1 - share), F.lit(float("-inf"))))
+    later = F.coalesce(F.sum("left_").over(inside.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
+    weight = F.when(n <= top, 1.0 / n).otherwise(F.pow(F.lit(d), n - F.greatest(k, F.lit(top))) / top)
+    part = ranked.withColumns({"left_": left, "share_": share, "weight_": weight}).withColumn("part_", F.when(F.col("gate_"), F.col("share_") * F.exp(later)))
+    sums = [F.sum(F.col("weight_") * F.col(f"s_{c}")).alias(c) for c in samples] + [F.sum(F.col("part_") * F.col(f"g_{c}")).alias(c) for c in gated]
+    per = part.groupBy(*key).agg(*sums, F.first("n").alias("n"), F.count_if("gate_").alias("gated_n"), F.coalesce(F.sum("left_"), F.lit(0.0)).alias("left_"))
+    after = F.exp(F.coalesce(F.sum("left_").over(along.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)))
+    per = per.withColumn("after_", after)
+    total = [F.sum(c).alias(c) for c in samples] + [F.sum(F.col(c) * F.col("after_")).alias(c) for c in gated]
+    return per.groupBy(*by).agg(*total, F.least(F.first("n"), F.lit(cap)).alias("weight"), F.first("n").alias("n"), F.sum("gated_n").alias("gated_n"))
+
+
 def gated_vector(obs: DataFrame, by: list[str], order: list[str], vector: Column, dim: int, gate: Column, cap: int) -> DataFrame:
     """The same of vectors of ``dim`` numbers, as the array ``feat``. Vectors are added number by number, so sums combine before the exchange."""
     names = [f"d{i}" for i in range(dim)]

@@ -104,6 +104,22 @@ def a3_gated_mean(spark, sf_dir):
     return m.select("voxel", r6(F.col("mean"), "mean"), "n")
 
 
+def _segmented(spark, sf_dir):
+    """Both folds of each voxel by years of its samples, none of which needs all of a voxel's samples in one task."""
+    o = L.observations(spark, sf_dir)
+    return fold.means_by_segments(o, ["voxel"], ORDER, F.year("l_shipdate"), {"mean": F.col("sample")}, {"near": F.col("sample")}, F.col("gate"), 32)
+
+
+@query(ORACLE_SQL["a1_running_mean"])
+def a1_by_segments(spark, sf_dir):
+    return _segmented(spark, sf_dir).select("voxel", r6(F.col("mean"), "mean"), "weight", "n")
+
+
+@query(ORACLE_SQL["a3_gated_mean"])
+def a3_by_segments(spark, sf_dir):
+    return _segmented(spark, sf_dir).where("gated_n > 0").select("voxel", r6(F.col("near"), "mean"), F.col("gated_n").alias("n"))
+
+
 _EV = "WITH c AS (SELECT event_id AS id, epoch_us(ts::TIMESTAMP) AS t FROM events WHERE event_type = 'click'), w AS (SELECT event_id AS id, epoch_us(ts::TIMESTAMP) AS t FROM events WHERE event_type = 'view')"
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voxlake.sources.volume import listed
 from voxlake.storage import new_path
 
 
@@ -28,16 +29,19 @@ def fold_batch(state: DataFrame | None, obs: DataFrame, by: list[str], order: li
     return new.unionByName(state.join(ranked.select(*by).distinct(), by, "left_anti").select(*by, "mean", "n"))
 
 
-def run(stream: DataFrame, by: list[str], order: list[str], sample: Column, cap: int) -> DataFrame | None:
-    """Fold all that the stream holds; the last version of the map. A batch that runs again writes its version again."""
-    spark, path = stream.sparkSession, new_path(stream.sparkSession, "map")
-    versions: list[int] = []
+def run(stream: DataFrame, by: list[str], order: list[str], sample: Column, cap: int, path: str = "") -> DataFrame | None:
+    """Fold all that the stream holds; the last version of the map. A batch that runs again writes its version again, and a stream that starts again on a ``path`` goes on from its last one.
+
+    Every batch writes the whole map, which suits small ones; block_map keeps large ones by blocks.
+    """
+    spark, path = stream.sparkSession, path or new_path(stream.sparkSession, "map")
+
+    def last(session: SparkSession, before: float) -> DataFrame | None:
+        done = [int(name) for name in listed(session, path) if name.isdigit() and int(name) < before]
+        return session.read.parquet(f"{path}/{max(done)}") if done else None
 
     def step(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        state = session.read.parquet(f"{path}/{versions[-1]}") if versions else None
-        fold_batch(state, batch, by, order, sample, cap).write.mode("overwrite").parquet(f"{path}/{number}")
-        versions.append(number)
+        fold_batch(last(batch.sparkSession, number), batch, by, order, sample, cap).write.mode("overwrite").parquet(f"{path}/{number}")
 
     stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/{versions[-1]}") if versions else None
+    return last(spark, float("inf"))
