@@ -1,5 +1,7 @@
 """Recall by kind of edit and length, exact distances, and the stage against a plain search."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -50,6 +52,27 @@ def test_distances_are_exact():
             assert (distance, end) == plain_distance(texts[item], whole) and n == len(texts[item]) and distance <= int(decontaminate.EDITED * n)
 
 
+def test_regions_lose_no_run():
+    """Distances and ends equal a search of the whole text, with few words, so that items overlap and repeat."""
+    rng = np.random.default_rng(3)
+    for _ in range(150):
+        n, word = int(rng.integers(5, 30)), lambda k: [f"w{int(x)}" for x in rng.integers(0, 9, k)]  # noqa: B023, E731
+        item, text = word(n), word(int(rng.integers(0, 60)))
+        text += edit(rng, item, 3, 0.1) + word(int(rng.integers(0, 40))) + item * int(rng.integers(0, 2))
+        items = decontaminate.Items([0], [" ".join(item)])
+        wanted = plain_distance(item, text)
+        assert items.matches([" ".join(text).encode()])[0] in ([(0, wanted[0], n, wanted[1])], [] if wanted[0] else None)
+
+
+def test_a_text_of_many_items_takes_linear_time():
+    rng = np.random.default_rng(4)
+    texts = [[f"w{int(x)}" for x in rng.integers(0, 20000, 60)] for _ in range(3000)]
+    items = decontaminate.Items([*range(len(texts))], [" ".join(t) for t in texts])
+    began = time.time()
+    held = items.matches([" ".join(w for t in texts for w in t).encode()])[0]
+    assert time.time() - began < 30 and [m[:3] for m in sorted(held)] == [(i, 0, 60) for i in range(len(texts))]
+
+
 def test_stage_equals_a_plain_search(spark, tmp_path):
     rng = np.random.default_rng(9)
     texts = [words_of(rng, 25) for _ in range(12)]

@@ -90,6 +90,21 @@ def edited(words: np.ndarray, rng: np.random.Generator, kind: int) -> np.ndarray
     return np.array(x, np.uint64)
 
 
+def regions(places: np.ndarray, n: int, most: int, length: int) -> list[tuple[int, int]]:
+    """Ranges of a text of ``length`` words that hold every run of words within ``most`` edits of an item of ``n``; ``places``: where the text has any of the item's words, in order.
+
+    Such a run has n - most words of the item at least, in the item's order, and no more than n + most words.
+    """
+    need = max(1, n - most)
+    first = places[: len(places) - need + 1]
+    first = first[places[need - 1 :] - first < n + most]
+    if not len(first):
+        return []
+    low, high = np.maximum(first - n - most, 0), np.minimum(first + 2 * (n + most), length)
+    new = np.flatnonzero(np.append(True, low[1:] > high[:-1]))
+    return [*zip(low[new].tolist(), high[np.append(new[1:], len(high)) - 1].tolist(), strict=True)]
+
+
 class Items:
     """A block of items as the tasks need it: words, and for each window size and repetition the sorted keys with item and offset."""
 
@@ -99,6 +114,7 @@ class Items:
         self.ids = ids
         self.words = [x[a:b].tolist() for a, b in zip(offset[:-1], offset[1:], strict=True)]
         self.distinct = [frozenset(w) for w in self.words]
+        self.unique = [np.unique(x[a:b]) for a, b in zip(offset[:-1], offset[1:], strict=True)]
         self.places: list[dict[int, int]] = []
         for w in self.words:
             p: dict[int, int] = {}
@@ -173,15 +189,24 @@ class Items:
             if (d, i) in found:
                 continue
             if d != of:
-                of, words = d, x[offset[d] : offset[d + 1]].tolist()
+                of, own = d, x[offset[d] : offset[d + 1]]
+                words, by_word = own.tolist(), np.argsort(own, kind="stable")
+                in_order = own[by_word]
             n = len(self.words[i])
             most, quarter = int(EDITED * n), max(1, n // 4)
             a, b = max(0, q * quarter - most), (q + 1) * quarter + n + most
             # every edit takes away one of the item's words at most
             if len(self.distinct[i].intersection(words[a:b])) >= len(self.distinct[i]) - most and nearest(self.places[i], n, words[a:b])[0] <= most:
                 found.add((d, i))
-                distance, end = nearest(self.places[i], n, words)
-                out[d].append((self.ids[i], distance, n, end))
+                # the least distance over the whole text, from where enough of the item's words stand close together
+                low, high = np.searchsorted(in_order, self.unique[i]), np.searchsorted(in_order, self.unique[i], side="right")
+                places = np.sort(by_word[np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])])
+                best = (n, 0)
+                for a, b in regions(places, n, most, len(words)):
+                    distance, end = nearest(self.places[i], n, words[a:b])
+                    if distance < best[0]:
+                        best = distance, a + end
+                out[d].append((self.ids[i], best[0], n, best[1]))
         return out
 
 
