@@ -187,14 +187,17 @@ def text_counts(keyed: DataFrame, wanted: np.ndarray, several: np.ndarray) -> Da
 def disclosures(found: DataFrame, keyed: DataFrame, alpha: float, support: int) -> DataFrame:
     """(term, general): terms that disclose an entity; general: whether their shape class discloses none of these entities.
 
-    Counts are numbers of distinct texts. An entity and a term need ``support`` texts in common.
+    Counts are numbers of distinct texts. An entity and a term need ``support`` texts in common. Entities are told apart by the sets of their texts only (by 128 bits of hash), so a text
+    with many of them gives as many pairs as it has different sets, times its terms.
     """
     hashes = cut(keyed.groupBy("h0", "h1").agg(F.count("*").alias("n")))
     n_texts = hashes.count()
     once = found.groupBy("h0", "h1").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"))
     once = cut(once)
     holds = once.select("h0", "h1", F.explode("entities").alias("entity"))
-    entity = cut(holds.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support))
+    # entities of the same texts, as those of a list and its near copies, disclose and are disclosed alike: one of them stands for all
+    entity = holds.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor("h0").alias("s0"), F.bit_xor("h1").alias("s1")).where(F.col("n_entity") >= support)
+    entity = cut(entity.groupBy("s0", "s1", "n_entity").agg(F.min("entity").alias("entity")).select("entity", "n_entity"))
     told_of = holds.join(sent_whole(entity.select("entity"), entity.count()), "entity").groupBy("h0", "h1").agg(F.collect_list("entity").alias("known"))
     pairs = once.select("h0", "h1", "terms").join(told_of, ["h0", "h1"]).select("terms", F.explode("known").alias("entity")).select("entity", F.inline("terms"))
     both = pairs.groupBy("entity", "term", "class").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
