@@ -7,9 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from voxlake import camera_queries, evaluation_queries, fusion_queries, map_queries, queries, scene_queries, stream_queries  # noqa: F401
+from voxlake import camera_queries, evaluation_queries, fusion_queries, map_queries, mesh_queries, queries, scene_queries, stream_queries, view_queries, volume_queries  # noqa: F401
 from voxlake.operators import camera, fold, grounding, points, quantile, surface, temporal
 from voxlake.operators.components import connected_components
+from voxlake.plans import modes
 from voxlake.sources import maps
 from voxlake.streaming import frames, live_map, sync
 
@@ -25,7 +26,7 @@ def test_equals_sql(spark, name):
     assert sorted(ours.columns) == sorted(theirs.columns)
 
     def rows(d):
-        text = lambda v: "null" if pd.isna(v) else f"{float(v):.5f}" if isinstance(v, Number) and not isinstance(v, bool) else str(v)
+        text = lambda v: "null" if pd.isna(v) else f"{float(v) + 0.0:.5f}" if isinstance(v, Number) and not isinstance(v, bool) else str(v)
         return sorted(tuple(map(text, r)) for r in d[sorted(d.columns)].astype(object).itertuples(index=False))
 
     assert rows(ours) == rows(theirs)
@@ -167,3 +168,32 @@ def test_poses_of_a_stream_cross_buckets_and_drop_what_none_enclose(spark, tmp_p
     poses = spark.createDataFrame([(1, 10, 1.0), (2, 10, 9.0), (3, 110, 3.0), (4, 300, 0.0), (5, None, 7.0)], "id long, t long, x double")
     got = sync.drained(frames.with_pose(sync.source(spark, f"{tmp_path}/s"), poses, 20), "posed").collect()
     assert {r.id: r.x for r in got} == pytest.approx({2: 1.0, 3: 2.7, 4: 0.0}) and len(got) == 3
+
+
+def test_grid_equals_single_runs(spark):
+    rng = random.Random(8)
+    rows = [(i, j, k, 1.0, 0.1, [rng.random(), rng.random()] if rng.random() < 0.9 else None) for i in range(9) for j in range(8) for k in range(8)]
+    v = spark.createDataFrame(rows, "i long, j long, k long, weight double, tsdf double, feat array<double>")
+    cases = {"a": ([1.0, 0.2], None), "b": ([0.1, 1.0], [0.3, 0.3])}
+    settings = [grounding.Setting(0.02), grounding.Setting(0.05, min_voxels=40, subtract_mean=True), grounding.Setting(None, 0.4, True), grounding.Setting(None, 99.0)]
+    got = {}
+    for r in grounding.ground_grid(v, cases, settings, (9, 8, 8), missing="zero").collect():
+        got.setdefault((r.case, r.setting), []).append(tuple(r)[2:])
+    for name, (q, n) in cases.items():
+        for at, s in enumerate(settings):
+            one = grounding.ground(v, q, (9, 8, 8), n, s.top_percentile, s.threshold, subtract_mean=s.subtract_mean, min_voxels=s.min_voxels, missing="zero")
+            assert [pytest.approx(tuple(r)) for r in sorted(one.collect())] == sorted(got.get((name, at), []))
+    assert ("a", 0) in got and ("b", 3) not in got
+
+
+def test_features_have_to_fit_the_volume():
+    modes.check(512, 512)
+    with pytest.raises(ValueError, match="512"):
+        modes.check(512, 768)
+
+
+def test_heatmap_of_equal_scores(spark):
+    v = spark.createDataFrame([(1, 1, 1, 1.0, 0.0, 0.5), (2, 1, 1, 1.0, 0.0, 0.5), (3, 1, 1, 0.0, 0.0, 0.9), (4, 1, 1, 1.0, 0.9, 0.9), (5, 1, 1, 1.0, 0.0, None)], "i long, j long, k long, weight double, tsdf double, score double")
+    got = sorted(grounding.heatmap(v, [(0, 0, 0), (10, 20, 30)]).collect())
+    assert [(r.i, r.red, r.green, r.blue) for r in got] == [(1, 0, 0, 0), (2, 0, 0, 0)]
+    assert grounding.heatmap(v.where("false"), [(0, 0, 0), (10, 20, 30)]).count() == 0

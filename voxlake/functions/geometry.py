@@ -21,6 +21,15 @@ def to_camera(t_wc: Column, p: list[Column]) -> list[Column]:
     return [sum((t_wc[4 * r + c] * d[r] for r in range(1, 3)), t_wc[c] * d[0]) for c in range(3)]
 
 
+def inverse(m: list[Column]) -> list[Column]:
+    """The inverse of an affine map, of 12 numbers by rows (three of the matrix and one of the place); of a singular one nulls."""
+    a, t = [m[4 * r : 4 * r + 3] for r in range(3)], [m[4 * r + 3] for r in range(3)]
+    minor = lambda r, c: a[(r + 1) % 3][(c + 1) % 3] * a[(r + 2) % 3][(c + 2) % 3] - a[(r + 1) % 3][(c + 2) % 3] * a[(r + 2) % 3][(c + 1) % 3]
+    det = F.nullif(a[0][0] * minor(0, 0) + a[0][1] * minor(0, 1) + a[0][2] * minor(0, 2), F.lit(0.0))
+    turn = [[minor(c, r) / det for c in range(3)] for r in range(3)]
+    return [x for r in range(3) for x in (*turn[r], -(turn[r][0] * t[0] + turn[r][1] * t[1] + turn[r][2] * t[2]))]
+
+
 def signed_sample(depth: Column, z: Column, truncation: float) -> Column:
     return F.greatest(F.least((depth - z) / F.lit(truncation), F.lit(1.0)), F.lit(-1.0))
 

@@ -44,6 +44,20 @@ def seeds(scored: DataFrame, top_percentile: float | None, threshold: float | No
     return seen.crossJoin(F.broadcast(stats.select("level"))).where("score >= level").drop("level"), stats.select("mean")  # one row
 
 
+def heatmap(
+    scored: DataFrame, stops: list[tuple[int, int, int]], low: float = 0.5, high: float = 0.99, min_weight: float = 1.0, band: float = 0.5, origin: float = 0.0, size: float = 0.1
+) -> DataFrame:
+    """(i, j, k, x, y, z, score, red, green, blue): the observed surface voxels, their centers, and their scores as colors between the quantiles ``low`` and ``high``.
+
+    Scores beyond the quantiles take the end colors; where both are equal, those above are the high end's. Voxels without a score are left out. One row of quantiles is sent to all tasks.
+    """
+    surface = scored.where((F.col("weight") >= min_weight) & (F.abs("tsdf") <= band) & F.col("score").isNotNull())
+    ends = quantiles(surface, "score", {"lo_": low, "hi_": high}).select("lo_", F.greatest(F.col("hi_"), F.col("lo_") + 1e-6).alias("hi_"))
+    at = [geometry.center(F.col(c), origin, size).alias(x) for c, x in zip("ijk", "xyz", strict=True)]
+    channels = geometry.colormap((F.col("score") - F.col("lo_")) / (F.col("hi_") - F.col("lo_")), stops)
+    return surface.crossJoin(F.broadcast(ends)).select("i", "j", "k", *at, "score", *(c.alias(n) for c, n in zip(channels, ("red", "green", "blue"), strict=True)))
+
+
 def _block_links(at: np.ndarray, r: int) -> np.ndarray:
     """For each of the distinct places (n, 3), the number of the smallest place that a chain of steps of at most ``r`` along each axis reaches."""
     order = np.lexsort(at.T[::-1])
