@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.llm import filters, textops
+from voxlake.llm.sharding import sent_whole
 from voxlake.operators.components import Forest, connected_components
 from voxlake.operators.skew import join_unique
 from voxlake.storage import cut
@@ -173,9 +174,10 @@ def number(cols: list[str]) -> Column:
     return F.col(cols[0]) if len(cols) == 1 else F.xxhash64(*cols)
 
 
-def near_links(prints: DataFrame, radius: int, sets: list[np.ndarray], words: int = 1, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_links(prints: DataFrame, radius: int, sets: list[np.ndarray], words: int = 1, shard_rows: int = SHARD_ROWS, n: int | None = None) -> DataFrame:
     """(a, b): links of distinct fingerprints (f0, f1...), by their numbers, within ``radius`` bits that agree on one of ``sets``; a spanning forest
-    of each shard's, so every two fingerprints linked by a chain of such pairs are linked by a chain of these."""
+    of each shard's, so every two fingerprints linked by a chain of such pairs are linked by a chain of these. ``n``: how many fingerprints there are, counted if it isn't given; it
+    bounds the large shards, whose table is sent to all tasks only while it is small."""
     cols = [f"f{i}" for i in range(words)]
     masks = _masks(sets, words)
     rng = np.random.default_rng(11)
@@ -194,13 +196,13 @@ def near_links(prints: DataFrame, radius: int, sets: list[np.ndarray], words: in
 
     dealt = prints.select(*cols).mapInPandas(deal, schema)
     big = dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows).select(F.col("shard").alias("s"))
-    big = F.broadcast(big)  # a row for each shard_rows dealt rows at most
-    big = dealt.join(big, F.col("shard") == F.col("s")).groupBy("s").agg(F.min(F.struct(*cols)).alias("v"))
+    most = (prints.count() if n is None else n) * len(masks) // shard_rows  # a row for each shard_rows dealt rows
+    big = dealt.join(sent_whole(big, most), F.col("shard") == F.col("s")).groupBy("s").agg(F.min(F.struct(*cols)).alias("v"))
     near = [F.bit_count(F.col(c).bitwiseXOR(F.col("v")[c])) for c in cols]
     width = 2 * radius + 1
     d = sum(near[1:], near[0])
     rings = F.when(F.col("v").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(F.array(F.floor(d / width).cast("int"), F.floor((d + radius) / width).cast("int"))))
-    split = dealt.join(F.broadcast(big), F.col("shard") == F.col("s"), "left").withColumn("ring", F.explode(rings))
+    split = dealt.join(sent_whole(big, most), F.col("shard") == F.col("s"), "left").withColumn("ring", F.explode(rings))
     # one number names a tree's shard's ring: the rows that are exchanged hold nothing but it and the fingerprint
     split = split.select((F.col("shard") * N_RINGS + F.col("ring")).alias("shard"), *cols)
 
@@ -248,7 +250,7 @@ def components(printed: DataFrame, id_col: str, radius: int, words: int = 1, rec
     distinct = cut(distinct.withColumn("id", number(cols)))
     n = distinct.count()
     sets = fields(64 * words, radius, n) if recall is None else samples(64 * words, radius, n, recall, apart)
-    linked = cut(connected_components(near_links(distinct, radius, sets, words)))
+    linked = cut(connected_components(near_links(distinct, radius, sets, words, n=n)))
     # fingerprints that nothing is linked to keep their own smallest id
     member = distinct.join(linked.withColumnRenamed("node", "id"), "id", "left")
     linked_rows = member.where("component is not null")
