@@ -89,8 +89,8 @@ class Volume:
     def integrate(self, obs: DataFrame, order: list[str], samples: dict[str, Column], gated: dict[str, Column] | None = None, gate: Column | None = None, touched: DataFrame | None = None, tag: str = "") -> int:
         """Fold samples of voxels (i, j, k, ...), in ``order``, into the volume; the number of the new version.
 
-        Only blocks with samples are read and written. ``touched`` may name them (bx, by, bz) where they are known, say from the cameras' views, which saves working out ``obs`` twice. Samples with
-        a null index are dropped. Without samples nothing is written. A ``tag`` (letters and digits) names what is folded: if a version bears it already nothing is done, so that a job that
+        Only blocks with samples are read and written. ``touched`` may name them (bx, by, bz) where they are known, say from the cameras' views, which saves working out ``obs`` twice; all blocks
+        with samples have to be among them. Samples with a null index are dropped. Without samples, and without ``touched``, nothing is written. A ``tag`` (letters and digits) names what is folded: if a version bears it already nothing is done, so that a job that
         starts again goes on where it was.
         """
         if tag and any(name.endswith(f"-{tag}") for _, name in self.versions()):
@@ -98,9 +98,11 @@ class Volume:
         key = ["i", "j", "k"]
         named = obs.where(F.col("i").isNotNull() & F.col("j").isNotNull() & F.col("k").isNotNull())
         block = {b: F.floor(F.col(c) / 8) for b, c in zip(BLOCK, key, strict=True)}
-        if named.isEmpty():
-            return self.version()
-        touched = named.select(*(e.alias(b) for b, e in block.items())).distinct() if touched is None else touched.select(*BLOCK).distinct()
+        if touched is None:
+            if named.isEmpty():
+                return self.version()
+            touched = named.select(*(e.alias(b) for b, e in block.items()))
+        touched = touched.select(*BLOCK).distinct()
         state = self.read().join(touched, [*BLOCK], "left_semi")
         new = fold.means_and_gated(named, key, order, samples, gated or {}, F.lit(False) if gate is None else gate, self.cap, state).withColumns(block)
         rest = state.join(new.select(*key), key, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxlake.fusion_queries import _FUSED_SQL, observed, posed
-from voxlake.operators import evaluation, grounding
+from voxlake.operators import camera, evaluation, grounding
 from voxlake.plans import lifts as L
 from voxlake.plans.chain import Chain
 from voxlake.queries import _ground_sql, query, r6
@@ -21,8 +21,8 @@ def fused(spark, sf_dir, path: str) -> Volume:
     frames, blocks = posed(spark, sf_dir)
     middle = F.lit(frames.agg(F.max("frame_id")).first()[0] // 2)
     for tag, part in (("early", F.col("frame_id") <= middle), ("late", F.col("frame_id") > middle)):
-        obs = observed(frames.where(part), blocks)
-        volume.integrate(obs, ["frame_id"], {"tsdf": F.col("sample")}, {n: F.col("feat")[c].cast("double") for c, n in enumerate(NAMES)}, F.abs("sample") <= 0.5, tag=tag)
+        obs, seen = observed(frames.where(part), blocks), camera.visible_blocks(frames.where(part), blocks, 0.8, 6.0, 8, 8, 4.4)
+        volume.integrate(obs, ["frame_id"], {"tsdf": F.col("sample")}, {n: F.col("feat")[c].cast("double") for c, n in enumerate(NAMES)}, F.abs("sample") <= 0.5, touched=seen, tag=tag)
     return volume
 
 
