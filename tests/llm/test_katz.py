@@ -111,3 +111,9 @@ def test_tables_of_few_pairs(spark, monkeypatch, tmp_path, data, bucket):
         base = sum(math.log10((model.c1[w] + 1) / (model.n + len(model.c1) + 1)) for w in x)
         assert (got[i].n_tokens, got[i].n_known) == (len(x), sum(model.c1[w] > 0 for w in x))
         assert (got[i].base_score, got[i].score) == pytest.approx((base, sum(math.log10(model.two(h, w)) for h, w in zip([START, *x], x))))
+
+
+def test_runs_of_words_end_with_a_long_word():
+    assert katz._word_ranges(np.array([10, 30, 500]), 50) == [0, 3]
+    assert katz._word_ranges(np.array([60, 30, 500]), 50) == [0, 1, 3]
+    assert katz._word_ranges(np.array([5]), 50) == [0, 1]

@@ -234,7 +234,7 @@ def _word_ranges(rows: np.ndarray, size: int) -> list[int]:
     """Edges of runs of words of about ``size`` rows each, from the rows of each word; a word stays whole."""
     before = np.cumsum(rows) - rows
     edges = np.searchsorted(before, np.arange(0, int(rows.sum()), size))
-    return [*np.unique(edges).tolist(), len(rows)]
+    return np.unique(np.append(edges, len(rows))).tolist()  # a long last word gives its own end among them
 
 
 def _count(pdf: pd.DataFrame, hot: np.ndarray, hot_counts: np.ndarray, buckets: int) -> Iterator[tuple[str, int, bytes]]:
