@@ -1,10 +1,12 @@
 """Scores against a plain recursive backoff model, whose probabilities add up to one."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,7 +115,110 @@ def test_tables_of_few_pairs(spark, monkeypatch, tmp_path, data, bucket):
         assert (got[i].base_score, got[i].score) == pytest.approx((base, sum(math.log10(model.two(h, w)) for h, w in zip([START, *x], x))))
 
 
+def bucket(rng, blobs, texts, rows, words):
+    """Packed rows of one bucket as ``_pairs`` deals them; every third text is held out."""
+    name = np.unique(rng.integers(0, 1 << 63, words, np.uint64))
+    out = []
+    for b in range(blobs):
+        key = np.unique(rng.integers(0, len(name) ** 2 * texts, rows))
+        codes = key // (len(name) * texts), key // texts % len(name), key % texts
+        (w, iw), (h, ih), (d, id_) = (np.unique(c, return_inverse=True) for c in codes)
+        times = rng.integers(1, 4, len(key))
+        columns = [katz.pack_sorted(name[w]), katz.narrow(katz.pack_sorted(iw)), katz.pack_sorted(name[h]), katz.narrow(ih)]
+        out.append(katz.pack(*columns, katz.pack_sorted((b << katz.TEXT_BITS) + d), (d % 3 == 0).astype(np.uint8), katz.narrow(id_), katz.narrow(times)))
+    return out
+
+
+def counted(packed):
+    hot = np.array([katz.END])
+    return katz._count([katz.unpack(memoryview(x)) for x in packed], hot, np.array([5]), 4)
+
+
+def test_a_bucket_gives_the_same_in_small_parts(monkeypatch):
+    packed = bucket(np.random.default_rng(3), 7, 40, 900, 60)
+
+    def totals():
+        out = {"text": Counter(), "history": Counter(), "unseen": Counter()}
+        n = Counter()
+        for kind, _, blob in counted(packed):
+            n[kind] += 1
+            if kind == "stats":
+                out[kind] = np.frombuffer(blob, np.int64).tolist()
+            elif kind == "unseen":
+                out[kind].update(zip(*(c.tolist() for c in katz.unpack(blob)), strict=True))
+            elif kind != "pairs":
+                by, *columns = katz.unpack(blob)
+                for i, c in enumerate(columns):
+                    for k, v in zip(by.tolist(), c.tolist(), strict=True):
+                        out[kind][k, i] += v
+        return out, n
+
+    whole, n = totals()
+    monkeypatch.setattr(katz, "RANGE", 50)
+    monkeypatch.setattr(katz, "FLUSH", 60)
+    parts, more = totals()
+    assert more["text"] > n["text"] and more["unseen"] > n["unseen"] and more["pairs"] > n["pairs"]
+    assert parts.pop("text") == pytest.approx(whole.pop("text"))
+    assert parts == whole
+
+    # against plain counting
+    c2, rows = Counter(), []
+    for uw, iw, uh, ih, uid, out_of, id_, times in map(katz.unpack, packed):
+        uw, iw, uh, uid = (np.cumsum(c) for c in (uw, iw.astype(int), uh, uid))
+        rows += zip(uw[iw].tolist(), uh[ih].tolist(), uid[id_].tolist(), out_of[id_].tolist(), times.tolist(), strict=True)
+    for w, h, _, out, t in rows:
+        c2[w, h] += 0 if out else t
+    c1 = Counter()
+    for (w, _), c in c2.items():
+        c1[w] += c
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    assert whole["unseen"] == Counter((signed(h), d, c1[w], t) for w, h, d, _, t in rows if not c2[w, h])
+    seen = Counter()
+    for w, h, d, _, t in rows:
+        seen[d, min(c2[w, h], katz.K + 1)] += t
+    got = {(k, i): v for (k, i), v in totals()[0]["text"].items() if i > 2 and v}
+    assert got == {(d, c + 2): t for (d, c), t in seen.items() if c}
+
+
 def test_runs_of_words_end_with_a_long_word():
     assert katz._word_ranges(np.array([10, 30, 500]), 50) == [0, 3]
     assert katz._word_ranges(np.array([60, 30, 500]), 50) == [0, 1, 3]
     assert katz._word_ranges(np.array([5]), 50) == [0, 1]
+
+
+def test_a_bucket_takes_no_memory_for_all_of_its_texts_at_once(monkeypatch):
+    """As in large tables, where a bucket's rows are nearly all of different texts."""
+    monkeypatch.setattr(katz, "RANGE", 1 << 14)
+    monkeypatch.setattr(katz, "FLUSH", 1 << 14, raising=False)
+    packed = bucket(np.random.default_rng(4), 30, 1 << 20, 10_000, 2000)
+    tracemalloc.start()
+    try:
+        rows = sum(kind == "text" for kind, *_ in counted(packed))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows > 4
+    assert peak < 70 * 300_000
+
+
+def test_runs_of_texts(monkeypatch):
+    texts = ["B a", "", "a" * 50, "\u00c4 b", " ", "c d e"]
+    monkeypatch.setattr(katz, "TEXT_BYTES", 9)
+    batch = pa.RecordBatch.from_pydict({"text": ["never read", *texts]}).slice(1)
+    got = [(first, np.diff(offset).tolist(), x) for first, x, offset in katz._tokens(batch)]
+    assert [first for first, *_ in got] == [0, 2, 3, 5]
+    assert [n for _, lengths, _ in got for n in lengths] == [len(t.split()) + 1 for t in texts]
+    x = np.concatenate([x for *_, x in got])
+    assert x[0] == x[[*katz._tokens(pa.RecordBatch.from_pydict({"text": ["b"]}))][0][1].size - 2] and (x == katz.END).sum() == len(texts)
+
+
+def test_a_batch_of_texts_is_tokenized_in_little_memory():
+    batch = pa.RecordBatch.from_pydict({"text": ["some words of a text " * 100] * 8000})
+    tracemalloc.start()
+    try:
+        n = sum(len(x) for _, x, _ in katz._tokens(batch))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 8000 * 501
+    assert peak < 25 << 20  # the texts are 16 MB

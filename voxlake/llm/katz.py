@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,6 +31,8 @@ K, LARGE = 5, 0.999
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 #: Frequent words dealt by history as well; tokens of a packed batch, and of a bucket.
 FREQUENT, BATCH_TOKENS, BUCKET_TOKENS = 1024, 3_000_000, 4_000_000
+#: Bytes of texts tokenized at a time, and rows of sums of texts, or of pairs not seen, handed over at a time.
+TEXT_BYTES, FLUSH = 1 << 18, 1 << 18
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Rows for which temporary columns are made at a time: when dealt, when counted.
 SLICE, RANGE = 1 << 19, 1 << 18
@@ -49,7 +53,7 @@ def pack(*columns: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def unpack(blob: bytes) -> list[np.ndarray]:
+def unpack(blob: bytes | memoryview) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(blob):
         kind, n, size = struct.unpack_from("<4sII", blob, at)
@@ -85,16 +89,32 @@ def discounts(n: list[int]) -> list[float]:
     return [1 - amount / r for r in range(1, K + 1)]
 
 
-def _tokens(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, token hashes with an end after each text, token offsets) of runs of rows."""
-    for first, raw in textops.chunks(pdf["text"].tolist(), lower=True):
+def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, token hashes with an end after each text, token offsets) of runs of rows, about TEXT_BYTES each; ``text`` has no nulls.
+
+    Only a run's texts become Python's: those of a whole batch would stay beside the task's own columns.
+    """
+    texts = batch.column("text")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        past = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, past + TEXT_BYTES, "right")))
+        run = texts.slice(first, last - first)
+        raw = [x.lower() for x in run.cast(pa.large_binary() if pa.types.is_large_string(run.type) else pa.binary()).to_pylist()]
         w = textops.words(raw)
         offset = w.offset + np.arange(len(raw) + 1)
         out = np.full(offset[-1], END)
         at = np.ones(len(out), bool)
         at[offset[1:] - 1] = False
         out[at] = w.hashes()
+        del raw, w, at
         yield first, out, offset
+        first = last
+
+
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int, int]:
@@ -103,30 +123,31 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int, int]:
     Which words these are decides only how pairs are dealt, not what is counted.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, x, _ in _tokens(pdf):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, x, _ in _tokens(batch):
                 u, n = np.unique(x, return_counts=True)
-                yield pd.DataFrame({"w": u.view(np.int64), "n": n})
+                yield pa.RecordBatch.from_pydict({"w": u.view(np.int64), "n": n.astype(np.int64)})
             textops.release()
 
     part = docs.where(F.pmod(F.xxhash64("uid"), F.lit(64)) == 0)
-    top = part.select("text").mapInPandas(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(FREQUENT).collect()
+    top = part.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(FREQUENT).collect()
     hot = np.unique(np.array([r.w for r in top] + [int(END)], np.int64).view(np.uint64))
 
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, train, every, texts = np.zeros(len(hot), np.int64), 0, 0, 0
-        for pdf in batches:
-            for first, x, offset in _tokens(pdf):
-                mine = ~pdf["held"].to_numpy()[first : first + len(offset) - 1]
+        for batch in batches:
+            held = _column(batch, "held")
+            for first, x, offset in _tokens(batch):
+                mine = ~held[first : first + len(offset) - 1]
                 x_train = x[np.repeat(mine, np.diff(offset))]
                 at = np.minimum(np.searchsorted(hot, x_train), len(hot) - 1)
                 counts += np.bincount(at[hot[at] == x_train], minlength=len(hot))
                 train, every, texts = train + len(x_train), every + len(x), texts + int(mine.sum())
             textops.release()
-        yield pd.DataFrame({"k": np.arange(len(hot) + 3), "n": [*counts, train, every, texts]})
+        yield pa.RecordBatch.from_pydict({"k": np.arange(len(hot) + 3, dtype=np.int32), "n": np.array([*counts, train, every, texts], np.int64)})
 
-    rows = docs.select("text", "held").mapInPandas(exact, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # as many as FREQUENT, and four
+    rows = docs.select("text", "held").mapInArrow(exact, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # as many as FREQUENT, and four
     n = np.zeros(len(hot) + 3, np.int64)
     for r in rows:
         n[r.k] = r.n
@@ -145,12 +166,12 @@ def _pairs(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     Texts are numbered by task, batch and place, so that the numbers of a blob lie close together and pack to a byte each.
     """
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         number = TaskContext.get().partitionId() << BATCH_BITS
 
-        def done() -> Iterator[pd.DataFrame]:
+        def done() -> Iterator[pa.RecordBatch]:
             lengths = np.concatenate([np.diff(o) for _, _, o, _, _ in held])
             uid, out_of = np.concatenate([u for _, _, _, u, _ in held]), np.concatenate([h for _, _, _, _, h in held])
             u = np.unique(np.concatenate([*(own for own, _, _, _, _ in held), [START]]))
@@ -165,7 +186,7 @@ def _pairs(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             key += np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
             key.sort()
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).astype(np.int32)
-            times = np.diff(at, append=np.int32(len(key)))
+            times = narrow(np.diff(at, append=np.int32(len(key))))
             key = key[at]
             del at
             doc, w, h = (np.empty(len(key), np.int32) for _ in range(3))
@@ -176,13 +197,13 @@ def _pairs(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             del key
             b = np.concatenate([_bucket(u[w[i : i + SLICE]], u[h[i : i + SLICE]], hot, buckets).astype(np.int32) for i in range(0, len(w), SLICE)])
             ids = (np.int64(number) << TEXT_BITS) + np.arange(len(lengths))
-            order = np.argsort(b, kind="stable")
-            edge = np.searchsorted(b[order], np.arange(buckets + 1))
+            edge = np.concatenate([[0], np.cumsum(np.bincount(b, minlength=buckets))])
+            order = np.argsort(b, kind="stable").astype(np.int32)
             del b
             blobs = [(buckets + k, blob) for _, k, blob in _split("", ids, buckets, [ids, uid], wide=2)]
             for k in range(buckets):
                 if sum(len(blob) for _, blob in blobs[-64:]) > PART_BYTES or len(blobs) >= 64:
-                    yield pd.DataFrame(blobs, columns=["bucket", "blob"])
+                    yield _batch(blobs, bucket=pa.int32(), blob=pa.binary())
                     blobs = []
                 at = order[edge[k] : edge[k + 1]]
                 if len(at):
@@ -190,28 +211,29 @@ def _pairs(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                     uh, ih = np.unique(h[at], return_inverse=True)
                     ud, id_ = np.unique(doc[at], return_inverse=True)
                     blobs.append((k, pack(pack_sorted(u[uw]), narrow(pack_sorted(iw)), pack_sorted(u[uh]), narrow(ih), pack_sorted(ids[ud]), out_of[ud].astype(np.uint8), narrow(id_), narrow(times[at]))))
-            yield pd.DataFrame(blobs, columns=["bucket", "blob"])
+            yield _batch(blobs, bucket=pa.int32(), blob=pa.binary())
             blobs.clear()
             textops.release()
 
-        for pdf in batches:
-            for first, x, offset in _tokens(pdf):
+        for batch in batches:
+            uid, out_of = _column(batch, "uid"), _column(batch, "held")
+            for first, x, offset in _tokens(batch):
                 rows = slice(first, first + len(offset) - 1)
                 if held and size + len(x) > BATCH_TOKENS:
                     yield from done()
                     held, size, number = [], 0, number + 1
                 own, code = np.unique(x, return_inverse=True)
-                held.append((own, code.astype(np.int32), offset, pdf["uid"].to_numpy()[rows], pdf["held"].to_numpy()[rows]))
+                held.append((own, code.astype(np.int32), offset, uid[rows].copy(), out_of[rows].copy()))
                 size += len(x)
         if held:
             yield from done()
 
-    return docs.select("uid", "held", "text").mapInPandas(deal, "bucket int, blob binary")
+    return docs.select("uid", "held", "text").mapInArrow(deal, "bucket int, blob binary")
 
 
-def _ones(index: np.ndarray, n: int, weight: np.ndarray | None = None) -> np.ndarray:
-    out = np.bincount(index, weight, minlength=n)
-    return out if weight is not None and weight.dtype == float else out.astype(np.int64)
+def _batch(rows: list[tuple], **types: pa.DataType) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], names=[*types])
 
 
 def _split(kind: str, by: np.ndarray, buckets: int, columns: list[np.ndarray], wide: int = 1) -> Iterator[tuple[str, int, bytes]]:
@@ -237,48 +259,53 @@ def _word_ranges(rows: np.ndarray, size: int) -> list[int]:
     return np.unique(np.append(edges, len(rows))).tolist()  # a long last word gives its own end among them
 
 
-def _count(pdf: pd.DataFrame, hot: np.ndarray, hot_counts: np.ndarray, buckets: int) -> Iterator[tuple[str, int, bytes]]:
-    """All that one bucket of pairs yields; see the module. Runs of words are taken one after the other: a blob's rows are ordered by word."""
-    blobs = [unpack(b) for b in pdf["blob"]]
+def _count(blobs: list[list[np.ndarray]], hot: np.ndarray, hot_counts: np.ndarray, buckets: int) -> Iterator[tuple[str, int, bytes]]:
+    """All that one bucket of pairs yields; see the module. ``blobs`` is used up.
+
+    Runs of words are taken one after the other, as a blob's rows are ordered by word, and give the pairs' and the words' counts.
+    With these each blob gives its texts' sums: no text is in two blobs, so no more texts than a blob's are summed at a time.
+    """
     for x in blobs:
         x[0], x[2], x[4] = np.cumsum(x[0]), np.cumsum(x[2]), np.cumsum(x[4])
-    words_, histories, docs = (np.unique(np.concatenate([x[i] for x in blobs])) for i in (0, 2, 4))
-    held_doc, rows_of = np.zeros(len(docs), bool), np.zeros(len(words_), np.int64)
+    words_, histories = (np.unique(np.concatenate([x[i] for x in blobs])) for i in (0, 2))
+    rows_of = np.zeros(len(words_), np.int64)
     for x in blobs:
-        held_doc[np.searchsorted(docs, x[4])] = x[5].astype(bool)
-        steps = np.flatnonzero(x[1])  # where a blob's next word begins
-        x.append(np.concatenate([[0], steps, [len(x[1])]]))
-        rows_of[np.searchsorted(words_, x[0])] += np.diff(x[-1])
-    n, n_h = len(docs), len(histories)
-    stats, sums = np.zeros(2 * (K + 1) + 1, np.int64), np.zeros((2, n))
-    known, per = np.zeros(n, np.int64), np.zeros((K + 1, n), np.int64)
+        x[1] = np.concatenate([[0], np.flatnonzero(x[1]), [len(x[1])]])  # where a blob's words begin
+        rows_of[np.searchsorted(words_, x[0])] += np.diff(x[1])
+    n_h = len(histories)
+    times_in_all = sum(int(x[7].sum(dtype=np.int64)) for x in blobs)
+    counts = [np.zeros(len(x[7]), np.uint32 if times_in_all < 1 << 32 else np.uint64) for x in blobs]  # of each row's pair
+    stats, counts_of = np.zeros(2 * (K + 1) + 1, np.int64), np.zeros(len(words_), np.int64)
     # of each history: pairs that count 1..K and the sum of larger counts, then the same of the pairs' words
     of_history = [np.zeros(n_h, np.int64 if r == K else np.int32) for _ in range(2) for r in range(K + 1)]
-    unseen: list[tuple] = []
     edges = _word_ranges(rows_of, RANGE)
     for low, high in zip(edges[:-1], edges[1:], strict=True):
-        w, h, d, times = [], [], [], []
-        for uw, _, uh, ih, uid, _, id_, m, begin in blobs:
+        w, h, times, parts = [], [], [], []
+        for uw, begin, uh, ih, _, out_of, id_, m in blobs:
             i, j = np.searchsorted(uw, words_[low]), np.searchsorted(uw, words_[high - 1], "right")
             part = slice(begin[i], begin[j])
+            parts.append(part)
             w.append(np.repeat(np.searchsorted(words_, uw[i:j]), np.diff(begin[i : j + 1])))
             h.append(np.searchsorted(histories, uh).astype(np.int32)[ih[part]])
-            d.append(np.searchsorted(docs, uid).astype(np.int32)[id_[part]])
-            times.append(m[part])
-        h, d, times = np.concatenate(h), np.concatenate(d), np.concatenate(times).astype(np.int64)
-        key = np.concatenate(w) * n_h + h
+            times.append(np.where(out_of[id_[part]], 0, m[part].astype(np.int64)))  # in training
+        key = np.concatenate(w) * n_h + np.concatenate(h)
+        w.clear()
+        h.clear()
         order = np.argsort(key, kind="stable")
-        key, d, times = key[order], d[order], times[order]
+        key = key[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         first = np.flatnonzero(new)
-        c2 = np.add.reduceat(np.where(held_doc[d], 0, times), first)
+        c2 = np.add.reduceat(np.concatenate(times)[order], first)
+        times.clear()
         pw, ph = np.divmod(key[first], n_h)
+        del key
         first_w = np.flatnonzero(np.concatenate([[True], pw[1:] != pw[:-1]]))
         c1 = np.add.reduceat(c2, first_w)
         words = words_[pw[first_w]]
         at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
         is_hot = hot[at] == words
         c1 = np.where(is_hot, hot_counts[at], c1)
+        counts_of[pw[first_w]] = c1
         cold = c1[~is_hot]
         stats += [*np.bincount(c2[c2 <= K + 1], minlength=K + 2)[1:], *np.bincount(cold[cold <= K + 1], minlength=K + 2)[1:], (cold > 0).sum()]
         seen = c2 > 0
@@ -291,26 +318,35 @@ def _count(pdf: pd.DataFrame, hot: np.ndarray, hot_counts: np.ndarray, buckets:
                 of_history[row + r - 1][at] += np.bincount(place[c == r], minlength=len(at))
             of_history[row + K][at] += np.rint(np.bincount(place, np.where(c > K, c, 0), minlength=len(at))).astype(np.int64)
 
-        of = np.cumsum(new, dtype=np.int32) - 1  # each row's pair
-        # what a token adds to its text's sum: log10 of its pair's count, less that of its own as the next one's history
-        log_pair = np.log10(np.maximum(c2, 1)) - np.where(words_[pw] == END, 0.0, np.log10(np.maximum(c1, 1)))
-        sums[0] += np.bincount(d, times * np.log10(c1 + 1)[of], minlength=n)
-        sums[1] += np.bincount(d, times * log_pair[of], minlength=n)
-        whole = lambda keep: np.rint(np.bincount(d, times * keep[of], minlength=n)).astype(np.int64)  # noqa: E731, B023
-        known += whole(c1 > 0)
-        for r in range(1, K + 1):
-            per[r - 1] += whole(c2 == r)
-        per[K] += whole(c2 > K)
-        e = np.flatnonzero((c2 == 0)[of])
-        unseen.append((histories[ph[of[e]]], docs[d[e]], c1[of[e]], times[e]))
+        of_row = np.empty(len(order), counts[0].dtype)
+        of_row[order] = c2[np.cumsum(new, dtype=np.int32) - 1]
+        ends = np.cumsum([part.stop - part.start for part in parts])
+        for c, part, end in zip(counts, parts, ends, strict=True):
+            c[part] = of_row[end - (part.stop - part.start) : end]
     yield "stats", 0, stats.tobytes()
-    blobs.clear()
     some = np.logical_or.reduce([c > 0 for c in of_history[: K + 1]])
     of_history = [narrow(c[some]) for c in of_history]
     yield from _split("history", histories[some].view(np.int64), buckets, [histories[some].view(np.int64), *of_history])
-    yield from _split("text", docs, buckets, [docs, known, sums[0], sums[1], *per])
-    h, uid, c1, times = (np.concatenate(c) for c in zip(*unseen, strict=True))
-    yield from _split("unseen", h, buckets, [h.view(np.int64), uid, c1, times], wide=2)
+    del histories, of_history
+
+    text: list[tuple] = []
+    unseen: list[tuple] = []
+    while blobs:
+        uw, begin, uh, ih, uid, _, id_, times = blobs.pop()
+        c2, c1 = counts.pop(), np.repeat(counts_of[np.searchsorted(words_, uw)], np.diff(begin))
+        times, ended = times.astype(np.int64), np.repeat(uw == END, np.diff(begin))
+        # what a token adds to its text's sum: log10 of its pair's count, less that of its own as the next one's history
+        log_pair = np.log10(np.maximum(c2, 1)) - np.where(ended, 0.0, np.log10(np.maximum(c1, 1)))
+        add_up = lambda x: np.bincount(id_, times * x, minlength=len(uid))  # noqa: E731, B023
+        whole = lambda keep: np.rint(add_up(keep)).astype(np.int64)  # noqa: E731, B023
+        text.append((uid, whole(c1 > 0), add_up(np.log10(c1 + 1)), add_up(log_pair), *(whole(c2 == r) for r in range(1, K + 1)), whole(c2 > K)))
+        e = np.flatnonzero(c2 == 0)
+        unseen.append((uh[ih[e]].view(np.int64), uid[id_[e]], c1[e], times[e]))
+        for kind, rows, wide in (("text", text, 1), ("unseen", unseen, 2)):
+            if not blobs or sum(len(x[0]) for x in rows) >= FLUSH:
+                columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
+                rows.clear()
+                yield from _split(kind, columns[0], buckets, columns, wide=wide)
 
 
 def _mass(counts: list[np.ndarray], d: list[float]) -> np.ndarray:
@@ -337,18 +373,29 @@ def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hot, hot_counts, n_train, n_all, n_texts = _frequent(own)
     buckets = max(1, -(-n_all // BUCKET_TOKENS))
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(pdf["bucket"].iloc[0])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = []
+        for batch in batches:
+            b = batch.column("bucket")[0].as_py()
+            blobs += [unpack(memoryview(x.as_buffer())) for x in batch.column("blob")]
+        del batch
         if b >= buckets:
-            rows = [("ids", b - buckets, pack(*(np.concatenate(c) for c in zip(*map(unpack, pdf["blob"]), strict=True))))]
+            found = iter([("ids", b - buckets, pack(*(np.concatenate(c) for c in zip(*blobs, strict=True))))])
         else:
-            rows = [*_count(pdf, hot, hot_counts, buckets)]
+            found = _count(blobs, hot, hot_counts, buckets)
+        rows: list[tuple] = []
+        for row in found:
+            rows.append(row)
+            if sum(len(blob) for _, _, blob in rows[-64:]) > PART_BYTES or len(rows) >= 64:
+                yield _batch(rows, kind=pa.string(), bucket=pa.int32(), blob=pa.binary())
+                rows = []
         textops.release()
-        return _blobs(rows)
+        yield _batch(rows, kind=pa.string(), bucket=pa.int32(), blob=pa.binary())
 
     path = new_path(spark, "katz")
-    pairs = _pairs(own, hot, buckets).repartition(buckets, "bucket")
-    pairs.groupBy("bucket").applyInPandas(count, "kind string, bucket int, blob binary").write.partitionBy("kind").parquet(path)
+    # a partition for each bucket: by a hash several would share one
+    pairs = _pairs(own, hot, buckets).repartitionById(buckets, F.col("bucket"))
+    pairs.groupBy("bucket").applyInArrow(count, "kind string, bucket int, blob binary").write.partitionBy("kind").parquet(path)
     tables = spark.read.schema("bucket int, blob binary, kind string").parquet(path)
 
     # the rows of counts of counts: one for each bucket, added in the tasks first

@@ -19,6 +19,8 @@ NOT_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK_BYTES = 1 << 21
+#: Powers of the hash base are kept in multiples of so many.
+POWERS = 1 << 18
 
 
 class _Powers:
@@ -32,7 +34,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         return _Powers.up[:n], _Powers.down[:n]
     both = []
     for base in (BASE, BASE_INVERSE):
-        x = np.full(max(n, CHUNK_BYTES + 65536), base, np.uint64)
+        x = np.full(-(-n // POWERS) * POWERS, base, np.uint64)
         x[0] = 1
         np.cumprod(x, out=x)
         both.append(x)
