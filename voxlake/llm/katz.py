@@ -443,7 +443,7 @@ def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         textops.release()
         return _blobs(rows)
 
-    backed = tables.where("kind in ('history', 'unseen')").repartition(buckets, "bucket").groupBy("bucket").applyInPandas(back_off, "kind string, bucket int, blob binary")
+    backed = tables.where("kind in ('history', 'unseen')").repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInPandas(back_off, "kind string, bucket int, blob binary")
     log_d = np.log10([*d2, LARGE])
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -459,7 +459,7 @@ def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pd.DataFrame({"uid": uid[order[np.searchsorted(ids[order], docs_)]], "n_known": np.rint(add_up(columns[1])).astype(np.int64), "base": add_up(columns[2]), "score": score, "new_start": add_up(new_start)})
 
     columns = ["kind", "bucket", "blob"]
-    sums = tables.where("kind in ('text', 'ids')").select(columns).union(backed.select(columns)).repartition(buckets, "bucket")
+    sums = tables.where("kind in ('text', 'ids')").select(columns).union(backed.select(columns)).repartitionById(buckets, F.col("bucket"))
     sums = sums.groupBy("bucket").applyInPandas(total, "uid long, n_known long, base double, score double, new_start double")
     sums = sums.groupBy("uid").agg(*(F.sum(c).alias(c) for c in ("n_known", "base", "score", "new_start")))
     n_tokens = (F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1).cast("long")
