@@ -170,6 +170,16 @@ def test_poses_of_a_stream_cross_buckets_and_drop_what_none_enclose(spark, tmp_p
     assert {r.id: r.x for r in got} == pytest.approx({2: 1.0, 3: 2.7, 4: 0.0}) and len(got) == 3
 
 
+@pytest.mark.parametrize("x", [131.1566705, 264.2946305, -131.1566705, 0.0000005])
+def test_halves_are_rounded_as_in_sql(spark, tmp_path, x):
+    rows = [(0, 0, "purchase", x), (1, 10, "click", 0.0), (2, 20, "purchase", x)]
+    pd.DataFrame([(i, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s), kind, v) for i, s, kind, v in rows], columns=["event_id", "ts", "event_type", "value"]).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    ours, (theirs,) = queries.QUERIES["j10_pose_at_time"](spark, str(tmp_path)).collect(), con.execute(queries.ORACLE_SQL["j10_pose_at_time"]).fetchall()
+    assert [(r.id, r.x) for r in ours] == [(1, theirs[2])]
+
+
 def test_grid_equals_single_runs(spark):
     rng = random.Random(8)
     rows = [(i, j, k, 1.0, 0.1, [rng.random(), rng.random()] if rng.random() < 0.9 else None) for i in range(9) for j in range(8) for k in range(8)]

@@ -23,9 +23,10 @@ def bracket(left: DataFrame, right: DataFrame, bucket: int) -> DataFrame:
     w = Window.orderBy("b")  # one row for each bucket
     carried = every.select("b", F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
     rows = merged.where("not right").select("id", "t", "b", F.lit(None).cast("struct<t: bigint, id: bigint>").alias("r")).union(r.select(F.lit(None).cast("long"), "t", "b", item))
-    x = Window.partitionBy("b").orderBy("t", F.col("r").isNull())
-    y = Window.partitionBy("b").orderBy("t", F.col("r").isNotNull())
-    found = rows.withColumn("lo", F.last("r", True).over(x.rowsBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.first("r", True).over(y.rowsBetween(0, Window.unboundedFollowing)))
+    # both look back only: a frame of all following rows is worked out anew for each row
+    x = Window.partitionBy("b").orderBy("t", F.col("r").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    y = Window.partitionBy("b").orderBy(F.desc("t"), F.col("r").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("lo", F.last("r", True).over(x)).withColumn("hi", F.last("r", True).over(y))
     found = found.where("id is not null").join(carried, "b").withColumn("lo", F.coalesce("lo", "before")).withColumn("hi", F.coalesce("hi", "after"))
     return found.select("id", "t", "lo", "hi")
 

@@ -24,7 +24,8 @@ def query(sql: str | None):
 
 
 def r6(c, name):
-    return F.round(c, 6).alias(name)
+    """Six decimals as SQL rounds a double: by its millionfold, not by the decimal that prints it, which differs for some halves."""
+    return (F.round(c * 1e6) / 1e6).alias(name)
 
 
 _V = f"WITH v AS ({L.VOXEL_SQL}), q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0), g AS (SELECT CAST(embedding AS DOUBLE[]) AS g FROM embeddings WHERE vec_id = 1)"
