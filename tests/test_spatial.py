@@ -106,6 +106,19 @@ def test_visible_blocks_of_plain_cases(spark):
     assert got == {(1, 0, 0, 2), (2, 0, 0, -3)}
 
 
+def test_visible_blocks_equal_all_against_all(spark):
+    rng = np.random.default_rng(3)
+    q, t, b = rng.normal(size=(300, 4)), rng.uniform(-2, 2, (300, 3)), np.stack(np.meshgrid(*[np.arange(-8, 8)] * 3), -1).reshape(-1, 3)
+    frames = spark.createDataFrame([(n, *map(float, (*q[n], *t[n]))) for n in range(300)], "frame_id int, qx double, qy double, qz double, qw double, tx double, ty double, tz double")
+    got = {tuple(r) for r in camera.visible_blocks(frames, spark.createDataFrame(b.tolist(), "bx long, by long, bz long"), 0.8, 60.0, 80, 60, 2.0).collect()}
+    x, y, z, w = (q / np.linalg.norm(q, axis=1, keepdims=True)).T
+    turn = np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]])
+    r = 0.4 * 3**0.5
+    p = np.einsum("rcn,nmr->cnm", turn, (b + 0.5)[None] * 0.8 - t[:, None])
+    seen = (p[2] >= -r) & (p[2] <= 2 + r) & (p[2] * 2 / 3 - abs(p[0]) >= -r * (1 + 4 / 9) ** 0.5) & (p[2] * 0.5 - abs(p[1]) >= -r * 1.25**0.5)
+    assert got == {(int(n), *map(int, b[m])) for n, m in zip(*np.nonzero(seen), strict=True)}
+
+
 def test_saved_map_refuses_another_model(spark, tmp_path):
     voxels = spark.createDataFrame([(0, 0, 0, 1.0), (9, 0, 0, 2.0), (None, 0, 0, 3.0)], "i long, j long, k long, tsdf double")
     maps.save(voxels, f"{tmp_path}/m", "a", 0.1, slab=4)

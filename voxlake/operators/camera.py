@@ -82,22 +82,25 @@ def pose_between(a: Column, b: Column, share: Column) -> Column:
 
 
 def visible_blocks(frames: DataFrame, blocks: DataFrame, side: float, focal: float, width: int, height: int, far: float, with_pose: bool = False) -> DataFrame:
-    """(frame_id, bx, by, bz), and the frame's ``t_wc`` (16 numbers less the last row) if asked for: the distinct ``blocks`` whose ball meets each frame's pyramid of view up to depth ``far``.
+    """(frame_id, bx, by, bz), and the frame's ``t_wc`` (16 numbers less the last row) if asked for: the distinct ``blocks`` whose middle lies in each frame's pyramid of view up to depth ``far``,
+    its planes moved out by the radius of a block's ball, so no block with a visible voxel is missed.
 
-    ``frames`` has frame_id, a quaternion qx, qy, qz, qw and a place tx, ty, tz (camera to world); a block's corner is its index times ``side``. The
-    pyramid's five planes are moved out by the ball's radius, so no block with a visible voxel is missed. Frames meet blocks
-    by cells of the pyramid's size (at most 27 a frame), not all against all. Frames with a null or a zero quaternion see none.
+    ``frames`` has frame_id, a quaternion qx, qy, qz, qw and a place tx, ty, tz (camera to world); a block's corner is its index times ``side``. Frames meet blocks
+    by cells of the size of that wider pyramid, cut off at a radius before and behind (27 a frame or fewer), not all against all. Frames with a null or a zero quaternion see none.
     """
     radius = side * 3**0.5 / 2
     wide, high = width / 2 / focal, height / 2 / focal
-    cell = max(far + 2 * radius, 2 * far * max(wide, high) + 2 * radius, side)
+    near_end, far_end = -radius, far + radius
+    # half the width and half the height of the wider pyramid at both ends; at the corners its planes are farther than a radius from the plain one
+    half = {z: [z * slope + radius * (1 + slope * slope) ** 0.5 for slope in (wide, high)] for z in (near_end, far_end)}
+    cell = max(far + 2 * radius, *(2 * h for h in half[far_end]), side)
     turn = matrix([F.col(c) for c in ("qx", "qy", "qz", "qw")])
     f = frames.select("frame_id", *(F.col(c).alias(c) for c in ("tx", "ty", "tz")), *(c.alias(f"r{i}") for i, c in enumerate(turn))).where("r0 is not null")
-    corners = [(0.0, 0.0, 0.0), *((x * far * wide, y * far * high, far) for x, y in product((-1, 1), repeat=2))]
+    corners = [(x * half[z][0], y * half[z][1], z) for x, y, z in product((-1, 1), (-1, 1), half)]
     spans = []
     for row, t in enumerate(("tx", "ty", "tz")):
         at = [F.col(t) + sum((F.col(f"r{3 * row + c}") * p[c] for c in (1, 2)), F.col(f"r{3 * row}") * p[0]) for p in corners]
-        spans.append(F.sequence(F.floor((F.least(*at) - radius) / cell), F.floor((F.greatest(*at) + radius) / cell)))
+        spans.append(F.sequence(F.floor((F.least(*at) - 1e-6) / cell), F.floor((F.greatest(*at) + 1e-6) / cell)))
     for name, s in zip(("cx", "cy", "cz"), spans, strict=True):
         f = f.withColumn(name, F.explode(s))
     middle = {c: (F.col(b) + 0.5) * side for c, b in zip("xyz", ("bx", "by", "bz"), strict=True)}
