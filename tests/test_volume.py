@@ -1,10 +1,12 @@
 """Versioned volumes: integrations that add up, versions that stay, writes that fail; and chains that go on."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxlake.operators import fold
+from voxlake.operators import fold, fusion
 from voxlake.plans.chain import Chain
 from voxlake.sources.volume import Channels, Volume, listed
 
@@ -109,6 +111,44 @@ def test_segments_fold_as_the_whole(spark, cap):
     assert got.pop((None, 0, 0)) == [2.0, 3.0, min(1, cap), 1, 1] and same(got, plain(rows, cap))
 
 
+def test_a_fold_never_looks_ahead(spark):
+    """A frame of following rows is worked out anew for each row, so a voxel's time would grow with the square of its samples."""
+    df = spark.createDataFrame([(0, 0, 0, n, 1.0, 2.0, True) for n in range(5)], SCHEMA)
+    folded = fold.means_and_gated(df, ["i", "j", "k"], ["at"], {"tsdf": F.col("x")}, {"f": F.col("f")}, F.col("near"), 32)
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition" in plan and not re.search(r"RowFrame, (?!unboundedpreceding)[^,]*, unboundedfollowing", plan)
+
+
+def test_a_fold_keeps_groups_without_samples(spark):
+    rows = rows_of(np.random.default_rng(9), 60, 0, 0, 4)
+    first, rest = [r for r in rows if r[0] < 2], [r for r in rows if r[0] >= 2]
+    go = lambda part, state: fold.means_and_gated(spark.createDataFrame(part, SCHEMA), ["i", "j", "k"], ["at"], {"tsdf": F.col("x")}, {"f": F.col("f")}, F.col("near"), 2, state)
+    assert same({(r.i, r.j, r.k): [r.tsdf, r.f, r.weight, r.n, r.gated_n] for r in go(rest, go(first, None)).collect()}, plain(rows, 2))
+
+
+def test_observations_equal_voxels_projected_one_by_one(spark):
+    rng = np.random.default_rng(2)
+    poses = [(n, *map(float, (*rng.normal(size=4), *rng.uniform(0, 1.6, 3)))) for n in range(12)]
+    depths = [[float(x) if x > 0 else None for x in rng.uniform(-0.3, 4, 64)] for _ in poses]
+    depths[3], depths[4], depths[5] = None, depths[4][:20], [float("nan")] * 64
+    frames = spark.createDataFrame([(*p, d, f"name {p[0]}") for p, d in zip(poses, depths, strict=True)], "frame_id long, qx double, qy double, qz double, qw double, tx double, ty double, tz double, depth array<double>, name string")
+    blocks = spark.createDataFrame([(a, b, 0) for a in range(-2, 3) for b in range(2)], "bx int, by int, bz int")
+    got = {(r.frame_id, r.i, r.j, r.k): (r.z, r.depth, r.sample, r.name) for r in fusion.observations(frames, blocks, 0.1, 6.0, 8, 8, 0.4, 4.4, ("name",)).collect()}
+    grid = np.stack(np.meshgrid(np.arange(-16, 24), np.arange(16), np.arange(8), indexing="ij"), -1).reshape(-1, 3)
+    wanted = {}
+    for (n, qx, qy, qz, qw, *t), depth in zip(poses, depths, strict=True):
+        s = 2 / (qx * qx + qy * qy + qz * qz + qw * qw)
+        turn = np.array([[1 - s * (qy * qy + qz * qz), s * (qx * qy - qz * qw), s * (qx * qz + qy * qw)], [s * (qx * qy + qz * qw), 1 - s * (qx * qx + qz * qz), s * (qy * qz - qx * qw)], [s * (qx * qz - qy * qw), s * (qy * qz + qx * qw), 1 - s * (qx * qx + qy * qy)]])
+        for p, (x, y, z) in zip(grid, ((grid + 0.5) * 0.1 - t) @ turn, strict=True):
+            u, v = (np.rint(6 * c / (z + 1e-8) + 3.5) for c in (x, y))
+            if z > 0 and 0 <= u < 8 and 0 <= v < 8 and depth is not None and int(v * 8 + u) < len(depth):
+                d = depth[int(v * 8 + u)]
+                if d is not None and d > 0 and d - z >= -0.4:
+                    wanted[n, *map(int, p)] = (z, d, max(min((d - z) / 0.4, 1.0), -1.0), f"name {n}")
+    assert len(wanted) > 1000 and set(got) == set(wanted)
+    assert all(got[p][:3] == pytest.approx(wanted[p][:3]) and got[p][3] == wanted[p][3] for p in wanted)
+
+
 def test_a_chain_goes_on_after_its_done_steps(spark, tmp_path):
     made = []
 

@@ -11,9 +11,9 @@ from voxlake.queries import query, r6
 _Q = "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS qx, CAST(embedding[2] AS DOUBLE) AS qy, CAST(embedding[3] AS DOUBLE) AS qz, CAST(embedding[4] AS DOUBLE) AS qw FROM embeddings"
 
 
-def _quaternions(spark, sf_dir):
+def _quaternions(spark, sf_dir, *more):
     v = L.table(spark, sf_dir, "embeddings")
-    return v.select("vec_id", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(("qx", "qy", "qz", "qw"))))
+    return v.select("vec_id", *more, *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(("qx", "qy", "qz", "qw"))))
 
 
 @query(f"WITH q AS ({_Q}), n AS (SELECT *, sqrt(qx * qx + qy * qy + qz * qz + qw * qw) * CASE WHEN qw < 0 THEN -1 ELSE 1 END AS n FROM q) SELECT vec_id, round(qx / n, 6) AS x, round(qy / n, 6) AS y, round(qz / n, 6) AS z, round(qw / n, 6) AS w FROM n")

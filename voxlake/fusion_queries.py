@@ -98,10 +98,10 @@ FROM o GROUP BY i, j, k"""
 
 def posed(spark, sf_dir):
     """(frames, blocks): posed depth frames with a feature of three numbers, and the blocks of the voxels."""
-    e = L.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("map"))
+    e = _quaternions(spark, sf_dir, F.col("embedding").alias("map"))
     raw = F.transform("map", lambda x: F.floor(F.abs(x.cast("double")) * 10000))
     place = {"tx": F.col("frame_id") / 640.0, "ty": F.lit(0.4), "tz": F.lit(-0.5), "depth": fusion.decoded(raw, 400.0, 4.0), "feat": F.slice("map", 5, 3)}
-    frames = e.join(_quaternions(spark, sf_dir), "vec_id").withColumnRenamed("vec_id", "frame_id").withColumns(place)
+    frames = e.withColumnRenamed("vec_id", "frame_id").withColumns(place)
     return frames, L.voxels(spark, sf_dir).select(F.expr("i div 8").alias("bx"), F.expr("j div 8").alias("by"), F.expr("k div 8").alias("bz"))
 
 

@@ -47,33 +47,35 @@ def gated_mean(obs: DataFrame, by: list[str], order: list[str], sample: Column,
 def means_and_gated(obs: DataFrame, by: list[str], order: list[str], samples: dict[str, Column], gated: dict[str, Column], gate: Column, cap: int, state: DataFrame | None = None) -> DataFrame:
     """``running_means`` of ``samples`` and ``gated_means`` of ``gated``, null for a group without gated ones, in one pass: one exchange and one sort. ``gated_n``: gated samples.
 
-    With ``state``, an earlier result of other samples, the fold goes on from it; groups without samples are not in the result.
+    With ``state``, an earlier result of other samples, the fold goes on from it; groups without samples stay as they are. A group is read from its last sample to its first, so that what
+    later samples leave is a running sum; its state comes as one more row, the last.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
+    back = Window.partitionBy(*by).orderBy(*([] if state is None else [F.desc("new_")]), *(F.desc(c) for c in order))
+    whole = back.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     top, d = cap + 1, cap / (cap + 1)
-    rows = obs.select(*by, *order, *(s.alias(f"s_{n}") for n, s in samples.items()), *(s.alias(f"g_{n}") for n, s in gated.items()), F.coalesce(gate, F.lit(False)).alias("gate_"))
-    rows = rows.withColumn("rank_", F.row_number().over(w)).withColumn("rows_", F.count("*").over(Window.partitionBy(*by)))
+    rows = obs.select(*by, *order, *(s.alias(f"s_{n}") for n, s in samples.items()), *(s.alias(f"g_{n}") for n, s in gated.items()), F.coalesce(gate, F.lit(False)).alias("gate_"), F.lit(1).alias("new_"))
     held = [*samples, *gated, "n", "gated_n"]
     if state is None:
         rows = rows.withColumns({f"b_{c}": F.lit(0.0 if c in samples or c in gated else 0) for c in held})
     else:
-        before = state.select(*(F.col(c).alias(f"k_{c}") for c in by), *(F.col(c).alias(f"b_{c}") for c in held))
-        same = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in by]
-        rows = rows.join(before, same, "left").drop(*(f"k_{c}" for c in by)).withColumns({f"b_{c}": F.coalesce(f"b_{c}", F.lit(0)) for c in held})
-    n0 = F.col("b_n")
-    k, n = n0 + F.col("rank_"), n0 + F.col("rows_")
+        before = state.select(*by, *(F.col(c).alias(f"b_{c}") for c in held), F.lit(False).alias("gate_"), F.lit(0).alias("new_"))
+        rows = rows.unionByName(before, allowMissingColumns=True)
+    n0 = F.col("n0_")
+    rows = rows.withColumns({"after_": F.row_number().over(back) - 1, "rows_": F.sum("new_").over(whole), "n0_": F.coalesce(F.max("b_n").over(whole), F.lit(0))})
+    k, n = n0 + F.col("rows_") - F.col("after_"), n0 + F.col("rows_")
     share = 1.0 / (F.least(k - 1, F.lit(cap)) + 1)
     # a share of 1, as that of a group's very first sample, leaves nothing of what came before
     left = F.when(F.col("gate_"), F.coalesce(F.ln(1 - share), F.lit(float("-inf"))))
-    later = F.coalesce(F.sum(left).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
-    part = rows.withColumn("part_", F.when(F.col("gate_"), share * F.exp(later))).withColumn("left_", left)
+    later = F.coalesce(F.sum("left_").over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    part = rows.withColumn("left_", left).withColumn("part_", F.when(F.col("gate_"), share * F.exp(later)))
     power = lambda e: F.pow(F.lit(d), F.greatest(e, F.lit(0)))
     weight = F.when(n <= top, 1.0 / n).otherwise(power(n - F.greatest(k, F.lit(top))) / top)
     kept = F.when(n <= top, n0 / n).when(n0 < top, n0 * power(n - top) / top).otherwise(power(n - n0))
-    sums = [(F.sum(weight * F.col(f"s_{c}")) + F.first(kept * F.col(f"b_{c}"))).alias(c) for c in samples]
-    was, rest = F.first("b_gated_n"), F.exp(F.coalesce(F.sum("left_"), F.lit(0.0)))
-    some = was + F.count_if("gate_")
-    sums += [F.when(some > 0, F.coalesce(F.sum(F.col("part_") * F.col(f"g_{c}")), F.lit(0.0)) + rest * F.first(f"b_{c}")).alias(c) for c in gated]
+    was = lambda c: F.coalesce(F.max(f"b_{c}"), F.lit(0))
+    some, rest = was("gated_n") + F.count_if("gate_"), F.exp(F.coalesce(F.sum("left_"), F.lit(0.0)))
+    mean = lambda c: F.sum(weight * F.col(f"s_{c}")) + F.first(kept) * was(c)
+    sums = [F.when(F.max("rows_") > 0, mean(c)).otherwise(was(c)).alias(c) for c in samples]
+    sums += [F.when(some > 0, F.coalesce(F.sum(F.col("part_") * F.col(f"g_{c}")), F.lit(0.0)) + rest * was(c)).alias(c) for c in gated]
     return part.groupBy(*by).agg(*sums, F.least(F.first(n), F.lit(cap)).alias("weight"), F.first(n).alias("n"), some.alias("gated_n"))
 
 
