@@ -95,3 +95,34 @@ def test_features_and_colors_at_points(spark):
         assert (got[n].tsdf, *got[n].feat) == pytest.approx((value, *feat)) and got[n].red == int(np.clip(color, 0, 255))
         cell = tuple(np.clip(np.floor(p / 0.1), 0, 2).astype(int))
         assert near[n].tsdf == tsdf[cell] and near[n].red == int(np.clip(red[cell], 0, 255)) and near[n].feat == [*feature(*cell[:2])]
+
+
+def test_points_meet_cells_and_their_vectors_are_not_exchanged_by_point(spark):
+    """Short, long and null vectors, null numbers, repeated voxels and points of one id, against sums over corners."""
+    rng = np.random.default_rng(4)
+    voxels = [(i, j, k, float(rng.normal()) if rng.random() < 0.8 else None, float(rng.uniform(0, 90)), [float(x) for x in rng.normal(size=rng.integers(0, 5))] if rng.random() < 0.8 else None) for i in range(4) for j in range(3) for k in range(3) if rng.random() < 0.8]
+    voxels += [voxels[3], (None, 0, 0, 1.0, 1.0, [1.0])]
+    voxels[5] = (*voxels[5][:5], [1.0, None, 2.0])
+    at = [(n, *map(float, rng.uniform(-0.1, 0.6, 3))) for n in range(40)]
+    at += [(7, 0.21, 0.2, 0.1), (7, 0.21, 0.2, 0.1), (None, 0.1, 0.1, 0.1), (50, None, 0.1, 0.1)]
+    wanted = {}
+    for n, *p in at:
+        if n is None or None in p:
+            continue
+        g = [x / 0.1 - 0.5 for x in p]
+        low = [min(max(int(np.floor(x)), 0), d - 1) for x, d in zip(g, (4, 3, 3), strict=True)]
+        f = [min(max(x - a, 0.0), 1.0) for x, a in zip(g, low, strict=True)]
+        row = wanted.setdefault(n, np.zeros(5))
+        for o in np.ndindex(2, 2, 2):
+            share = np.prod([b if c else 1 - b for b, c in zip(f, o, strict=True)])
+            corner = tuple(min(a + c, d - 1) for a, c, d in zip(low, o, (4, 3, 3), strict=True))
+            for v in [v for v in voxels if v[:3] == corner] or [(*corner, None, 0.0, None)]:
+                feat = [x or 0.0 for x in [*(v[5] or []), 0.0, 0.0, 0.0][:3]]
+                row += share * np.array([1.0 if v[3] is None else v[3], v[4], *feat])
+    table = spark.createDataFrame(voxels, "i long, j long, k long, tsdf double, red double, feat array<float>")
+    look = lambda rows: points.trilinear(spark.createDataFrame(rows, "id long, x double, y double, z double"), table, (4, 3, 3), {"tsdf": 1.0}, colors=("red",), vectors={"feat": 3})
+    got = {r.id: [r.tsdf, r.red, *r.feat] for r in look(at).collect()}
+    assert set(got) == set(wanted)
+    for n, row in wanted.items():
+        assert got[n] == pytest.approx([row[0], int(round(min(row[1], 255.0), 9)), *row[2:]], abs=1e-6)
+    assert "hashpartitioning(id" not in look(at[:40])._jdf.queryExecution().executedPlan().toString()
